@@ -29,6 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import ragged, slices, table, utf8
 from .units import Cache, encoded
@@ -181,7 +182,7 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None) -> DataFr
                 own = batch.slice(i, j - i)
                 yield pa.record_batch([*(own.column(c) for c in keep), pa.ListArray.from_arrays(pa.array(at), pa.array(ids))], [*keep, "ids"])
 
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, docs.select(*keep).schema.add("ids", "array<int>"))
+    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, docs.select(*keep).schema.add("ids", ArrayType(IntegerType())))
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
