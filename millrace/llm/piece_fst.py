@@ -29,7 +29,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .common import ragged, slices, table, utf8
 from .units import Cache, encoded
@@ -206,7 +206,7 @@ def decode(rows: DataFrame, model: str) -> DataFrame:
                 part = batch.slice(i, j - i)
                 yield pa.record_batch([*part.columns, pa.array(out, pa.string())], [*columns, "decoded"])
 
-    return rows.mapInArrow(run, rows.schema.add("decoded", "string"))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField("decoded", StringType())]))
 
 
 def op10_sentencepiece(spark, sf_dir: str, vocabulary: str = "piece_bpe_32k.model") -> DataFrame:
