@@ -1,10 +1,10 @@
 """Operator 1: removal of byte strings that repeat across documents, by a sampled suffix array.
 
 Every `width`-byte string has one anchor inside it: the start of its k bytes with the smallest hash. The anchors are the
-suffixes that are sorted (about one byte in eighteen), and two equal strings have equal anchors at equal places, so
+suffixes that are sorted (about one byte in fourteen), and two equal strings have equal anchors at equal places, so
 nothing is lost by leaving the other suffixes out. All strings with the same anchor form a cell.
 
-1. Documents are dealt into blocks by a hash of doc_id; a block lists its anchors once each: leading tokens (16 bytes:
+1. Documents are dealt into blocks by a hash of doc_id; a block lists its anchors once each: leading tokens (24 bytes:
    the first eight as they are, a hash of the rest), a hash of the whole cell, and the smallest doc_id.
 2. Sampled splitters range-partition these by leading tokens. A bucket sorts its share by multikey quicksort and compares
    neighbours; splitters are keys, so equal keys never lie on both sides of a boundary. Blocks hear which of their
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import M1, M2, M3, U, mix, multikey_order, ragged, runs, table, utf8
 
-K = 16
+K = 24
 STEP = 1 << 17
 BASE = U(0x2545F4914F6CDD1D)
 BYTE = mix(np.arange(1, 257, dtype=U) * M1)
@@ -84,7 +84,10 @@ def cells(buf: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.ndar
         if not ok.any():
             continue
         w = _eights(part)
-        h = mix(w[:-8] * M1 ^ (w[8:] * M2 >> U(7)) * M3)
+        tail = w[8 : len(w) - K + 16]
+        for j in range(16, K, 8):
+            tail = mix(tail * M1) ^ w[j : len(w) - K + 8 + j]
+        h = mix(w[: len(tail)] * M1 ^ mix(tail * M2))
         at = (_sliding_min((h & ~mask) | np.arange(len(h), dtype=U), width - K + 1) & mask).astype(np.int64)
         fresh = np.ones(starts, bool)
         fresh[1:] = (at[1:] != at[:-1]) | ~ok[:-1]
@@ -93,8 +96,8 @@ def cells(buf: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.ndar
         a, b = np.flatnonzero(ok & fresh), np.flatnonzero(ok & ends)
         anchor = at[a]
         total = np.concatenate([np.zeros(1, U), np.cumsum(BYTE[part] * up[: len(part)], dtype=U)])
-        cell = mix((total[b + width] - total[a]) * down[a] ^ ((b - a).astype(U) * M2 + (anchor - a).astype(U) * M3)) >> U(16)
-        out.append((a + p, b + p, w[anchor], (mix(w[anchor + 8] * M1) >> U(32)), np.maximum(cell, U(1))))
+        cell = mix((total[b + width] - total[a]) * down[a] ^ ((b - a).astype(U) * M2 + (anchor - a).astype(U) * M3)) >> U(24)
+        out.append((a + p, b + p, w[anchor], mix(tail[anchor] * M3) >> U(40), np.maximum(cell, U(1))))
     names = ("first", "last", "lead", "rest", "cell")
     got = {k: np.concatenate([x[i] for x in out]) if out else np.zeros(0, U if i > 1 else np.int64) for i, k in enumerate(names)}
     got["doc"] = np.searchsorted(offsets, got["first"], side="right") - 1
@@ -108,6 +111,17 @@ def _keys(lead: np.ndarray, rest: np.ndarray) -> np.ndarray:
     return out.view("S12").ravel()
 
 
+def _low(x: np.ndarray, n: int) -> np.ndarray:
+    """The low n bytes of each number."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :n]).view(f"V{n}").ravel()
+
+
+def _whole(x: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : x.itemsize] = x.view(np.uint8).reshape(len(x), x.itemsize)
+    return out.view("<u8").ravel()
+
+
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays of one length each as bytes: byte planes, then compressed."""
     parts = [len(a).to_bytes(8, "little") + np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
@@ -165,7 +179,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
     """docs (doc_id, text) -> doc_id, n_bytes, spans (removed byte ranges as array of start, end), kept (binary: the remaining bytes).
     An anchor with different cells in more than `wide_blocks` blocks is compared string by string."""
     if not K <= width <= 56:
-        raise ValueError("width must be from 16 to 56")
+        raise ValueError("width must be from 24 to 56")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     count = max(1, -(-total // block_bytes))
@@ -187,19 +201,17 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
         b = _Block(docs, width)
         cut = b.cuts(splitters)
         rows = [(i, x, y) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-        data = [pack(b.lead[x:y], b.rest[x:y].astype("<u4"), b.one[x:y].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].copy().view("V6").ravel(), b.least[x:y]) for _, x, y in rows]
+        data = [pack(b.lead[x:y], _low(b.rest[x:y], 3), _low(b.one[x:y], 5), b.least[x:y]) for _, x, y in rows]
         return pa.table({"bucket": pa.array([i for i, *_ in rows], pa.int64()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64()), "data": _binary(data)})
 
     def shared(key, rows):
-        got = [unpack(x.as_py(), "<u8", "<u4", "V6", "<i8") for x in rows.column("data")]
+        got = [unpack(x.as_py(), "<u8", "V3", "V5", "<i8") for x in rows.column("data")]
         row = np.repeat(np.arange(len(got)), [len(g[0]) for g in got])
         place = np.concatenate([np.arange(len(g[0])) for g in got])
-        order, new = multikey_order([np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])])
+        order, new = multikey_order([np.concatenate([g[0] for g in got]), _whole(np.concatenate([g[1] for g in got]))])
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(order)))
-        wide = np.zeros((len(order), 8), np.uint8)
-        wide[:, :6] = np.concatenate([g[2] for g in got]).view(np.uint8).reshape(-1, 6)
-        cell = wide.view("<u8").ravel()[order]
+        cell = _whole(np.concatenate([g[2] for g in got]))[order]
         least = np.minimum.reduceat(np.concatenate([g[3] for g in got])[order], at)
         low, high = np.minimum.reduceat(cell, at), np.maximum.reduceat(cell, at)
         state = np.where((low != high) | (low == 0), np.where(size > wide_blocks, 2, 1), 0).astype(np.uint8)
