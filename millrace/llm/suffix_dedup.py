@@ -11,7 +11,7 @@ nothing is lost by leaving the other suffixes out. All strings with the same anc
    anchors occur elsewhere, with the smallest doc_id, and if all cells there are equal.
 3. Where all cells are equal, the cell is a copy or the original. Where they differ, one suffix text for each different
    cell of a block goes to the bucket; for anchors that very many blocks have (a common line before different texts)
-   each string goes on its own, dealt by a hash of it, so that no bucket grows with one line.
+   four neighbouring strings go together, dealt by a hash of what they share, so that no bucket grows with one line.
 4. Buckets sort all `width`-byte strings of these texts by multikey quicksort, seven words deep, and compare neighbours
    byte for byte.
 5. Each block takes the union of what was found.
@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, M3, U, mix, multikey_order, ragged, runs, table, utf8
+from .common import M1, M2, M3, U, mix, multikey_order, ragged, runs, span_hashes, table, utf8
 
 K = 24
 STEP = 1 << 17
@@ -97,9 +97,9 @@ def cells(buf: np.ndarray, offsets: np.ndarray, width: int) -> dict[str, np.ndar
         anchor = at[a]
         total = np.concatenate([np.zeros(1, U), np.cumsum(BYTE[part] * up[: len(part)], dtype=U)])
         cell = mix((total[b + width] - total[a]) * down[a] ^ ((b - a).astype(U) * M2 + (anchor - a).astype(U) * M3)) >> U(24)
-        out.append((a + p, b + p, w[anchor], mix(tail[anchor] * M3) >> U(40), np.maximum(cell, U(1))))
-    names = ("first", "last", "lead", "rest", "cell")
-    got = {k: np.concatenate([x[i] for x in out]) if out else np.zeros(0, U if i > 1 else np.int64) for i, k in enumerate(names)}
+        out.append((a + p, b + p, w[anchor], mix(tail[anchor] * M3) >> U(40), np.maximum(cell, U(1)), anchor + p))
+    names = ("first", "last", "lead", "rest", "cell", "anchor")
+    got = {k: np.concatenate([x[i] for x in out]) if out else np.zeros(0, U if 1 < i < 5 else np.int64) for i, k in enumerate(names)}
     got["doc"] = np.searchsorted(offsets, got["first"], side="right") - 1
     return got
 
@@ -177,7 +177,7 @@ def _binary(rows: list[bytes]) -> pa.Array:
 
 def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, wide_blocks: int = 48) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, spans (removed byte ranges as array of start, end), kept (binary: the remaining bytes).
-    An anchor with different cells in more than `wide_blocks` blocks is compared string by string."""
+    An anchor with different cells in more than `wide_blocks` blocks is compared in groups of four strings."""
     if not K <= width <= 56:
         raise ValueError("width must be from 24 to 56")
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -261,22 +261,28 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
             i = near[bucket_of == bucket]
             rows.append((int(bucket), 0, self_texts(b, doc[i], first[i], last[i] + width)))
         if len(wide):
+            # strings of four neighbouring places share all but three bytes at either end: the middle says which bucket
             lengths = last[wide] - first[wide] + 1
-            start, d = ragged(first[wide], lengths), np.repeat(doc[wide], lengths)
-            words = [_gather(b.buf, start + x) for x in (*range(0, width - 7, 8), width - 8)]
-            order, new = multikey_order(words)
-            at = np.flatnonzero(new)
-            low = np.repeat(np.minimum.reduceat(b.ids[d][order], at), np.diff(np.append(at, len(order))))
+            start, d, at = ragged(first[wide], lengths), np.repeat(doc[wide], lengths), np.repeat(c["anchor"][b.order[wide]], lengths)
+            four = (at - start) >> 2
+            fresh = np.ones(len(start), bool)
+            fresh[1:] = (four[1:] != four[:-1]) | (start[1:] != start[:-1] + 1) | (at[1:] != at[:-1])
+            i = np.flatnonzero(fresh)
+            start, end, d = start[i], start[np.append(i[1:], len(start)) - 1] + width, d[i]
+            middle = at[i] - 4 * four[i]
+            h = np.zeros(len(i), U)
+            for x in (*range(0, width - 10, 8), width - 11):
+                h = mix((h ^ _gather(b.buf, middle + x)) + M1)
+            order, new = multikey_order([h, span_hashes(b.buf, start, end), (middle - start).astype(U)])
+            head = np.flatnonzero(new)
+            low = np.repeat(np.minimum.reduceat(b.ids[d][order], head), np.diff(np.append(head, len(order))))
             later = b.ids[d][order] > low
-            spans.append((d[order[later]], start[order[later]], start[order[later]] + width))
-            h = U(0)
-            for w in words:
-                h = mix((h ^ w) + M1)
+            spans.append((d[order[later]], start[order[later]], end[order[later]]))
             keep = np.sort(order[~later])
             to = (h[keep] % U(buckets)).astype(np.int64)
             for bucket in np.unique(to):
                 i = keep[to == bucket]
-                rows.append((int(bucket), 0, self_texts(b, d[i], start[i], start[i] + width)))
+                rows.append((int(bucket), 0, self_texts(b, d[i], start[i], end[i])))
         d, x, y = (np.concatenate(z) for z in zip(*spans, strict=True))
         if len(d):
             base = b.offsets[d]
