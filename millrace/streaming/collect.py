@@ -25,18 +25,13 @@ def insert_into(target: str, keys: list[str]) -> Callable[[DataFrame, int], None
     """A sink for foreachBatch: rows whose key the target lacks."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        known = spark.read.schema(batch.schema).option("ignoreMissingFiles", True).parquet(target) if _exists(spark, target) else spark.createDataFrame([], batch.schema)
+        batch.limit(0).write.mode("ignore").parquet(target)  # an empty table at first
+        known = batch.sparkSession.read.schema(batch.schema).parquet(target)
         new_rows(known, batch, keys).write.mode("append").parquet(target)
 
     return write
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
-
-
 def drain(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Handles all that is there now in batches, then ends."""
     stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
