@@ -7,10 +7,12 @@ equal coordinates estimate the Jaccard similarity with concentration bounds like
 
 Bands of `rows` coordinates give candidates: with 32 bands of 4 a pair at similarity 0.75 shares no band with
 probability (1 - 0.75^4)^32 < 6e-6. Documents with equal shingle sets form a class first. In each band bucket every class
-is verified against the bucket's centre, the class that shares most band keys; then, in buckets that still span several
-components, all pairs across components. No pair within a component is needed, so copies aren't expanded into pairs, and
-no candidate link between components stays untested. Verification is on the full shingle sets, after two filters: the
-set sizes (exact) and the sketch (similarity estimated under `floor`, more than six deviations below the threshold).
+is verified against the bucket's centre, the class that shares most band keys; then, for `turns` rounds, the classes
+that are still in another component than the centre against one class of its component, in each bucket another one; at
+last, in buckets that still span several components, all pairs across components. No pair within a component is needed,
+so copies aren't expanded into pairs, and no candidate link between components stays untested. Verification is on the
+full shingle sets, after two filters: the set sizes (exact) and the sketch (similarity estimated under `floor`, more
+than four deviations below the threshold, so about as likely to lose a pair as the bands).
 
 Words are runs of characters other than space and \\x09-\\x0D, A-Z lower-cased; a set holds the distinct runs of `width`
 words as 64-bit hashes (set classes compare 128 bits), or the whole sequence if there are fewer words.
@@ -107,14 +109,14 @@ def _described(docs: DataFrame, width: int, coords: int, rows: int) -> DataFrame
                 s1, s2 = np.zeros(j - i, U), np.zeros(j - i, U)
                 np.add.at(s1, doc, mix(h + M1))
                 np.add.at(s2, doc, mix(h ^ M3))
-                sig = np.ascontiguousarray((sk >> U(17)).astype(np.uint8))
+                sig = np.ascontiguousarray((sk >> U(17)).astype(np.uint8)).view("<i8")
                 yield pa.record_batch([
                     batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                     pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
-                    pa.array([x.tobytes() for x in sig], pa.binary()),
+                    pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), coords // 8).cast(pa.list_(pa.int64())),
                 ], ["doc_id", "n_shingles", "s1", "s2", "bands", "sig"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig binary")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -130,13 +132,18 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "rep long, set array<long>")
 
 
-def _same(a: str, b: str, coords: int) -> F.Column:
-    """How many of the sketches' bytes agree."""
-    chars = [f"CAST(substring({a}, {i + 1}, 1) = substring({b}, {i + 1}, 1) AS INT)" for i in range(coords)]
-    return F.expr(" + ".join(chars))
+def _agree(a: str, b: str, coords: int) -> F.Column:
+    """How many bytes of two sketches agree, eight at a time: the bits of each byte that differs are folded into one."""
 
+    def differ(x: F.Column) -> F.Column:
+        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
+        return F.bit_count(x)
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coords: int = 128, rows: int = 4, floor: float = 0.5) -> DataFrame:
+    return coords - sum((differ(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(coords // 8)), F.lit(0))
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coords: int = 128, rows: int = 4, floor: float = 0.58, turns: int = 2) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
@@ -154,37 +161,47 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
 
     involved = placed.select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(_sets(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
-    facts = cut(reps.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi").select("rep", "n", "sig"))
+    facts = cut(reps.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
+    of_a, of_b = (facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("bands").alias(f"bands{x}")) for x in "ab")
+    alike = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_agree("siga", "sigb", coords) >= int(floor * coords))
 
-    def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
-        near = (
-            pairs.join(facts.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("sig").alias("siga")), "a")
-            .join(facts.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sigb")), "b")
-            .filter(f"{den} * least(na, nb) >= {num} * greatest(na, nb)")
-            .filter(_same("siga", "sigb", coords) >= int(floor * coords))
-            .select("a", "b", "na", "nb")
-        )
+    def verified(near: DataFrame) -> DataFrame:
+        """Of pairs (a, b, na, nb) those that are links, by their full sets."""
         both = near.join(sets.select(F.col("rep").alias("a"), F.col("set").alias("seta")), "a").join(sets.select(F.col("rep").alias("b"), F.col("set").alias("setb")), "b")
         common = F.size(F.array_intersect("seta", "setb"))
         return both.filter(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b")
 
-    first = cut(linked(placed.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()))
-    labels = components(first)
-
-    def labelled(label: DataFrame) -> DataFrame:
-        named = placed.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-        return named
-
-    named = cut(labelled(labels))
-    of_centre = named.filter("rep = centre").select("key", F.col("component").alias("centre_component"))
-    out = named.join(of_centre, "key").filter("component <> centre_component").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "centre")
-    rest = named.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    # every outsider with all members of other components, but for the centre, with which it has been compared
-    across = out.join(rest, "key").filter("ca <> cb AND b <> centre").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    second = cut(linked(across))
+    def linked(pairs: DataFrame) -> DataFrame:
+        return cut(verified(pairs.distinct().join(of_a.drop("bandsa"), "a").join(of_b.drop("bandsb"), "b").filter(alike).select("a", "b", "na", "nb")))
+
+    def named() -> DataFrame:
+        """Each class of each bucket with its component and that of the bucket's centre."""
+        own = placed.join(labels.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        central = labels.select(F.col("node").alias("centre"), F.col("component").alias("main"))
+        return own.join(central, "centre", "left").withColumn("main", F.coalesce("main", "centre"))
+
+    links = linked(placed.filter("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")))
+    labels = components(links)
+    for turn in range(turns):  # classes outside the centre's component against one class inside it, in every bucket another one
+        now = cut(named())
+        apart = now.filter("component <> main")
+        if not apart.limit(1).count():
+            break
+        one = now.filter("component = main").groupBy("key").agg(F.max_by("rep", F.xxhash64("rep", "key", F.lit(turn))).alias("b"))
+        more = linked(apart.join(one, "key").filter("b <> centre").select(F.col("rep").alias("a"), "b"))
+        links = links.union(more)
+        labels = components(links)
+    now = cut(named())
+    # what is still outside, against all members of other components; a pair counts at the first key that both have
+    apart = now.filter("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "centre").join(of_a, "a")
+    rest = now.select("key", F.col("rep").alias("b"), F.col("component").alias("cb")).join(of_b, "b")
+    others = apart.withColumnRenamed("key", "keya")
+    first = F.col("keya") == F.array_intersect("bandsa", "bandsb")[0]
+    both = F.col("ca").isNotNull() & (F.col("ca") != F.col("cb")) & (F.col("b") != F.col("centre"))
+    across = others.join(rest, (F.col("keya") == F.col("key")) & both & alike & first)
+    second = cut(verified(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()))
     if second.limit(1).count():
-        labels = components(first.union(second))
+        labels = components(links.union(second))
     labels = labels.select(F.col("node").alias("rep"), "component")
     ids = classes.join(labels, "rep", "left").select("s1", "s2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     found = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2", "n_shingles").join(ids, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
