@@ -5,8 +5,8 @@ may fill; in the next `coords` rounds all shingles go to the round's own coordin
 coordinate keeps the least hash of the first round that reached it. Most documents are done after a round or two, and
 equal coordinates estimate the Jaccard similarity with concentration bounds like those of independent samples.
 
-Bands of `rows` coordinates give candidates: with 32 bands of 4 a pair at similarity 0.75 shares no band with
-probability (1 - 0.75^4)^32 < 6e-6. Documents with equal shingle sets form a class first. In each band bucket every class
+Bands of `rows` coordinates give candidates: with 51 bands of 5 a pair at similarity 0.75 shares no band with
+probability (1 - 0.75^5)^51 < 2e-6. Documents with equal shingle sets form a class first. In each band bucket every class
 is verified against the bucket's centre, the class that shares most band keys; then, for `turns` rounds, the classes
 that are still in another component than the centre against one class of its component, in each bucket another one; at
 last, in buckets that still span several components, all pairs across components. No pair within a component is needed,
@@ -105,7 +105,7 @@ def _described(docs: DataFrame, width: int, coords: int, rows: int) -> DataFrame
                 sk = sketches(doc, h, j - i, coords)
                 key = np.zeros((j - i, bands), U) + np.arange(1, bands + 1, dtype=U) * M1
                 for r in range(rows):
-                    key = mix((key ^ sk[:, r::rows]) + M2)
+                    key = mix((key ^ sk[:, r : bands * rows : rows]) + M2)
                 s1, s2 = np.zeros(j - i, U), np.zeros(j - i, U)
                 np.add.at(s1, doc, mix(h + M1))
                 np.add.at(s2, doc, mix(h ^ M3))
@@ -143,7 +143,7 @@ def _agree(a: str, b: str, coords: int) -> F.Column:
     return coords - sum((differ(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(coords // 8)), F.lit(0))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coords: int = 128, rows: int = 4, floor: float = 0.58, turns: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coords: int = 256, rows: int = 5, floor: float = 0.63, turns: int = 3) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     now = cut(named())
     # what is still outside, against all members of other components; a pair counts at the first key that both have
     apart = now.filter("component <> main").select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), "centre").join(of_a, "a")
-    rest = now.select("key", F.col("rep").alias("b"), F.col("component").alias("cb")).join(of_b, "b")
+    rest = now.join(apart.select("key").distinct(), "key", "left_semi").select("key", F.col("rep").alias("b"), F.col("component").alias("cb")).join(of_b, "b")
     others = apart.withColumnRenamed("key", "keya")
     first = F.col("keya") == F.array_intersect("bandsa", "bandsb")[0]
     both = F.col("ca").isNotNull() & (F.col("ca") != F.col("cb")) & (F.col("b") != F.col("centre"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +27,7 @@ def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarra
 class Cache:
     """Ids of units, kept in a worker process from batch to batch; `most` bounds its memory, the rest is encoded anew."""
 
-    def __init__(self, encode, most: int = 400_000):
+    def __init__(self, encode, most: int = 800_000):
         self.encode, self.most, self.known = encode, most, {}
 
     def ids(self, unit_list: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
@@ -33,8 +35,9 @@ class Cache:
         known = self.known
         got = [known.get(u) for u in unit_list]
         new = [i for i, g in enumerate(got) if g is None]
+        code = {"<u2": "H", "<u4": "I", "<i4": "i"}[kind]
         for i, ids in zip(new, self.encode([unit_list[i] for i in new]), strict=True):
-            got[i] = np.asarray(ids, kind).tobytes()
+            got[i] = array(code, ids).tobytes()
             if len(known) < self.most:
                 known[unit_list[i]] = got[i]
         size = np.dtype(kind).itemsize
