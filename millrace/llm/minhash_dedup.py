@@ -109,11 +109,12 @@ def _described(docs: DataFrame, width: int, coords: int, rows: int) -> DataFrame
                 s1, s2 = np.zeros(j - i, U), np.zeros(j - i, U)
                 np.add.at(s1, doc, mix(h + M1))
                 np.add.at(s2, doc, mix(h ^ M3))
-                sig = np.ascontiguousarray((sk >> U(17)).astype(np.uint8)).view("<i8")
+                two = ((sk >> U(17)) & U(3)).reshape(j - i, coords // 32, 32) << (2 * np.arange(32, dtype=U))
+                sig = np.bitwise_or.reduce(two, axis=2).view(np.int64)
                 yield pa.record_batch([
                     batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                     pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
-                    pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), coords // 8).cast(pa.list_(pa.int64())),
+                    pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), coords // 32).cast(pa.list_(pa.int64())),
                 ], ["doc_id", "n_shingles", "s1", "s2", "bands", "sig"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>")
@@ -133,17 +134,15 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
 
 
 def _agree(a: str, b: str, coords: int) -> F.Column:
-    """How many bytes of two sketches agree, eight at a time: the bits of each byte that differs are folded into one."""
+    """In how many coordinates the two bits agree that are kept of each."""
+    out = F.lit(coords)
+    for i in range(coords // 32):
+        x = F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))
+        out = out - F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(F.lit(0x5555555555555555)))
+    return out
 
-    def differ(x: F.Column) -> F.Column:
-        for shift, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
-            x = x.bitwiseOR(F.shiftrightunsigned(x, shift)).bitwiseAND(F.lit(mask))
-        return F.bit_count(x)
 
-    return coords - sum((differ(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(coords // 8)), F.lit(0))
-
-
-def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coords: int = 256, rows: int = 5, floor: float = 0.63, turns: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coords: int = 256, rows: int = 5, floor: float = 0.62, turns: int = 3) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
@@ -163,7 +162,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     sets = cut(_sets(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
     facts = cut(reps.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
     of_a, of_b = (facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("bands").alias(f"bands{x}")) for x in "ab")
-    alike = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_agree("siga", "sigb", coords) >= int(floor * coords))
+    alike = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_agree("siga", "sigb", coords) >= int((0.25 + 0.75 * floor) * coords))
 
     def verified(near: DataFrame) -> DataFrame:
         """Of pairs (a, b, na, nb) those that are links, by their full sets."""
