@@ -105,7 +105,12 @@ def route(df: DataFrame, score: str, limit: float) -> tuple[DataFrame, DataFrame
 
 def flatten_document(df: DataFrame, key: str, doc: str, parts: list[str]) -> DataFrame:
     """A struct of maps line number -> text as rows (key, part, line, text); blank texts go, a bad number becomes 1."""
-    rows = F.flatten(F.array(*[F.transform(F.map_entries(F.coalesce(F.col(f"{doc}.{p}"), F.create_map().cast("map<string,string>"))), lambda e, p=p: F.struct(F.lit(p).alias("part"), e["key"].alias("k"), e["value"].alias("text"))) for p in parts]))
+
+    def entries(part: str) -> Column:
+        pairs = F.map_entries(F.coalesce(F.col(f"{doc}.{part}"), F.create_map().cast("map<string,string>")))
+        return F.transform(pairs, lambda e: F.struct(F.lit(part).alias("part"), e["key"].alias("k"), e["value"].alias("text")))
+
+    rows = F.flatten(F.array(*[entries(p) for p in parts]))
     out = df.select(key, F.explode(rows).alias("r")).select(key, "r.part", F.coalesce(F.col("r.k").try_cast("int"), F.lit(1)).alias("line"), "r.text")
     return out.filter(F.trim("text") != "")
 
