@@ -186,7 +186,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
         apart = now.filter("component <> main")
         if not apart.limit(1).count():
             break
-        one = now.filter("component = main").groupBy("key").agg(F.max_by("rep", F.xxhash64("rep", "key", F.lit(turn))).alias("b"))
+        # a quarter of the keys for each turn: this only makes components meet sooner, the last comparison decides
+        some = F.pmod(F.xxhash64("key", F.lit(turns + turn)), F.lit(4)) == 0
+        one = now.filter((F.col("component") == F.col("main")) & some).groupBy("key").agg(F.max_by("rep", F.xxhash64("rep", "key", F.lit(turn))).alias("b"))
         more = linked(apart.join(one, "key").filter("b <> centre").select(F.col("rep").alias("a"), "b"))
         links = links.union(more)
         labels = components(links)

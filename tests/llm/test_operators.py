@@ -1,0 +1,182 @@
+"""The operators against brute force, exact round trips and held-out accuracy; edge rows in every table."""
+
+import hashlib
+import re
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.llm import decontaminate, embedding_dedup, html_text, language_id, line_dedup, minhash_dedup, piece_fst, secret_scan, suffix_dedup, token_files
+from millrace.llm.common import shared_dir, table
+
+SF = "/root/testdata/sf0.001"
+ODD = [(9001, None), (9002, ""), (9003, "  \n\t "), (9004, "x"), (9005, "ab " * 4000), (9006, "ab " * 4000), (9006, "ab " * 4000), (None, "null id, a text of more than fifty bytes that is not seen elsewhere")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    base = table(spark, SF, "documents").select("doc_id", "text", "source", "lang")
+    odd = spark.createDataFrame([(i, t, None, None) for i, t in ODD], base.schema)
+    return base.union(odd).withColumns({"block": F.lit(1), "key": F.lit("k"), "ids": F.lit(2)}).coalesce(2)
+
+
+@pytest.fixture(scope="module")
+def rows(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def fold(t):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+
+
+@pytest.mark.parametrize("block,wide", [(4 << 20, 48), (20_000, 1)])
+def test_suffix_dedup(docs, rows, block, wide):
+    first = {}
+    number = lambda i: 1 << 62 if i is None else i
+    for i, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49):
+            first[b[p : p + 50]] = min(first.get(b[p : p + 50], 1 << 63), number(i))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49):
+            if first[b[p : p + 50]] < number(i):
+                gone[p : p + 50] = b"\1" * 50
+        want.append((str(i), len(b), sum(gone), bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+    out = suffix_dedup.suffix_dedup(docs, block_bytes=block, wide_blocks=wide).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in out) == sorted(want)
+
+
+def test_near_duplicates(docs, rows):
+    sets = {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", fold(t))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    known = [i for i in sets if i is not None and sets[i]]
+    up = {i: i for i in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for n, a in enumerate(known):
+        for b in known[:n]:
+            x, y = sets[a], sets[b]
+            if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) and 100 * len(x & y) >= 75 * len(x | y):
+                p, q = sorted((root(a), root(b)))
+                up[q] = p
+    got = {(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in minhash_dedup.near_duplicates(docs).collect()}
+    assert got == {(i, len(s), root(i), i == root(i)) for i, s in sets.items()}
+
+
+@pytest.mark.parametrize("block", [250_000, 1500])
+def test_contamination(spark, docs, rows, block):
+    items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()] + [(900, "The"), (901, "of the"), (902, None), (903, "")]
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
+    windows = defaultdict(set)
+    for i, t in items:
+        w = words(t)
+        for k in range(len(w) - min(13, len(w)) + 1 if w else 0):
+            windows[tuple(w[k : k + 13])].add(i)
+    want = []
+    for i, t in rows:
+        w, hit, seen = words(t), set(), set()
+        for m in {len(x) for x in windows}:
+            for k in range(len(w) - m + 1):
+                if (x := tuple(w[k : k + m])) in windows:
+                    seen |= windows[x]
+                    hit |= set(range(k, k + m))
+        want.append((str(i), len(w), len(hit), tuple(sorted(seen)), bool(hit) and 20 * len(hit) >= len(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    out = decontaminate.decided(decontaminate.contamination(docs, bench, block_windows=block)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in out) == sorted(want)
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 64))
+    near = base[:150] + rng.normal(size=(150, 64)) * 0.09
+    x = np.concatenate([base, near, base[:5]])
+    data = [(i, v.tolist(), i % 3 if i < 300 else (i - 300) % 3) for i, v in enumerate(x[:450])] + [(450 + i, base[i].tolist(), i % 3) for i in range(5)]
+    data += [(600, None, 1), (601, [0.0] * 64, 1), (602, [float("nan")] * 64, 1), (603, base[0].tolist(), None), (None, base[0].tolist(), 0), (604, [1.0], 0)]
+    out = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
+    good = [(i, np.array(v), c) for i, v, c in data if i is not None and i < 600]
+    u = np.array([v / np.linalg.norm(v) for _, v, _ in good])
+    lab = np.array([c for *_, c in good])
+    link = (u @ u.T >= 0.98) & (lab[:, None] == lab[None, :])
+    np.fill_diagonal(link, False)
+    n = {i: int(k) for (i, *_), k in zip(good, link.sum(axis=1), strict=True)}
+    assert len(out) == len(data) and all(out[i] <= n[i] for i in n) and sum(out[i] for i in n) >= 0.9 * sum(n.values()) > 0
+    assert all(out[i] == 0 for i in (600, 601, 602, 603, None, 604))
+
+
+def test_token_files(spark, docs, rows):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    out = shared_dir(spark)
+    token_files.write_tokens(docs, out, path, shard_tokens=5000)
+    got = sorted((r.start, r.doc_id, np.frombuffer(r.ids, "<u4").tolist()) for r in token_files.read_tokens(spark, out).collect())
+    want = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    assert [(i, ids) for _, i, ids in got] == [(i, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in want]
+    assert all(a[0] + len(a[2]) == b[0] for a, b in zip(got, got[1:], strict=False))
+    x = np.random.default_rng(1).integers(0, 300, 3000).astype(np.uint16)
+    m = token_files.WaveletMatrix.build(x)
+    assert (m.ids() == x).all() and m.access(77) == x[77] and m.rank(5, 2000) == (x[:2000] == 5).sum() and m.select(5, 2) == np.flatnonzero(x == 5)[2] and m.select(5, 9999) == -1
+
+
+def test_pieces(spark, docs, rows):
+    import sentencepiece
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    out = piece_fst.decode(piece_fst.encode(docs.select("doc_id", "text"), path), path).collect()
+    assert sorted(str((r.doc_id, r.text, list(r.ids))) for r in out) == sorted(str((i, t, sp.encode(t or ""))) for i, t in rows)
+    assert all(r.decoded == (r.text or "") for r in out)
+
+
+def test_language(docs):
+    out = language_id.identify(docs.drop("ids"), language_id.train(docs.filter(~language_id.held_out())), ["doc_id", "text", "lang"]).collect()
+    held = [r for r in out if r.lang]
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
+    assert all(r.lang_pred == "und" and r.score == 0 for r in out if not re.search("[^\\W\\d_]", r.text or ""))
+
+
+def test_lines(docs):
+    out = line_dedup.remove_boilerplate(docs, min_sites=5).collect()
+    sites, first = defaultdict(set), {}
+    number = lambda i: 1 << 62 if i is None else i
+    for r in out:
+        for p, x in enumerate((r.text or "").split("\n")):
+            if x.strip(" "):
+                sites[x.strip(" ")].add(r.source)
+                first[x.strip(" ")] = min(first.get(x.strip(" "), (1 << 63, 0)), (number(r.doc_id), p))
+    for r in out:
+        keep = [x for p, x in enumerate((r.text or "").split("\n")) if not (x.strip(" ") and len(sites[x.strip(" ")]) >= 5 and (number(r.doc_id), p) > first[x.strip(" ")])]
+        assert r.kept == "\n".join(keep)
+
+
+def test_main_text(spark):
+    page = '<html><head><title>T</title></head><body><nav><a href="/">Home</a></nav><div class="cookie-notice">We use cookies here</div><article><h1>Big &amp; new</h1><p>First  para <b>bo</b>ld.<p>More of it</article><footer>(c)</footer></body></html>'
+    df = spark.createDataFrame([(1, page), (2, None), (3, ""), (4, "plain words"), (5, "<p>" * 3000), (6, "<script>x")], "page_id long, html string")
+    out = {r.page_id: r.text for r in html_text.extract(df).collect()}
+    assert out == {1: "Big & new First para bold. More of it", 2: "", 3: "", 4: "plain words", 5: "", 6: ""}
+
+
+def test_secrets(spark):
+    data = [(i, f"some words password={hashlib.md5(str(i).encode()).hexdigest()[:18]} and more") for i in range(60)] + [(100 + i, f"mail to someone.{i}@mail{i}.example.com or 10.20.{i}.30000 now") for i in range(60)] + [(300, None), (301, "")]
+    out = secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.is_secret} == set(range(60)) and {r.doc_id for r in out} >= set(range(60))
+
+
+@pytest.mark.parametrize("run", [suffix_dedup.suffix_dedup, minhash_dedup.near_duplicates, line_dedup.remove_boilerplate, secret_scan.scan, lambda d: language_id.identify(d, language_id.train(d), ["doc_id"]), lambda d: embedding_dedup.near_vectors(d.selectExpr("doc_id AS vec_id", "array(0.5F) AS embedding", "1 AS label"))])
+def test_empty_tables(docs, run):
+    assert run(docs.limit(0)).count() == 0
