@@ -23,7 +23,6 @@ def query(name: str, sql: str):
 
 c = F.col
 r2 = lambda x: F.round(x, 2)
-NETSUM = F.sum(c("l_extendedprice") * (1 - c("l_discount")))
 
 
 @query("d1_summarise", "SELECT o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total, round(avg(o_totalprice), 4) AS mean, min(o_totalprice) AS least, max(o_totalprice) AS most FROM orders GROUP BY 1")
