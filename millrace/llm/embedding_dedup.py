@@ -29,7 +29,7 @@ from .common import components, cut, table
 def quantiser(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
     """The mean and the projection whose signs are the bits."""
     mean = x.mean(axis=0)
-    _, _, axes = np.linalg.svd(x - mean, full_matrices=True)
+    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1].T[::-1]  # principal axes, the largest first
     v = (x - mean) @ axes[:bits].T
     turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
     for _ in range(rounds):
