@@ -11,8 +11,10 @@ is verified against the bucket's centre, the class that shares most band keys; t
 that are still in another component than the centre against one class of its component, in each bucket another one; at
 last, in buckets that still span several components, all pairs across components. No pair within a component is needed,
 so copies aren't expanded into pairs, and no candidate link between components stays untested. Verification is on the
-full shingle sets, after two filters: the set sizes (exact) and the sketch (similarity estimated under `floor`, more
-than four deviations below the threshold, so about as likely to lose a pair as the bands).
+full shingle sets, after three filters: the set sizes (exact), the sketch (similarity estimated under `floor`, more than
+four deviations below the threshold, so about as likely to lose a pair as the bands), and the parities (exact): how many
+shingles fall on each of PARITIES places, modulo two. Two sets differ in as many shingles at least as their parities do,
+so a pair whose parities differ in more places than a link allows is none.
 
 Words are runs of characters other than space and \\x09-\\x0D, A-Z lower-cased; a set holds the distinct runs of `width`
 words as 64-bit hashes (set classes compare 128 bits), or the whole sequence if there are fewer words.
@@ -32,6 +34,7 @@ from pyspark.sql import functions as F
 from .common import M1, M2, M3, U, components, cut, lower_ascii, mix, runs, slices, span_hashes, table, utf8
 
 CHUNK = 2 << 20
+PARITIES = 1024
 
 
 def shingles(offsets: np.ndarray, buf: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,13 +114,17 @@ def _described(docs: DataFrame, width: int, coords: int, rows: int) -> DataFrame
                 np.add.at(s2, doc, mix(h ^ M3))
                 two = ((sk >> U(17)) & U(3)).reshape(j - i, coords // 32, 32) << (2 * np.arange(32, dtype=U))
                 sig = np.bitwise_or.reduce(two, axis=2).view(np.int64)
+                odd = np.zeros((j - i) * (PARITIES // 64), U)
+                place = (h >> U(9)) % U(PARITIES)
+                np.bitwise_xor.at(odd, doc * (PARITIES // 64) + (place >> U(6)).astype(np.int64), U(1) << (place & U(63)))
                 yield pa.record_batch([
                     batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)),
                     pa.FixedSizeListArray.from_arrays(pa.array(key.view(np.int64).ravel()), bands).cast(pa.list_(pa.int64())),
                     pa.FixedSizeListArray.from_arrays(pa.array(sig.ravel()), coords // 32).cast(pa.list_(pa.int64())),
-                ], ["doc_id", "n_shingles", "s1", "s2", "bands", "sig"])
+                    pa.FixedSizeListArray.from_arrays(pa.array(odd.view(np.int64)), PARITIES // 64).cast(pa.list_(pa.int64())),
+                ], ["doc_id", "n_shingles", "s1", "s2", "bands", "sig", "odd"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>")
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>, sig array<long>, odd array<long>")
 
 
 def _sets(docs: DataFrame, width: int) -> DataFrame:
@@ -142,6 +149,14 @@ def _agree(a: str, b: str, coords: int) -> F.Column:
     return out
 
 
+def _apart(a: str, b: str) -> F.Column:
+    """In how many places the parities differ: no more than the shingles that only one of the sets has."""
+    out = F.lit(0)
+    for i in range(PARITIES // 64):
+        out = out + F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))
+    return out
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100, coords: int = 256, rows: int = 5, floor: float = 0.62, turns: int = 3) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_shingles, component_id, kept. Links: den * intersection >= num * union."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -150,7 +165,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     some = seen.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = cut(some.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep")))
     bands = some.join(classes.select(F.col("rep").alias("doc_id"), "s1", "s2", "n_shingles"), ["doc_id", "s1", "s2", "n_shingles"], "left_semi").dropDuplicates(["doc_id", "s1", "s2"])
-    reps = cut(bands.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sig"))
+    reps = cut(bands.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bands", "sig", "odd"))
     keys = reps.select("rep", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").count().filter("count > 1")
     placed = cut(keys.join(shared, "key"))
@@ -161,8 +176,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     involved = placed.select(F.col("rep").alias("doc_id")).distinct()
     sets = cut(_sets(docs.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]), width))
     facts = cut(reps.join(involved.withColumnRenamed("doc_id", "rep"), "rep", "left_semi"))
-    of_a, of_b = (facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("bands").alias(f"bands{x}")) for x in "ab")
+    of_a, of_b = (facts.select(F.col("rep").alias(x), F.col("n").alias(f"n{x}"), F.col("sig").alias(f"sig{x}"), F.col("odd").alias(f"odd{x}"), F.col("bands").alias(f"bands{x}")) for x in "ab")
     alike = (den * F.least("na", "nb") >= num * F.greatest("na", "nb")) & (_agree("siga", "sigb", coords) >= int((0.25 + 0.75 * floor) * coords))
+    # similarity num / den at least, for sets of na and nb that differ in d shingles: (num + den) * d <= (den - num) * (na + nb)
+    alike &= (num + den) * _apart("odda", "oddb") <= (den - num) * (F.col("na") + F.col("nb"))
 
     def verified(near: DataFrame) -> DataFrame:
         """Of pairs (a, b, na, nb) those that are links, by their full sets."""

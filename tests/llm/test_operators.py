@@ -75,6 +75,20 @@ def test_near_duplicates(docs, rows):
     assert got == {(i, len(s), root(i), i == root(i)) for i, s in sets.items()}
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Texts of 24 shingles each, c of which two texts share: links from 100 * c >= 75 * (48 - c), and copies of each."""
+    data, linked = [], {}
+    for c in range(15, 25):
+        for k in range(6):
+            words = [f"w{c}x{k}x{i}" for i in range(28)]
+            other = [*words[: c + 4], *(f"v{c}x{k}x{i}" for i in range(24 - c))]
+            i = 10 * (100 * c + k)
+            data += [(i, " ".join(words)), (i + 1, " ".join(other)), (i + 2, " ".join(other).upper())]
+            linked[i] = 100 * c >= 75 * (48 - c)
+    out = {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert out == {i + j: i if joined or j == 0 else i + 1 for i, joined in linked.items() for j in range(3)}
+
+
 @pytest.mark.parametrize("block", [250_000, 1500])
 def test_contamination(spark, docs, rows, block):
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()] + [(900, "The"), (901, "of the"), (902, None), (903, "")]
