@@ -6,10 +6,13 @@ one character to the next, the share that dictionary words cover, its place in a
 beside it (names of secrets, an assignment or quotes before it). A random forest, trained on labelled findings, scores
 it.
 
-Labelled findings come from at most about `sample_docs` documents: the `labels` column if the caller has one for
-findings, else the rules in RULES (key formats of known issuers, values assigned to a name for a secret), with all other
-candidates as false. The forest sees none of the rules, only the description. The dictionary is the `dictionary_words`
-most frequent words of three and more letters of the same documents. The forest's size doesn't grow with the corpus.
+Labelled findings are the candidates of all documents by the `labels` column if the caller has one for findings (those
+it gives null aren't labelled), else by KNOWN and NAMES (key formats of known issuers, values assigned to a name for a
+secret), with all other candidates as false. The forest trains on at most about `sample_findings` of each kind, chosen by
+a hash and weighted by the inverse of their kind's share, so that kinds count as often as they occur however large the
+table is, and a rare kind is there in full. The forest sees none of the rules, only the description. The dictionary is
+the `dictionary_words` most frequent words of three and more letters of all documents. The forest's size doesn't grow
+with the corpus.
 
 Defined results: null and empty texts have no findings. Repeated rows have findings each. Candidates of one document
 are numbered in order. Where the labelled findings are of one kind only, or there are none, the rules decide and the
@@ -72,20 +75,23 @@ def ruled() -> Column:
     return F.col("candidate").rlike(KNOWN) | (F.col("before").rlike(NAMES) & (F.length("candidate") >= 12))
 
 
-def scan(docs: DataFrame, labels: Column | None = None, sample_docs: int = 20_000, dictionary_words: int = 150, trees: int = 20, depth: int = 5, threshold: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, labels: Column | None = None, sample_findings: int = 20_000, dictionary_words: int = 150, trees: int = 20, depth: int = 5, threshold: float = 0.5) -> DataFrame:
     """docs (doc_id, text) -> doc_id, ordinal, candidate, before, score, is_secret."""
     docs = docs.select("doc_id", "text")
-    n = docs.count()
-    share = min(1.0, sample_docs / max(n, 1))
-    sample = docs.filter((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) < F.lit(share + (share == 1.0)))
-    counts = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})[a-z]{3,12}(?!\p{L})"), 0)).alias("w")).groupBy("w").count()
+    counts = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})[a-z]{3,12}(?!\p{L})"), 0)).alias("w")).groupBy("w").count()
     words = [r.w for r in counts.orderBy(F.col("count").desc(), "w").limit(dictionary_words).collect()]
-    found = described(candidates(docs, ["doc_id"]), words)
-    train = cut(described(candidates(sample, ["doc_id"]), words).withColumn("label", (ruled() if labels is None else labels).cast("double")).select("label", *FEATURES))
-    kinds = {r.label for r in train.select("label").distinct().collect()}
-    if kinds == {0.0, 1.0}:
+    found = described(cut(candidates(docs, ["doc_id"])), words)
+    place = F.xxhash64("doc_id", "ordinal", "candidate", "before") / F.lit(2.0**64) + 0.5
+    labelled = found.withColumns({"label": (ruled() if labels is None else labels).cast("double"), "place": place}).filter("label IS NOT NULL")
+    kinds = {r.label: r for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()}
+    if set(kinds) == {0.0, 1.0}:
+        share = {k: min(1.0, sample_findings / r.n) for k, r in kinds.items()}
+        of_kind = lambda x: F.when(F.col("label") == 1, F.lit(x[1.0])).otherwise(F.lit(x[0.0]))
+        # the first of each kind is in, though all its findings have one hash
+        train = labelled.filter(F.col("place") <= of_kind({k: max(s, kinds[k].first) for k, s in share.items()}))
+        train = cut(train.select("label", (1 / of_kind(share)).alias("weight"), *FEATURES))
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
-        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, maxBins=32, subsamplingRate=1.0).fit(assemble.transform(train))
+        forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, maxBins=32, subsamplingRate=1.0, weightCol="weight").fit(assemble.transform(train))
         scored = forest.transform(assemble.transform(found)).withColumn("score", F.round(vector_to_array("probability")[1], 6))
     else:
         scored = found.withColumn("score", ruled().cast("double"))

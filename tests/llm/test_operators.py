@@ -191,6 +191,19 @@ def test_secrets(spark):
     assert {r.doc_id for r in out if r.is_secret} == set(range(60)) and {r.doc_id for r in out} >= set(range(60))
 
 
+def test_secrets_rarer_than_the_sample(spark, monkeypatch):
+    """30000 documents; three secrets and the most frequent word stand in four of them, not in a sample by hash of doc_id."""
+    outside = [r.id for r in spark.range(30_000).filter(F.xxhash64("id") / F.lit(2.0**64) + 0.5 >= 0.7).limit(4).collect()]
+    special = [(i, f"password={hashlib.md5(str(i).encode()).hexdigest()[:18]} zebra") for i in outside[:3]] + [(outside[3], "zebra " * 40_000)]
+    rest = spark.range(30_000).filter(~F.col("id").isin(outside)).selectExpr("id AS doc_id", "concat('common words 10.20.', id, '.3000000 of it') AS text")
+    words, fits, describe, forest = [], [], secret_scan.described, secret_scan.RandomForestClassifier
+    monkeypatch.setattr(secret_scan, "described", lambda found, w: words.append(w) or describe(found, w))
+    monkeypatch.setattr(secret_scan, "RandomForestClassifier", lambda **k: fits.append(k) or forest(**k))
+    out = secret_scan.scan(rest.union(spark.createDataFrame(special, "doc_id long, text string")), dictionary_words=1).filter("is_secret").collect()
+    assert all(w == ["zebra"] for w in words) and words and len(fits) == 1
+    assert {r.doc_id for r in out} == set(outside[:3])
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.suffix_dedup, minhash_dedup.near_duplicates, line_dedup.remove_boilerplate, secret_scan.scan, lambda d: language_id.identify(d, language_id.train(d), ["doc_id"]), lambda d: embedding_dedup.near_vectors(d.selectExpr("doc_id AS vec_id", "array(0.5F) AS embedding", "1 AS label"))])
 def test_empty_tables(docs, run):
     assert run(docs.limit(0)).count() == 0
