@@ -1,7 +1,9 @@
 """Operator 9: secret scan with a random forest that takes false positives away; DataFrame functions only.
 
-A pattern finds candidates: runs of 12 and more characters of keys and tokens with a digit in them. Each is described by
-its length, the share of digits, capitals and small letters, its distinct characters, the changes of character class from
+A pattern finds candidates: runs of 12 and more characters of keys and tokens; whatever a name for a secret is assigned,
+of any length, up to its quote or white space (a run inside is part of it); headers of PEM blocks. Between the name, the
+sign and the value there may be 32 white-space characters each. Rejecting harmless candidates, such as long words, is
+left to the forest. Each is described by its length, the share of digits, capitals and small letters, its distinct characters, the changes of character class from
 one character to the next, the share that dictionary words cover, its place in a path, address or link, and the words
 beside it (names of secrets, an assignment or quotes before it). A random forest, trained on labelled findings, scores
 it.
@@ -29,10 +31,18 @@ from pyspark.sql import functions as F
 
 from .common import cut, table
 
-CANDIDATE = r"(?<![A-Za-z0-9_+/~@.-])(?=[A-Za-z0-9_+/~@.-]{0,200}?[0-9])[A-Za-z0-9_+/~@.-]{12,}={0,2}"
-#: Fixed: formats of keys of known issuers.
-KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{30,}$|^sk_(?:live|test)_[0-9A-Za-z]{16,}$|^glpat-[0-9A-Za-z_-]{20}$|^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"
-NAMES = r"(?i)(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)[\"']?\s*(?:=|:|=>)\s*[\"']?$"
+#: Fixed: names for secrets.
+NAMED = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+#: The sign of equality after a name isn't padding of the run.
+RUN = rf"(?<![A-Za-z0-9_+/~@.-])[A-Za-z0-9_+/~@.-]{{12,}}(?:(?<!{NAMED})={{1,2}})?"
+PEM = "-----BEGIN [A-Z0-9 ]+-----"
+_SIGN = NAMED + r"[\"']?\s{0,32}(?:=>|=|:)\s{0,32}"
+#: A value after its name; the first two conditions only spare most places the third.
+VALUE = rf"(?<=[=:>\s\"'])(?<=[=:>]\s{{0,32}}[\"']?)(?!(?<==)>)(?:(?<={_SIGN}\")[^\s\"]+|(?<={_SIGN}')[^\s']+|(?<={_SIGN})[^\s\"']+)"
+CANDIDATE = f"{PEM}|{VALUE}|{RUN}"
+#: Fixed: formats of keys of known issuers, and headers of private keys.
+KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{30,}$|^sk_(?:live|test)_[0-9A-Za-z]{16,}$|^glpat-[0-9A-Za-z_-]{20}$|^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|^-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----$"
+NAMES = NAMED + r"[\"']?\s*(?:=|:|=>)\s*[\"']?$"
 NAME = r"(?i)(?:password|passwd|pwd|secret|token|key|credential|auth|login)"
 FEATURES = ["length", "digits", "upper", "lower", "other", "distinct", "changes", "hexadecimal", "covered", "slashes", "dots", "at", "in_link", "named", "assigned", "quoted", "ends"]
 
@@ -47,10 +57,15 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     cut_up = base.select(*keep, F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"), F.split("text", CANDIDATE).alias("between"))
     each = cut_up.select(*keep, F.posexplode(F.arrays_zip(
         "found",
-        F.transform("between", lambda s: F.right(s, F.lit(40))).alias("before"),
+        # with the candidate before it, which can be its name; long enough for all of VALUE's lookbehind
+        F.transform("between", lambda s, i: F.right(F.concat(F.when(i > 0, F.get("found", i - 1)).otherwise(F.lit("")), s), F.lit(80))).alias("before"),
         F.transform(F.expr("slice(between, 2, size(between))"), lambda s: F.substring(s, 1, 20)).alias("after"),
     )).alias("ordinal", "z")).filter("z.found IS NOT NULL")
-    return each.select(*keep, "ordinal", F.regexp_replace("z.found", r"[.\-]+$", "").alias("candidate"), F.coalesce("z.before", F.lit("")).alias("before"), F.coalesce("z.after", F.lit("")).alias("after")).filter(F.length("candidate") >= 12)
+    before = F.coalesce("z.before", F.lit(""))
+    # the point or hyphen after a run is the sentence's; values and headers stay as they are
+    candidate = F.when(before.rlike(NAMES) | F.col("z.found").startswith("-----BEGIN "), F.col("z.found")).otherwise(F.regexp_replace("z.found", r"[.\-]+$", ""))
+    each = each.select(*keep, "ordinal", candidate.alias("candidate"), before.alias("before"), F.coalesce("z.after", F.lit("")).alias("after"))
+    return each.filter((F.length("candidate") >= 12) | F.col("before").rlike(NAMES))
 
 
 def described(found: DataFrame, words: list[str]) -> DataFrame:
@@ -65,7 +80,7 @@ def described(found: DataFrame, words: list[str]) -> DataFrame:
         "covered": 1 - F.length(F.regexp_replace("candidate", known, "")) / F.length("candidate"),
         "slashes": F.length(F.regexp_replace("candidate", "[^/]", "")).cast("double"), "dots": F.length(F.regexp_replace("candidate", "[^.]", "")).cast("double"),
         "at": F.col("candidate").contains("@").cast("double"), "in_link": F.col("before").rlike(r"(?i)(?:https?:|www\.|/)\S*$").cast("double"),
-        "named": F.col("before").rlike(NAME).cast("double"), "assigned": F.col("before").rlike("[=:][\"' ]*$").cast("double"),
+        "named": F.right("before", F.lit(40)).rlike(NAME).cast("double"), "assigned": F.col("before").rlike("[=:][\"' ]*$").cast("double"),
         "quoted": F.col("before").rlike("[\"']$").cast("double"), "ends": F.col("after").rlike("^[\"';,)\\s]|^$").cast("double"),
     })
 

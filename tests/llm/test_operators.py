@@ -191,6 +191,24 @@ def test_secrets(spark):
     assert {r.doc_id for r in out if r.is_secret} == set(range(60)) and {r.doc_id for r in out} >= set(range(60))
 
 
+def test_secret_candidates(spark):
+    """Every kind of secret is a candidate, whatever its characters; rules label values and headers of private keys."""
+    letters = "abcdefghij" * 21
+    texts = {
+        'password = "P@ss!word#2024$Long"': [("P@ss!word#2024$Long", True)], "password=CorrectHorseBatteryStaple": [("CorrectHorseBatteryStaple", True)],
+        "-----BEGIN RSA PRIVATE KEY-----\nMIIEabcdefgh": [("-----BEGIN RSA PRIVATE KEY-----", True), ("MIIEabcdefgh", False)],
+        letters + "7": [(letters + "7", False)], "my_database_password=CorrectHorse#BatteryStaple": [("my_database_password", False), ("CorrectHorse#BatteryStaple", True)],
+        '{"api_key": "it\'s:a%b&c!longer", "n": 1}': [("it's:a%b&c!longer", True)], "token => 'x!y.' and": [("x!y.", False)],
+        "secret" + " " * 30 + "=" + " " * 30 + "a:b:c:d:e:f:g": [("a:b:c:d:e:f:g", True)], "key abcdefghijkl==": [("abcdefghijkl==", False)], "password= and the words of prose.": [("and", False)],
+        "few short words -------------- password=''": [],
+    }
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = defaultdict(list)
+    for r in secret_scan.candidates(df, ["doc_id"]).withColumn("rule", secret_scan.ruled()).orderBy("doc_id", "ordinal").collect():
+        out[r.doc_id].append((r.candidate, r.rule))
+    assert [out[i] for i in range(len(texts))] == list(texts.values())
+
+
 def test_secrets_rarer_than_the_sample(spark, monkeypatch):
     """30000 documents; three secrets and the most frequent word stand in four of them, not in a sample by hash of doc_id."""
     outside = [r.id for r in spark.range(30_000).filter(F.xxhash64("id") / F.lit(2.0**64) + 0.5 >= 0.7).limit(4).collect()]
