@@ -8,13 +8,15 @@ inside it, is the result.
 Weights are learned from labelled pages: pages of the table itself whose markup names the main text by exactly one
 <article> element, at most about `sample_pages` of them, chosen by a hash of page_id. Elements and classes that those
 pages lack get the weights of FURNITURE (names of menus, adverts, notices, comments and the like) or, for anything else,
-of main text. The weights sent to the tasks are bounded by `most_weights`.
+of main text; a learned weight for main text wins over FURNITURE. A page's only <article>, <main>, the body and what is
+around an <article> or <main> never count as of other purpose. The weights sent to the tasks are bounded by `most_weights`.
 
 Inside a block white space becomes one space; blocks are joined by one space in page order. Character references are
 decoded. Scripts, styles, comments and other elements without text for readers are never part of the text.
 
 Defined results: null, empty and tagless input gives what text there is (empty for null and empty). Unclosed elements
-end with their parent; an unclosed script or comment ends with the page. Repeated rows get equal results. Other columns
+end with their parent; an unclosed script, style or comment ends with the page, an unclosed head where something begins
+that can't stand in a head. Of other elements without text for readers that aren't closed, only the tag is dropped. Repeated rows get equal results. Other columns
 are kept; an empty table gives an empty result.
 """
 
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Fixed: elements that hold no text for readers.
-RAW = "script|style|noscript|template|svg|textarea|iframe|object|canvas|select|math|head"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
+RAW = "script|style|noscript|template|svg|textarea|iframe|object|canvas|select|math"
+#: Fixed: those of them that may stand in a head, with the other elements that may.
+HEAD = frozenset("script style noscript template title meta link base head html".split())
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 #: Fixed: elements that stand in a line of text; all others end a block.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Fixed: elements without an end tag.
@@ -42,7 +46,7 @@ GROUP = frozenset("address article aside blockquote body center dialog details d
 #: Fixed: names of elements, and words in class, id and role, that tell of something beside the main text.
 FURNITURE_TAGS = frozenset("nav header footer aside form menu button dialog fieldset".split())
 FURNITURE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disqus|footer|header|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|pager|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toc|toolbar|widget|alert|complementary|contentinfo|search)(?=$|[\s_-])",
+    r"[\s_-](?<![\s_-]no[_-])(?<![\s_-]has[_-])(?<![\s_-]with[_-])(?<![\s_-]without[_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disqus|footer|header|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|pager|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toc|toolbar|widget|alert|complementary|contentinfo|search)(?=$|[\s_-])",
     re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -50,30 +54,79 @@ IN, OUT = 1.0, -0.25
 
 
 def _furniture(tag: str, names: str) -> bool:
-    return tag in FURNITURE_TAGS or bool(names and FURNITURE.search(names))
+    return tag in FURNITURE_TAGS or bool(names and FURNITURE.search(f" {names}"))
+
+
+def tokens(page: str | None):
+    """The matches of TOKEN, without what stands in a head or in elements of RAW."""
+    page = page or ""
+    at, head, title = 0, False, False
+    unclosed: set[str] = set()
+    while m := TOKEN.match(page, at):
+        at = m.end()
+        raw, name = (m.group(1) or "").lower(), (m.group(3) or "").lower()
+        if raw and raw not in unclosed and not (raw in ("svg", "math") and m.group(0).endswith("/>")):
+            if end := re.compile(rf"</{raw}\s*>", re.I).search(page, at):
+                at = end.end()
+            elif raw in ("script", "style"):
+                at = len(page)
+            else:
+                unclosed.add(raw)
+        if head:
+            if name or raw:
+                head = not (name == "head" and m.group(2)) and (bool(m.group(2)) or (name or raw) in HEAD)
+                title = name == "title" and not m.group(2)
+                if head or name == "head":
+                    continue
+            elif title or m.group(0).isspace() or m.group(0)[:2] in ("<!", "<?"):
+                continue
+            else:
+                head = False
+        elif name == "head":
+            head = not m.group(2)
+            if not head:
+                continue
+        yield m
 
 
-def events(page: str | None):
+def events(page: str | None, learned: dict[str, float] | None = None):
     """Yields (kind, value, key, other): kind `tag` with its name, or `text` with the raw text; key names the innermost
-    grouping element, other says if it or one around it names another purpose, depth-first in page order."""
-    stack: list[tuple[str, str, bool]] = [("", "", False)]
-    for m in TOKEN.finditer(page or ""):
-        token = m.group(0)
-        name = m.group(3)
-        if name:
-            tag = name.lower()
-            if m.group(2):
-                if tag in GROUP and any(s[0] == tag for s in stack):
-                    while stack.pop()[0] != tag:
-                        pass
-            elif tag in GROUP and tag not in VOID and not m.group(4).endswith("/"):
-                names = " ".join(x for g in NAMED.findall(m.group(4)) for x in g if x)
-                stack.append((tag, f"{tag}.{names.lower()}" if names else tag, stack[-1][2] or _furniture(tag, names)))
-            yield "tag", tag, stack[-1][1], stack[-1][2]
-        elif m.group(1):
-            yield "tag", m.group(1).lower(), stack[-1][1], stack[-1][2]
-        elif token[0] != "<" or token == "<":
-            yield "text", token, stack[-1][1], stack[-1][2]
+    grouping element, other says if it or one around it names another purpose, depth-first in page order. `learned`
+    has the weights of keys."""
+    found = list(tokens(page))
+    lone = sum((m.group(3) or "").lower() == "article" and not m.group(2) for m in found) == 1
+    around: set[int] = set()  # numbers of the tokens that open an element around <article> or <main>
+    for main in (True, False):
+        stack: list[tuple[str, str, bool, int]] = [("", "", False, -1)]
+        for n, m in enumerate(found):
+            token, name = m.group(0), m.group(3)
+            if name:
+                tag = name.lower()
+                if m.group(2):
+                    if tag in GROUP and any(s[0] == tag for s in stack):
+                        while stack.pop()[0] != tag:
+                            pass
+                elif tag in GROUP and tag not in VOID and not m.group(4).endswith("/"):
+                    if main:
+                        if tag in ("article", "main"):
+                            for s in reversed(stack):
+                                if s[3] in around:
+                                    break
+                                around.add(s[3])
+                            if tag == "main" or lone:
+                                around.add(n)
+                        stack.append((tag, "", False, n))
+                    else:
+                        names = " ".join(x for g in NAMED.findall(m.group(4)) for x in g if x)
+                        key = f"{tag}.{names.lower()}" if names else tag
+                        other = tag != "body" and n not in around and _furniture(tag, names) and not (learned and learned.get(key, 0) > 0)
+                        stack.append((tag, key, stack[-1][2] or other, n))
+            if main:
+                continue
+            if name or m.group(1):
+                yield "tag", (name or m.group(1)).lower(), stack[-1][1], stack[-1][2]
+            elif token[0] != "<" or token == "<":
+                yield "text", token, stack[-1][1], stack[-1][2]
 
 
 def counted(page: str | None) -> dict[tuple[str, str], list[int]]:
@@ -82,7 +135,7 @@ def counted(page: str | None) -> dict[tuple[str, str], list[int]]:
     if page is None or len(re.findall(r"<article\b", page, re.I)) != 1:
         return out
     inside = False
-    for m in TOKEN.finditer(page):
+    for m in tokens(page):
         if m.group(3) and m.group(3).lower() == "article":
             inside = not m.group(2)
         m_name = (m.group(3) or m.group(1) or "").lower()
@@ -121,7 +174,7 @@ def main_text(page: str | None, weights: Weights) -> str:
     best = total = 0.0
     begin = 0
     span = (0, 0)
-    for kind, value, key, other in events(page):
+    for kind, value, key, other in events(page, weights.word):
         if kind == "text":
             text = html.unescape(value)
             words = len(text.split())

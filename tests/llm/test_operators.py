@@ -185,6 +185,14 @@ def test_main_text(spark):
     assert out == {1: "Big & new First para bold. More of it", 2: "", 3: "", 4: "plain words", 5: "", 6: ""}
 
 
+def test_main_text_is_whole(spark):
+    """Names of layouts, unclosed heads and elements closed in themselves take no main text away."""
+    text = "<p>One two three four</p><p>five six seven</p>"
+    pages = [f'<html><body class="single no-sidebar"><article>{text}</article></body></html>', f'<body class="sidebar"><nav>Home</nav><div class="content-with-sidebar">{text}</div></body>', f'<div class="page sidebar"><nav>Home</nav><article class="post has-sidebar widget-{{}}">{text}</article></div>', f'<form class="search"><main id="main">{text}</main></form>', f'<body><svg class="a" /><article>{text}</article><svg><text>no</text></svg>', f"<html><head><meta charset=u><title>No</title><script>no()</script><body>{text}", f"<head><title>No</title>{text}", f"<head><title>No</title></head><body>{text}<select>", f"<article><math/>{text}</article>", f"<body><select-box>{text}</select-box>"]
+    out = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(list(enumerate(pages)), "page_id long, html string")).collect()}
+    assert out == dict.fromkeys(range(len(pages)), "One two three four five six seven")
+
+
 def test_secrets(spark):
     data = [(i, f"some words password={hashlib.md5(str(i).encode()).hexdigest()[:18]} and more") for i in range(60)] + [(100 + i, f"mail to someone.{i}@mail{i}.example.com or 10.20.{i}.30000 now") for i in range(60)] + [(300, None), (301, "")]
     out = secret_scan.scan(spark.createDataFrame(data, "doc_id long, text string")).collect()
