@@ -75,6 +75,15 @@ def _(s, d):
     return io.read_numbered_answers(s, out).withColumn("file", F.regexp_replace("file", "^.*=", ""))
 
 
+@query("a6_numbered_answers_all", "SELECT CAST(conv_id AS VARCHAR) AS file, CAST(turn + 1 AS INTEGER) AS number, trim(replace(text, chr(10), ' ')) AS answer FROM conversations")
+def _(s, d):
+    # all conversations in a fixed number of folders, each line with its conversation
+    out, t = io.scratch(s), T(s, d, "conversations")
+    line = F.concat((c("turn") + 1).cast("string"), F.lit(". "), c("conv_id").cast("string"), F.lit("\t"), F.trim(F.replace("text", F.lit("\n"), F.lit(" "))))
+    t.select(line.alias("value"), F.pmod(F.xxhash64("conv_id"), F.lit(32)).alias("folder")).write.partitionBy("folder").text(out)
+    return io.read_numbered_answers(s, out).select(F.substring_index("answer", "\t", 1).alias("file"), "number", F.expr("substring(answer, instr(answer, '\t') + 1)").alias("answer"))
+
+
 @query("a7_read_columns", "SELECT p_partkey, p_name, p_size FROM part")
 def _(s, d):
     return io.read_columns(s, f"{d}/part.parquet", ["p_partkey", "p_name", "p_size"])
@@ -182,10 +191,34 @@ def _(s, d):
     return out.select("lang", "n_rows", "n_chars", "direction", (c("score") > 0).alias("shared"))
 
 
+OVERLAP_ALL = """WITH l AS (SELECT lang, TRY_CAST(substr(source, 4) AS INTEGER) % 2 AS half, unnest(string_split(text, chr(10))) AS line FROM documents),
+z AS (SELECT lang, count(*) AS n_rows, sum(length(line)) AS n_chars FROM l WHERE half = 0 GROUP BY 1),
+a AS (SELECT lang, line, count(*) AS n FROM l WHERE half = 0 GROUP BY 1, 2), b AS (SELECT lang, line, count(*) AS m FROM l WHERE half = 1 GROUP BY 1, 2),
+s AS (SELECT lang, sum(least(n, m)) AS r, sum(least(n, m) * length(line)) AS h FROM a JOIN b USING (lang, line) GROUP BY 1),
+p AS (SELECT lang, n_rows, n_chars, coalesce(r, 0) AS r, coalesce((coalesce(h, 0) * 20000 + n_chars) // (2 * nullif(n_chars, 0)), 0) AS cs, (coalesce(r, 0) * 20000 + n_rows) // (2 * n_rows) AS ls FROM z LEFT JOIN s USING (lang))
+SELECT lang, CAST(n_rows AS BIGINT) AS n_rows, CAST(n_chars AS BIGINT) AS n_chars, CAST(cs / 10000 AS DECIMAL(10, 4)) AS char_share, CAST(ls / 10000 AS DECIMAL(10, 4)) AS line_share, CAST(((7 * cs + 3 * ls + 5) // 10) / 10000 AS DECIMAL(10, 4)) AS score, CASE WHEN r = 0 THEN 'new' WHEN r = n_rows THEN 'same' ELSE 'changed' END AS direction FROM p"""
+
+
+def _halves(s, d):
+    """Lines of all documents: those of even sources, and those of odd ones."""
+    half = F.expr("try_cast(substring(source, 4) AS int) % 2")
+    lines = T(s, d, "documents").select("lang", (c("doc_id") % 5).alias("part"), half.alias("half"), F.explode(F.split("text", "\n")).alias("line"))
+    return lines.filter("half = 0"), lines.filter("half = 1")
+
+
+@query("i10_overlap_score_all", OVERLAP_ALL)
+def _(s, d):
+    return J.overlap_score(*_halves(s, d), ["lang"], "line")
+
+
+@query("d16_bag_overlap_all", "WITH l AS (SELECT lang, TRY_CAST(substr(source, 4) AS INTEGER) % 2 AS half, unnest(string_split(text, chr(10))) AS line FROM documents), a AS (SELECT lang, line, count(*) AS n FROM l WHERE half = 0 GROUP BY 1, 2), b AS (SELECT lang, line, count(*) AS m FROM l WHERE half = 1 GROUP BY 1, 2) SELECT lang, CAST(sum(least(n, m)) AS BIGINT) AS rows, CAST(sum(least(n, m) * length(line)) AS BIGINT) AS chars FROM a JOIN b USING (lang, line) GROUP BY 1")
+def _(s, d):
+    return A.bag_overlap(*_halves(s, d), ["lang"], "line")
+
+
 @query("i11_item_score")
 def _(s, d):
-    lines = T(s, d, "documents").filter("source IN ('src0', 'src1')").select("lang", (c("doc_id") % 5).alias("part"), "source", F.explode(F.split("text", "\n")).alias("line"))
-    return J.item_score(J.overlap_score(lines.filter("source = 'src0'"), lines.filter("source = 'src1'"), ["lang", "part"], "line"), "lang")
+    return J.item_score(J.overlap_score(*_halves(s, d), ["lang", "part"], "line"), "lang")
 
 
 @query("i12_route", "SELECT CASE WHEN quality IS NULL OR quality <= 0.7 THEN 'automatic' ELSE 'manual' END AS way, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1")

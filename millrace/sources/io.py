@@ -59,8 +59,8 @@ def union_tagged(spark: SparkSession, path: str, schema: str, names: DataFrame,
 
 def read_numbered_answers(spark: SparkSession, path: str) -> DataFrame:
     """Text files with a line `n. answer` each -> file, number, answer; a number inside a line is text."""
-    text = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("file"), F.explode(F.split("value", "\n")).alias("line"))
-    pattern = r"^(\d+)\.\s+(.*)$"
+    text = spark.read.text(path, lineSep="\n").select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("file"), F.col("value").alias("line"))
+    pattern = r"(?s)^(\d+)\.\s+(.*)$"
     return text.filter(F.col("line").rlike(pattern)).select("file", F.regexp_extract("line", pattern, 1).cast("int").alias("number"), F.regexp_extract("line", pattern, 2).alias("answer"))
 
 

@@ -76,3 +76,27 @@ def test_money_and_counter(spark):
     df = spark.createDataFrame([("1 234,50 zł", "wolves 3/8"), ("n/a", "none")], "m string, t string").select(S.parse_money("m").alias("m"), S.split_counter("t").alias("c"))
     a, b = df.collect()
     assert (a.m, a.c.text, a.c.done, a.c.total, b.m, b.c.total) == (1234.5, "wolves", 3, 8, None, None)
+
+
+def test_item_score_reads_all_sources(spark):
+    """The query against brute force over all documents: lines of even sources, and what odd ones have of them."""
+    from collections import Counter, defaultdict
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from millrace import plans
+
+    sf = "/root/testdata/sf0.001"
+    bags = defaultdict(lambda: (Counter(), Counter()))
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang", "source").collect():
+        bags[r.lang, r.doc_id % 5][int(r.source[3:]) % 2].update(r.text.split("\n"))
+    r4 = lambda x: x.quantize(Decimal("0.0001"), ROUND_HALF_UP)
+    total = defaultdict(lambda: [0, 0])
+    for (lang, _), (now, old) in bags.items():
+        chars, both = sum(len(x) * n for x, n in now.items()), now & old
+        if now:
+            share = r4(Decimal(sum(len(x) * n for x, n in both.items())) / chars) if chars else Decimal(0)
+            score = r4(Decimal("0.7") * share + Decimal("0.3") * r4(Decimal(both.total()) / now.total()))
+            total[lang][0] += score * chars
+            total[lang][1] += chars
+    got = {r.lang: r.score for r in plans.queries()["i11_item_score"](spark, sf).collect()}
+    assert set(got) == set(total) and all(abs(got[k] - float(s / n)) <= 0.0001 for k, (s, n) in total.items())
