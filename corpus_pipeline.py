@@ -15,7 +15,7 @@ from millrace.llm.decontaminate import contamination, decided
 from millrace.llm.language_id import identify, train
 from millrace.llm.line_dedup import remove_boilerplate
 from millrace.llm.minhash_dedup import near_duplicates
-from millrace.llm.piece_fst import decode, encode
+from millrace.llm.piece_fst import encode
 
 #: A document stays if its language is known and this likely at least.
 LEAST_SCORE = 0.5
@@ -57,7 +57,7 @@ def pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every document, and if they decode to its text."""
     ship(spark)
     model = public_tokenizers.path("piece_bpe_32k.model")
-    back = decode(encode(docs.select("doc_id", "text", "lang", "source"), model), model)
+    back = encode(docs.select("doc_id", "text", "lang", "source"), model, back=True)
     return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", (F.translate(F.coalesce("text", F.lit("")), "▁", " ") == F.col("decoded")).alias("round_trip"))
 
 
