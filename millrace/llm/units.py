@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from array import array
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
 from .common import M1, M3, U, mix, ragged, span_hashes
 
@@ -88,58 +85,3 @@ def gathered(store: Store, buf: np.ndarray, offsets: np.ndarray, starts: np.ndar
     own = size[codes]
     ends = np.concatenate([[0], np.cumsum(own)])[np.searchsorted(starts, offsets)]
     return held[ragged(start[codes], own)], np.diff(ends)
-
-
-#: Fixed: white space in a text that keeps it from being split at every space and line end.
-ODD = "  | \n|\n |\n\n|[\x00\t\x0b\x0c\r\x1c-\x1f\x85   -     　▁]"
-
-
-def split(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct units, the units of all texts as places in that list, their number for each text, and which texts were
-    too odd to split (they have no units here). A unit is a word with the space before it, or a line end."""
-    odd = np.asarray(pc.match_substring_regex(texts, ODD))
-    plain = pc.if_else(pa.array(odd), "", texts)
-    parts = pc.split_pattern(pc.replace_substring(pc.replace_substring(plain, " ", "\x00 "), "\n", "\x00\n\x00"), "\x00")
-    coded = parts.flatten().dictionary_encode()
-    return coded.dictionary.to_pylist(), np.asarray(coded.indices), np.diff(np.asarray(parts.offsets)), odd
-
-
-class Cache:
-    """Ids of units, kept in a worker process from batch to batch; `most` bounds its memory, the rest is encoded anew."""
-
-    def __init__(self, encode, most: int = 800_000):
-        self.encode, self.most, self.known = encode, most, {}
-
-    def ids(self, unit_list: list[str], kind: str) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the units one after the other, and how many each unit has."""
-        known = self.known
-        got = [known.get(u) for u in unit_list]
-        new = [i for i, g in enumerate(got) if g is None]
-        code = {"<u2": "H", "<u4": "I", "<i4": "i"}[kind]
-        for i, ids in zip(new, self.encode([unit_list[i] for i in new]), strict=True):
-            got[i] = array(code, ids).tobytes()
-            if len(known) < self.most:
-                known[unit_list[i]] = got[i]
-        size = np.dtype(kind).itemsize
-        return np.frombuffer(b"".join(got), kind), np.fromiter(map(len, got), np.int64, len(got)) // size
-
-
-def encoded(texts: pa.Array, cache: Cache, kind: str, whole) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts one after the other, and how many each text has; `whole` encodes a list of odd texts."""
-    if isinstance(texts, pa.ChunkedArray):
-        texts = texts.combine_chunks()
-    texts = pc.fill_null(texts.cast(pa.string()), "")
-    unit_list, codes, per, odd = split(texts)
-    flat, size = cache.ids(unit_list, kind)
-    start = np.cumsum(size) - size
-    ids = flat[ragged(start[codes], size[codes])]
-    ends = np.concatenate([[0], np.cumsum(size[codes])])[np.cumsum(per)]
-    number = np.diff(np.concatenate([[0], ends]))
-    if odd.any():
-        at = np.flatnonzero(odd)
-        pieces, last = [], 0
-        for i, extra in zip(at, whole(texts.take(pa.array(at)).to_pylist()), strict=True):
-            pieces += [ids[last : ends[i]], np.asarray(extra, kind)]
-            last, number[i] = ends[i], len(extra)
-        ids = np.concatenate([*pieces, ids[last:]])
-    return ids, number
