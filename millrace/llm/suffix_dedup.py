@@ -17,8 +17,11 @@ nothing is lost by leaving the other suffixes out. All strings with the same anc
 5. Each block takes the union of what was found.
 
 Equality of whole cells is decided by 128 bits of leading tokens and hash, everything else by the bytes themselves.
-Memory of a task: a block (`block_bytes`) or a bucket of as many suffixes. The driver gets a bounded sample of leading
-tokens for the splitters, nothing else.
+Memory of a task: a block (`block_bytes`), or a bucket, of which there are as many as blocks, so that both stay as large
+whatever the corpus; an anchor that is in every block has a row of some 20 bytes for each of them in its bucket. The
+driver gets the sampled leading tokens for the splitters, PER_BUCKET for each bucket and about MOST_KEYS in all (from
+some 4 TB of text on, buckets grow), nothing else; the splitters are broadcast. A block writes a message to each bucket
+that it has anchors for, never more than it has anchors.
 
 Defined results: null and empty text have zero bytes and no spans. A repeated row (same doc_id) is no earlier document,
 so it removes nothing from its twin. A null doc_id counts as the largest. An empty table gives an empty result; other
@@ -40,8 +43,8 @@ STEP = 1 << 17
 BASE = U(0x2545F4914F6CDD1D)
 BYTE = mix(np.arange(1, 257, dtype=U) * M1)
 LAST = (1 << 63) - 1
-
-
+#: Sampled keys for each bucket, and at most (12 bytes each).
+PER_BUCKET, MOST_KEYS = 16, 1 << 20
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -185,21 +188,28 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
     count = max(1, -(-total // block_bytes))
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("long"))
 
+    # sampled for splitters: some PER_BUCKET anchors for each bucket, of one document in `rare`, until MOST_KEYS are reached
+    wanted = min(PER_BUCKET * count, MOST_KEYS)
+    anchors = max(total // 14, 1)
+    share = min(1.0, max(64 * wanted / anchors, min(1.0, 2000 / max(n, 1))))
+    rate = U(int(min(1.0, wanted / (anchors * share)) * float(1 << 63)) * 2 + 1) if anchors * share > wanted else U(0xFFFFFFFFFFFFFFFF)
+
     def sample(batches):
         for batch in batches:
             offsets, buf = utf8(batch.column(0))
             c = cells(buf, offsets, width)
-            some = np.flatnonzero(mix(c["lead"] + c["rest"]) % U(64) == U(0))[:4096]
+            some = np.flatnonzero(mix(c["lead"] * M1 + c["rest"]) <= rate)
             yield pa.record_batch([pa.array(_keys(c["lead"][some], c["rest"][some]).tolist(), pa.binary())], ["key"])
 
-    some = docs.filter(F.abs(F.xxhash64("doc_id", F.lit("splitters")) % F.lit(1_000_000)) < F.lit(int(1e6 * min(1.0, 2000 / max(n, 1)) + 1))).select("text")
-    keys = np.sort(np.array([r.key for r in some.mapInArrow(sample, "key binary").limit(60 * count + 4000).collect()], "S12"))
+    some = docs.filter((F.xxhash64("doc_id", F.lit("splitters")) / F.lit(2.0**64) + 0.5) < F.lit(share + (share == 1.0))).select("text")
+    keys = np.sort(np.array([r.key for r in some.mapInArrow(sample, "key binary").distinct().collect()], "S12"))
     splitters = np.unique(keys[np.linspace(0, len(keys) - 1, count + 1)[1:-1].astype(int)]) if len(keys) else keys
     buckets = len(splitters) + 1
+    sent = docs.sparkSession.sparkContext.broadcast(splitters)
 
     def listing(key, docs):
         b = _Block(docs, width)
-        cut = b.cuts(splitters)
+        cut = b.cuts(sent.value)
         rows = [(i, x, y) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
         data = [pack(b.lead[x:y], _low(b.rest[x:y], 3), _low(b.one[x:y], 5), b.least[x:y]) for _, x, y in rows]
         return pa.table({"bucket": pa.array([i for i, *_ in rows], pa.int64()), "block": pa.array([key[0].as_py()] * len(rows), pa.int64()), "data": _binary(data)})
@@ -234,7 +244,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
         if not docs.num_rows:
             return pa.table(none)
         b = _Block(docs, width)
-        cut, c = b.cuts(splitters), b.c
+        cut, c = b.cuts(sent.value), b.c
         least, state = b.least.copy(), b.mixed.astype(np.uint8)
         for bucket, data in zip(replies.column("bucket").to_pylist(), replies.column("data").to_pylist(), strict=True):
             place, low, kind = unpack(data, "<u4", "<i8", "u1")
