@@ -2,18 +2,27 @@
 
 Vectors are normalised; a rotation of their principal axes is learned on at most about `sample_rows` of them so that
 signs lose as little as possible, and each vector gets a code of as many bits as it has dimensions, 64 at most. The code
-is cut into `tables` pieces with a table each. A vector looks up every piece at distance nought and one, so pairs within
-2 * tables - 1 bits are found for certain, and those further apart unless all pieces differ by two bits or more. A pair
-is kept at the first table that finds it, so that none comes up twice. Pairs are reranked by the cosine of the original
-vectors in double precision.
-
-Equal vectors of a label form a class first and are never paired. The rest of the work grows with the links between
-different vectors, which n_links counts. A learned rotation and the mean are all that goes to every task; the sample is
-all that comes to the driver. Recall against brute force is measured in tests/llm (at least 0.9; 0.99 and more there).
+is cut into pieces with a table each, of about as many bits as it takes to tell the vectors of a label apart. A vector
+looks up every piece at distance nought and one. A pair goes on if its codes differ in at most `far` bits, at the first
+table that finds it, so that none comes up twice, and is reranked by the cosine of the original vectors in double
+precision.
+
+How many codes. One rotation finds nearly all links where vectors point everywhere. Where they share a direction, links
+are wide apart once the mean is taken away, and one doesn't. So recall is measured while fitting: sampled vectors are
+turned by just the angle of `cosine`, half of them in any direction and half of them in directions in which the sample
+itself differs, and rotations (with codes and tables of their own) are added from other starts until both halves find
+`recall` of their partners; if `most_turns` rotations don't do, pieces get shorter, down to four bits, which finds any.
+That costs time where vectors lie close together, not links. Recall against brute force is measured in tests/llm, for
+vectors without and with a common direction (at least 0.98 there).
+
+Equal vectors of a label form a class first and are never paired. The rest of the work grows with the candidates and
+with the links between different vectors, which n_links counts. Rotations and means of each vector length go to every
+task; the sample is all that comes to the driver.
 
 Defined results: null, empty and zero vectors, and those with null or non-finite components, link with nothing, as do
-vectors whose label is null. Vectors of different lengths never link. Repeated rows of one vec_id with one vector count
-once. A null vec_id links with nothing. Other columns are ignored; an empty table gives an empty result.
+vectors whose label is null. Vectors of different lengths never link. Lengths of any finite size count (vectors are
+scaled before they are squared). Repeated rows of one vec_id with one vector count once. A null vec_id links with
+nothing. Other columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,45 +34,101 @@ from pyspark.sql import functions as F
 
 from .common import components, cut, table
 
-
-def quantiser(x: np.ndarray, bits: int, rounds: int = 30, seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
-    """The mean and the projection whose signs are the bits."""
-    mean = x.mean(axis=0)
-    axes = np.linalg.eigh((x - mean).T @ (x - mean))[1].T[::-1]  # principal axes, the largest first
-    v = (x - mean) @ axes[:bits].T
-    turn = np.linalg.qr(np.random.default_rng(seed).normal(size=(bits, bits)))[0]
-    for _ in range(rounds):
-        a, _, b = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
-        turn = (a @ b).T
-    return mean, axes[:bits].T @ turn
-
-
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).astype(np.float64).reshape(-1, dim)
+#: Vectors whose recall is measured, and the share of turned vectors that `far` lets through.
+MEASURED, NEAR = 1500, 0.9995
+
+
+class Quantiser:
+    """Rotations whose signs are the bits of codes, with the pieces of the codes that are looked up."""
+
+    def __init__(self, x: np.ndarray, width: int, cosine: float, recall: float, most_turns: int, seed: int = 7):
+        self.bits, self.mean = min(64, x.shape[1]), x.mean(axis=0)
+        axes = np.linalg.eigh((x - self.mean).T @ (x - self.mean))[1].T[::-1][: self.bits]  # principal axes, the largest first
+        v = (x - self.mean) @ axes.T
+        rng = np.random.default_rng(seed)
+        turns: list[np.ndarray] = []
+        near = [self._turned(x, cosine, way, rng) for way in (False, True)] if len(x) > 2 and x.shape[1] > 1 else []
+        for width in range(min(width, self.bits), 0, -4):
+            self.width = width
+            self.pieces = max(1, self.bits // self.width)
+            while len(turns) < most_turns:
+                turns.append(axes.T @ self._rotation(v, rng))
+                self.turns = turns
+                self.far, self.recall = self._measured(near)
+                if self.recall >= recall:
+                    return
+            self.far, self.recall = self._measured(near)
+            if self.recall >= recall or width <= 4:
+                return
+
+    @staticmethod
+    def _rotation(v: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
+        turn = np.linalg.qr(rng.normal(size=(v.shape[1], v.shape[1])))[0]
+        for _ in range(rounds):
+            a, _, b = np.linalg.svd(np.where(v @ turn >= 0, 1.0, -1.0).T @ v)
+            turn = (a @ b).T
+        return turn
+
+    @staticmethod
+    def _turned(x: np.ndarray, cosine: float, by_sample: bool, rng) -> tuple[np.ndarray, np.ndarray]:
+        """Some vectors, and each turned by the angle of `cosine`."""
+        a = x[rng.integers(0, len(x), MEASURED)]
+        way = x[rng.integers(0, len(x), MEASURED)] - x[rng.integers(0, len(x), MEASURED)] if by_sample else rng.normal(size=a.shape)
+        way = way - (way * a).sum(axis=1, keepdims=True) * a
+        size = np.linalg.norm(way, axis=1, keepdims=True)
+        ok = size.ravel() > 1e-9
+        return a[ok], cosine * a[ok] + np.sqrt(1 - cosine**2) * way[ok] / size[ok]
+
+    def _measured(self, near: list[tuple[np.ndarray, np.ndarray]]) -> tuple[int, float]:
+        """The bits by which the first two codes of nearly all turned vectors differ, and the share of them that is found."""
+        differ = [self.codes(a) ^ self.codes(b) for a, b in near if len(a)]
+        if not differ:
+            return 2 * self.bits, 1.0
+        apart = [np.bitwise_count(d[:, :2]).sum(axis=1, dtype=np.int64) for d in differ]
+        far = int(max(np.quantile(x, NEAR) for x in apart)) + 1
+        found = []
+        for d, x in zip(differ, apart, strict=True):
+            some = np.zeros(len(d), bool)
+            for t in range(self.pieces):
+                some |= (np.bitwise_count((d >> np.uint64(t * self.width)) & np.uint64((1 << self.width) - 1)) <= 1).any(axis=1)
+            found.append((some & (x <= far)).mean())
+        return far, float(min(found))
+
+    def codes(self, x: np.ndarray) -> np.ndarray:
+        """A row of codes for each unit vector, one for each rotation."""
+        out = np.empty((len(x), len(self.turns)), np.uint64)
+        for k, turn in enumerate(self.turns):
+            code = np.zeros((len(x), 64), bool)
+            code[:, : self.bits] = (x - self.mean) @ turn >= 0
+            out[:, k] = np.packbits(code, axis=1, bitorder="little").view("<u8").ravel()
+        return out
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = 4, sample_rows: int = 10_000) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.99, sample_rows: int = 10_000, most_turns: int = 24) -> DataFrame:
     """vectors (vec_id, embedding, label) -> vec_id, n_links, component_id, kept."""
     rows = cut(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", "label"))
-    spark = rows.sparkSession
     finite = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     good = rows.filter(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite, F.lit(False)) & F.coalesce(F.exists("embedding", lambda v: v != 0), F.lit(False)))
     classes = cut(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("n")).withColumn("dim", F.size("embedding")))
-    links = None
-    for dim, n in classes.groupBy("dim").count().collect():  # a row for each length of vector
-        own = classes.filter(F.col("dim") == dim)
-        share = min(1.0, sample_rows / n)
-        some = own.filter((F.xxhash64("rep") / F.lit(2.0**64) + 0.5) < F.lit(share + (share == 1.0))).select("embedding").toPandas()
-        bits = min(64, dim)
-        mean, turn = quantiser(_unit(np.array(some["embedding"].tolist(), np.float64)) if len(some) else np.eye(dim), bits)
-        found = _links(own, dim, bits, min(tables, bits), cosine, spark.sparkContext.broadcast((mean, turn)))
-        links = found if links is None else links.union(found)
-    if links is None:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    sizes = classes.groupBy("dim", "label").count().groupBy("dim").agg(F.sum("count").alias("n"), F.max("count").alias("most")).filter("most > 1").collect()  # a row for each length of vector
+    if not sizes:
+        links = classes.sparkSession.createDataFrame([], "a long, b long")
+    else:
+        share = F.lit(0.0)
+        for r in sizes:
+            share = F.when(F.col("dim") == r.dim, min(1.0, sample_rows / len(sizes) / r.n)).otherwise(share)
+        some = classes.filter((F.xxhash64("rep") / F.lit(2.0**64) + 0.5) < share + F.when(share >= 1, 1.0).otherwise(0.0)).select("dim", "embedding").toPandas()
+        models = {}
+        for r in sizes:
+            x = np.array(some.loc[some["dim"] == r.dim, "embedding"].tolist(), np.float64).reshape(-1, r.dim)
+            x = _unit(x) if len(x) else np.eye(r.dim)
+            models[r.dim] = Quantiser(x, int(np.clip(np.ceil(np.log2(r.most)) + 3, 8, 24)), cosine, recall, most_turns)
+        links = _links(classes.filter(F.col("dim").isin(list(models))), models, cosine)
     links = cut(links)
     size = classes.select("rep", "n")
     both = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).union(links.select("b", "a"))
@@ -73,38 +138,46 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, tables: int = 4, samp
     # by hash of the vector, not by the vector itself, to keep the join's key short
     key = F.xxhash64("label", "embedding")
     facts = facts.withColumn("key", key).withColumnRenamed("embedding", "e").withColumnRenamed("label", "l")
-    known = rows.withColumn("key", key).join(facts, "key", "left").filter("e IS NULL OR (e = embedding AND l = label)")
+    # the vector's class, if it has one; another class of the same hash is no match
+    same = (F.col("r.key") == F.col("f.key")) & (F.col("f.e") == F.col("r.embedding")) & (F.col("f.l") == F.col("r.label"))
+    known = rows.withColumn("key", key).alias("r").join(facts.alias("f"), same, "left")
     ok = F.col("e").isNotNull() & F.col("vec_id").isNotNull()
     return known.select(
         "vec_id", F.when(ok, F.col("linked") + F.col("n") - 1).otherwise(0).cast("long").alias("n_links"), F.when(ok, F.col("component")).otherwise(F.col("vec_id")).alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 
-def _links(own: DataFrame, dim: int, bits: int, tables: int, cosine: float, sent) -> DataFrame:
-    width = bits // tables
+def _links(classes: DataFrame, models: dict[int, Quantiser], cosine: float) -> DataFrame:
+    """Pairs of classes (a, b) of one label and length whose vectors are at least that near."""
+    sent = classes.sparkSession.sparkContext.broadcast(models)
 
     def run(batches):
-        mean, turn = sent.value
         for batch in batches:
-            x = _matrix(batch.column(2), dim)
-            sign = (_unit(x) - mean) @ turn >= 0
-            code = np.zeros((len(x), 64), bool)
-            code[:, :bits] = sign
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(np.packbits(code, axis=1, bitorder="little").view("<i8").ravel())], ["rep", "label", "code"])
-
-    kind = own.schema["label"].dataType.simpleString()
-    codes = cut(own.select("rep", "label", "embedding").mapInArrow(run, f"rep long, label {kind}, code long"))
-    mask = (1 << width) - 1
-    piece = "CAST(shiftrightunsigned(code, {at}) & {mask} AS INT)"
-    pieces = [piece.format(at=t * width, mask=mask) for t in range(tables)]
-    held = codes.select(F.col("rep").alias("b"), F.col("code").alias("cb"), "label", F.posexplode(F.expr(f"array({', '.join(pieces)})")).alias("table", "value"))
-    near = ", ".join(["0", *(str(1 << i) for i in range(width))])
-    asked = codes.select(F.col("rep").alias("a"), F.col("code").alias("ca"), "label", F.posexplode(F.expr(f"array({', '.join(pieces)})")).alias("table", "own"))
-    asked = asked.select("a", "ca", "label", "table", F.explode(F.expr(f"transform(array({near}), f -> own ^ f)")).alias("value"))
-    differ = "bit_count(shiftrightunsigned(ca ^ cb, {at}) & {mask})"
-    first = " AND ".join(f"(table <= {t} OR {differ.format(at=t * width, mask=mask)} > 1)" for t in range(tables))
-    pairs = asked.join(held, ["label", "table", "value"]).filter(f"a < b AND {first}").select("a", "b")
-    vec = own.select("rep", F.transform("embedding", lambda v: v.cast("double")).alias("v"))
+            dims = np.asarray(batch.column(3))
+            for dim in np.unique(dims):
+                own, model = batch.filter(pa.array(dims == dim)), sent.value[int(dim)]
+                codes = model.codes(_unit(np.asarray(own.column(2).flatten()).astype(np.float64).reshape(-1, dim)))
+                n, k = codes.shape
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(codes.view(np.int64).ravel()))
+                fixed = [pa.array(np.full(n, x, np.int32)) for x in (model.width, model.pieces, model.far)]
+                yield pa.record_batch([own.column(0), own.column(1), own.column(3), lists, *fixed], ["rep", "label", "dim", "codes", "width", "pieces", "far"])
+
+    kind = classes.schema["label"].dataType.simpleString()
+    codes = cut(classes.select("rep", "label", "embedding", "dim").mapInArrow(run, f"rep long, label {kind}, dim int, codes array<long>, width int, pieces int, far int"))
+    piece = "CAST(shiftrightunsigned({code}, CAST(t % pieces AS INT) * width) & (shiftleft(1L, width) - 1) AS INT)"
+    all_ = "sequence(0, size(codes) * pieces - 1)"
+    values = F.posexplode(F.expr(f"transform({all_}, t -> {piece.format(code='codes[CAST(t DIV pieces AS INT)]')})"))
+    held = codes.select(F.col("rep").alias("b"), F.col("codes").alias("cb"), "label", "dim", values.alias("table", "value"))
+    asked = codes.select(F.col("rep").alias("a"), F.col("codes").alias("ca"), "label", "dim", "width", "pieces", "far", values.alias("table", "own"))
+    asked = asked.withColumn("value", F.explode(F.expr("concat(array(own), transform(sequence(0, width - 1), i -> own ^ shiftleft(1, i)))"))).drop("own")
+    apart = " + ".join(f"coalesce(bit_count(get(ca, {k}) ^ get(cb, {k})), 0)" for k in range(2))
+    earlier = piece.format(code="(ca[CAST(t DIV pieces AS INT)] ^ cb[CAST(t DIV pieces AS INT)])")
+    first = f"NOT exists(slice({all_.replace('codes', 'ca')}, 1, table), t -> bit_count({earlier}) <= 1)"
+    pairs = asked.join(held, ["label", "dim", "table", "value"]).filter(f"a < b AND {apart} <= far AND {first}").select("a", "b")
+    # very long and very short vectors are scaled, so that squares neither overflow nor vanish
+    top = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
+    vec = classes.select("rep", "embedding", F.when(top.between(1e-100, 1e100), 1.0).otherwise(top).alias("top"))
+    vec = vec.select("rep", F.transform("embedding", lambda v: v.cast("double") / F.col("top")).alias("v"))
     vec = vec.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)))
     both = pairs.join(vec.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), "a").join(vec.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb")), "b")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
