@@ -6,14 +6,15 @@ frequencies is scaled by `backoff` for each length given up. The document's lang
 its posterior probability with equal priors.
 
 The model learns from text and lang of at most about `sample_docs` labelled documents (all of them where there are no
-more), chosen by a hash of doc_id: Spark counts words and n-grams by language, and the `vocabulary` most frequent of
-each kind (ties by hash) come to the driver and go to the tasks: at most 2 * vocabulary rows of 8 bytes and a float for
-each language.
+more), chosen by a hash of doc_id: Spark counts words and n-grams by language, and those that occur `least` times in
+them come to the driver and go to the tasks, as many as that sample holds: 8 bytes and a number for each language.
 
 A word is a run of letters of the lower-cased text.
 
 Defined results: null text or text without letters gives lang_pred `und` and score 0. With no labelled rows every
-document is `und`. Repeated rows get equal results. Rows without lang aren't learned from. Other columns are ignored.
+document is `und`. Of languages that score alike the first by name is predicted, with its share as score. A text none
+of whose words or characters are known scores alike in all. Repeated rows get equal results. Rows without lang aren't learned from. Columns that are
+kept may have any names but lang_pred and score, which are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, U, mix, ragged, table
+from .common import M1, M2, U, cut, mix, ragged, table
 
 CHUNK = 1 << 20
 
@@ -116,7 +117,7 @@ class Model:
         return [self.langs[b] if ok else "und" for b, ok in zip(best, has, strict=True)], np.where(has, score, 0.0)
 
 
-def train(docs: DataFrame, sample_docs: int = 8000, vocabulary: int = 100_000, longest: int = 5, backoff: float = 0.4) -> Model:
+def train(docs: DataFrame, sample_docs: int = 8000, least: int = 2, longest: int = 5, backoff: float = 0.4) -> Model:
     """Learns from docs (doc_id, text, lang)."""
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
     n = docs.select("doc_id").count()
@@ -142,34 +143,36 @@ def train(docs: DataFrame, sample_docs: int = 8000, vocabulary: int = 100_000, l
                         yield pa.record_batch([pa.array([name] * len(key), pa.string()), pa.array(np.full(len(key), kind, np.int32)), pa.array(key.view(np.int64)), pa.array(number, pa.int64())], ["lang", "kind", "key", "n"])
 
     counts = docs.select("text", "lang").mapInArrow(count, "lang string, kind int, key long, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
-    rows = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by"))  # a short list: the languages
-    bounded = None
-    for kinds in ("kind = 0", "kind > 0"):
-        top = rows.filter(kinds).orderBy(F.col("total").desc(), "kind", "key").limit(vocabulary)
-        bounded = top if bounded is None else bounded.union(top)
-    got = bounded.collect()
-    langs = sorted({x for r in got for x in r.by})
+    counts = cut(counts)
+    langs = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    by = F.map_from_entries(F.collect_list(F.struct("lang", "n")))  # a short list: the languages
+    rows = counts.groupBy("kind", "key").agg(F.sum("n").alias("total"), by.alias("by")).filter(F.col("total") >= least)
+    got = rows.select("kind", "key", *(F.coalesce(F.element_at("by", F.lit(x)), F.lit(0)).cast("double").alias(f"n{k}") for k, x in enumerate(langs))).toArrow()
+    kinds, hashes = (got.column(c).to_numpy() for c in ("kind", "key"))
+    number = np.stack([got.column(f"n{k}").to_numpy() for k in range(len(langs))], axis=1) if langs else np.zeros((len(kinds), 0))
     keys, logs = [], []
     for kind in range(longest + 1):
-        mine = sorted((r for r in got if r.kind == kind), key=lambda r: r.key & 0xFFFFFFFFFFFFFFFF)
-        keys.append(np.array([r.key for r in mine], np.int64).view(U))
-        table_ = np.array([[r.by.get(x, 0) for x in langs] for r in mine], float).reshape(len(mine), len(langs)) + 0.5
-        logs.append(np.log(table_ / np.maximum(table_.sum(axis=0), 1)) if len(mine) else table_)
+        mine = np.flatnonzero(kinds == kind)
+        own = hashes[mine].view(U)
+        order = np.argsort(own)
+        keys.append(own[order])
+        seen = number[mine[order]] + 0.5
+        logs.append(np.log(seen / np.maximum(seen.sum(axis=0), 1)) if len(mine) else seen)
     return Model(langs, keys, logs, backoff)
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs (text, ...) -> the columns `keep` with lang_pred and score."""
-    keep = docs.columns if keep is None else keep
+    keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         for batch in batches:
-            text = batch.column("__text")
+            text = batch.column(len(keep))
             for k in range(0, batch.num_rows, 500):
                 lang, score = sent.value.predict(text.slice(k, 500).to_pylist())
                 part = batch.slice(k, 500)
-                yield pa.record_batch([*(part.column(c) for c in keep), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+                yield pa.record_batch([*(part.column(c) for c in range(len(keep))), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     source = docs.select(*keep, F.col("text").alias("__text"))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")

@@ -112,22 +112,52 @@ def test_contamination(spark, docs, rows, block):
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in out) == sorted(want)
 
 
-def test_near_vectors(spark):
-    rng = np.random.default_rng(3)
-    base = rng.normal(size=(300, 64))
-    near = base[:150] + rng.normal(size=(150, 64)) * 0.09
-    x = np.concatenate([base, near, base[:5]])
-    data = [(i, v.tolist(), i % 3 if i < 300 else (i - 300) % 3) for i, v in enumerate(x[:450])] + [(450 + i, base[i].tolist(), i % 3) for i in range(5)]
-    data += [(600, None, 1), (601, [0.0] * 64, 1), (602, [float("nan")] * 64, 1), (603, base[0].tolist(), None), (None, base[0].tolist(), 0), (604, [1.0], 0)]
-    out = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int")).collect()}
-    good = [(i, np.array(v), c) for i, v, c in data if i is not None and i < 600]
-    u = np.array([v / np.linalg.norm(v) for _, v, _ in good])
-    lab = np.array([c for *_, c in good])
-    link = (u @ u.T >= 0.98) & (lab[:, None] == lab[None, :])
+def by_force(data):
+    """Links, components and kept of (vec_id, vector, label) by all pairs."""
+    u = np.array([np.array(v) / np.abs(v).max() for _, v, _ in data])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    label = np.array([c for *_, c in data])
+    link = (u @ u.T >= 0.98) & (label[:, None] == label[None, :])
     np.fill_diagonal(link, False)
-    n = {i: int(k) for (i, *_), k in zip(good, link.sum(axis=1), strict=True)}
-    assert len(out) == len(data) and all(out[i] <= n[i] for i in n) and sum(out[i] for i in n) >= 0.9 * sum(n.values()) > 0
-    assert all(out[i] == 0 for i in (600, 601, 602, 603, None, 604))
+    least = np.array([i for i, *_ in data])
+    while True:
+        after = np.minimum(least, np.where(link, least[None, :], 1 << 62).min(axis=1))
+        if (after == least).all():
+            return {i: (int(n), int(c)) for (i, *_), n, c in zip(data, link.sum(axis=1), least, strict=True)}
+        least = after
+
+
+@pytest.mark.parametrize("mean,dim", [(0.0, 64), (0.8, 64), (0.9, 64), (0.9, 256), (0.0, 8)])
+def test_near_vectors(spark, mean, dim):
+    """Pairs at cosines from 0.98 to 0.99, about vectors whose cosine is `mean` on average; chains and copies."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(np.sqrt(1 - mean) * unit(rng.normal(size=(600, dim))) + np.sqrt(mean) * unit(rng.normal(size=(1, dim))))
+    cosine = rng.uniform(0.98, 0.99, size=(300, 1))
+    way = rng.normal(size=(300, dim))
+    way = unit(way - (way * base[:300]).sum(axis=1, keepdims=True) * base[:300])
+    near = cosine * base[:300] + np.sqrt(1 - cosine**2) * way
+    good = [(i, v.tolist(), i % 3) for i, v in enumerate(base)] + [(1000 + i, v.tolist(), i % 3) for i, v in enumerate(near)] + [(2000 + i, base[i].tolist(), i % 3) for i in range(5)]
+    good += [(2100 + i, (base[i] * scale).tolist(), i % 3) for i, scale in enumerate([1e200, 1e-200, 1e300, 1e-300])]
+    bad = [(600, None, 1), (601, [0.0] * dim, 1), (602, [float("nan")] * dim, 1), (603, base[0].tolist(), None), (None, base[0].tolist(), 0), (604, [1.0], 0), (605, [], 0), (606, [float("inf")] * dim, 0), (607, [None] * dim, 0)]
+    data = [*good, good[0], *bad]
+    out = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").withColumns({"dim": F.lit(1), "rep": F.lit(2), "key": F.lit(3)})).collect()
+    assert len(out) == len(data) and all(r.kept == (r.vec_id == r.component_id) for r in out if r.vec_id is not None)
+    got, want = {r.vec_id: (r.n_links, r.component_id) for r in out}, by_force(good)
+    assert all(got[i][0] <= n for i, (n, _) in want.items())
+    assert sum(got[i][0] for i in want) >= 0.98 * sum(n for n, _ in want.values()) > 0
+    assert sum(got[i] == x for i, x in want.items()) >= 0.98 * len(want)
+    assert all(got[i] == (0, i) for i, *_ in bad)
+
+
+def test_near_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(4)
+    data = [(100 * dim + k, v.tolist(), 0) for dim in (1, 2, 3, 5, 17) for k, v in enumerate(rng.normal(size=(40, dim)))]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int")).collect()}
+    want = {}
+    for dim in (1, 2, 3, 5, 17):
+        want |= by_force([(i, np.array(v, np.float32).astype(float).tolist(), c) for i, v, c in data if len(v) == dim])
+    assert sum(got[i][0] for i in want) >= 0.98 * sum(n for n, _ in want.values()) and all(got[i][0] <= n for i, (n, _) in want.items())
 
 
 def test_token_files(spark, docs, rows):
@@ -158,10 +188,43 @@ def test_pieces(spark, docs, rows):
 
 
 def test_language(docs):
-    out = language_id.identify(docs.drop("ids"), language_id.train(docs.filter(~language_id.held_out())), ["doc_id", "text", "lang"]).collect()
-    held = [r for r in out if r.lang]
-    assert sum(r.lang == r.lang_pred for r in held) >= 0.97 * len(held)
-    assert all(r.lang_pred == "und" and r.score == 0 for r in out if not re.search("[^\\W\\d_]", r.text or ""))
+    """On documents that weren't learned from, of which lang is known."""
+    docs = docs.withColumn("held_out", F.coalesce(language_id.held_out(), F.lit(False)))
+    out = language_id.identify(docs.drop("ids"), language_id.train(docs.filter(~F.col("held_out"))), ["doc_id", "text", "lang", "held_out"]).collect()
+    held = [r for r in out if r.lang and r.held_out and r.lang_pred != "und"]
+    assert len(held) >= 20 and sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 and (r.lang_pred == "und") == (not re.search("[^\\W\\d_]", r.text or "")) and (r.lang_pred != "und" or r.score == 0) for r in out)
+
+
+def test_language_by_force(spark):
+    """Scores of words, of n-grams of unseen words, ties, against a plain version of the rule."""
+    data = [(i, t, lang) for i, (t, lang) in enumerate([("red green blue red", "x"), ("rot gr\u00fcn blau rot", "y"), ("red sky", "x"), ("der Himmel rot", "y"), ("ignored", None), (None, "x")] * 2)]
+    model = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), longest=3)
+    words, grams = {}, [{}, {}, {}, {}]
+    for _, t, lang in data:
+        for w in re.findall("[^\\W\\d_]+", (t or "").lower()) if lang else []:
+            for table_, keys in [(words, [w]), *((grams[n], [w[k : k + n] for k in range(len(w) - n + 1)]) for n in (1, 2, 3))]:
+                for key in keys:
+                    table_.setdefault(key, {"x": 0, "y": 0})[lang] += 1
+    logs = []
+    for table_ in (words, *grams[1:]):
+        table_ = {k: v for k, v in table_.items() if sum(v.values()) >= 2}
+        total = {lang: sum(v[lang] + 0.5 for v in table_.values()) for lang in "xy"}
+        logs.append({k: [np.log((v[lang] + 0.5) / total[lang]) for lang in "xy"] for k, v in table_.items()})
+    texts = ["red", "Rot", "reden", "blauer red", "xyzzy", "qqq", "123", None, "", "red rot", "gr\u00fcner"]
+    for t, lang, score in zip(texts, *model.predict(texts), strict=True):
+        want, found = np.zeros(2), re.findall("[^\\W\\d_]+", (t or "").lower())
+        for w in found:
+            if w in logs[0]:
+                want += logs[0][w]
+                continue
+            for n in (3, 2, 1):
+                known = [logs[n][w[k : k + n]] for k in range(len(w) - n + 1) if w[k : k + n] in logs[n]]
+                if known:
+                    want += np.mean(known, axis=0) * 0.4 ** (4 - n)
+                    break
+        p = np.exp(want - want.max()) / np.exp(want - want.max()).sum()
+        assert (lang, round(score, 9)) == (("xy"[want.argmax()], round(p.max(), 9)) if found else ("und", 0)), t
 
 
 def test_lines(docs):
