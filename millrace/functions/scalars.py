@@ -47,6 +47,14 @@ def round_to(col, d: int) -> Column:
     return F.round(c(col), d)
 
 
+def modulo(col, n: int) -> Column:
+    return c(col) % n
+
+
+def absolute(col) -> Column:
+    return F.abs(c(col))
+
+
 def to_decimal(col, p: int, s: int) -> Column:
     return c(col).cast(f"decimal({p},{s})")
 
@@ -69,13 +77,15 @@ def file_stem(col) -> Column:
 
 
 def clean_name(col) -> Column:
-    """Without bracketed text, with single blanks."""
-    return F.trim(F.regexp_replace(F.regexp_replace(c(col), r"\([^)]*\)|\[[^\]]*\]", " "), r"\s+", " "))
+    """Without bracketed text, with single blanks; empty for null."""
+    bare = F.regexp_replace(c(col), r"\[[^\]\n]*\]|\([^)\n]*\)", "")
+    return F.coalesce(F.trim(F.regexp_replace(bare, r"\s+", " ")), F.lit(""))
 
 
 def min_level(col) -> Column:
-    """First number of one or two digits in a text, else 0."""
-    return F.coalesce(F.regexp_extract(c(col), r"(\d{1,2})", 1).try_cast("int"), F.lit(0))
+    """The first two digits of what stands before a hyphen, as a number; 0 if there are none."""
+    digits = F.regexp_replace(F.substring_index(c(col), "-", 1), "[^0-9]", "")
+    return F.coalesce(F.substring(digits, 1, 2).try_cast("int"), F.lit(0))
 
 
 def parse_money(col) -> Column:
@@ -103,7 +113,7 @@ def replace_all(col, pairs: dict[str, str]) -> Column:
 
 def paragraphs(col) -> Column:
     """Parts between blank lines, without the empty ones."""
-    return F.filter(F.transform(F.split(c(col), r"\n\s*\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c(col), r"\n\s*\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def rejoin(col, sep: str = "\n\n") -> Column:
@@ -117,12 +127,13 @@ def split_counter(col) -> Column:
 
 
 def has_keyword(col, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.lower(c(col)).contains(w.lower()) for w in words])
+    """If the text has one of the words, in any case; false for an empty list."""
+    return reduce(lambda a, b: a | b, [F.lower(c(col)).contains(w.lower()) for w in words], F.lit(False))
 
 
-def is_text(col, least: int = 2) -> Column:
-    """Has a run of at least `least` letters."""
-    return F.coalesce(c(col).rlike(f"\\p{{L}}{{{least}}}"), F.lit(False))
+def is_text(col) -> Column:
+    """If there is more than blanks or a single hyphen; false for null."""
+    return F.coalesce(~F.trim(c(col)).isin("", "-"), F.lit(False))
 
 
 def text_key(col) -> Column:
@@ -130,8 +141,19 @@ def text_key(col) -> Column:
     return F.when(c(col).isNotNull(), F.lpad(F.lower(F.hex(F.xxhash64(c(col)))), 16, "0"))
 
 
+def rolling_key(col) -> Column:
+    """Two rolling 32-bit sums over the characters of the lower-cased text, as 16 hex digits; null for null and empty."""
+    x = F.lower(c(col))
+
+    def total(first: int, factor: int) -> Column:
+        return F.aggregate(F.split(x, ""), F.lit(first).cast("long"), lambda h, ch: (h * factor + F.ascii(ch)).bitwiseAND(F.lit(0xFFFFFFFF).cast("long")))
+
+    sums = [total(5381, 33), total(0, 65599)]  # fixed: first values and factors of the two sums
+    return F.when(x != "", F.concat(*[F.lpad(F.lower(F.hex(h)), 8, "0") for h in sums]))
+
+
 def split_list(col, sep: str = ",") -> Column:
-    return F.filter(F.transform(F.split(c(col), sep), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c(col), sep), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def explode_struct(df: DataFrame, col: str) -> DataFrame:
@@ -143,6 +165,16 @@ def map_rows(df: DataFrame, col: str) -> DataFrame:
     return df.select(*[x for x in df.columns if x != col], F.explode(col).alias("key", "value"))
 
 
+def map_get(col, key: str, default) -> Column:
+    """The value of a key; the default where the map lacks it or is null."""
+    return F.coalesce(F.try_element_at(c(col), F.lit(key)), F.lit(default))
+
+
+def make_json(*cols: str) -> Column:
+    """Columns as a JSON object; nulls are left out."""
+    return F.to_json(F.struct(*cols))
+
+
 def parse_json(col, schema: str) -> Column:
     return F.from_json(c(col), schema)
 

@@ -73,12 +73,19 @@ def weighted_mean(val: Column, weight: Column) -> Column:
     return F.try_divide(F.sum(val * weight), F.sum(F.when(val.isNotNull(), weight)))
 
 
+def bags(a: DataFrame, b: DataFrame, keys: list[str], val: str) -> DataFrame:
+    """How often both sides have each text of each key: keys, size (characters without trailing blanks), na, nb. Texts meet
+    by 96 bits of hashes and their length, so the shuffle carries neither the texts nor a second copy of a side; null
+    texts have a null size and are no common text."""
+    side = lambda x, n: x.select(*keys, F.xxhash64(val).alias("__h"), F.hash(val).alias("__g"), F.length(val).alias("__l"), F.length(F.rtrim(val)).alias("size"), *[F.lit(int(n == k)).alias(k) for k in ("na", "nb")])
+    return side(a, "na").union(side(b, "nb")).groupBy(*keys, "__h", "__g", "__l", "size").agg(F.sum("na").alias("na"), F.sum("nb").alias("nb"))
+
+
 def bag_overlap(a: DataFrame, b: DataFrame, keys: list[str], val: str) -> DataFrame:
-    """Multiset intersection for each key: shared rows and shared characters. Both sides are counted before they meet, so
-    a line that repeats is one row."""
-    ca, cb = (x.groupBy(*keys, val).agg(F.count("*").alias(n)) for x, n in ((a, "na"), (b, "nb")))
+    """Multiset intersection for each key that has any: shared rows and shared characters (without trailing blanks)."""
     m = F.least("na", "nb")
-    return ca.join(cb, [*keys, val]).groupBy(*keys).agg(F.sum(m).alias("rows"), F.sum(m * F.length(val)).alias("chars"))
+    shared = bags(a, b, keys, val).filter("size IS NOT NULL AND na > 0 AND nb > 0")
+    return shared.groupBy(*keys).agg(F.sum(m).alias("rows"), F.sum(m * F.col("size")).alias("chars"))
 
 
 def set_equals(df: DataFrame, key: str, col: str, values: list) -> DataFrame:
@@ -139,13 +146,13 @@ def forward_sum(df: DataFrame, keys: list[str], order: list, val: str, n: int) -
 
 
 def above_own_average(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Rows above their group's average in all columns, by a window (one shuffle instead of a join's two)."""
-    w = Window.partitionBy(key)
-    for c in cols:
-        df = df.withColumn(f"avg_{c}", F.avg(c).over(w))
+    """Rows above their group's average in all columns. Averages are made before anything is shuffled and joined back, so
+    that no task sorts a whole group; rows with a null key stay out."""
+    means = df.groupBy(key).agg(*[F.avg(c).alias(f"avg_{c}") for c in cols])
+    out = df.join(means, key)
     for c in cols:
-        df = df.filter(F.col(c) > F.col(f"avg_{c}"))
-    return df
+        out = out.filter(F.col(c) > F.col(f"avg_{c}"))
+    return out
 
 
 def with_group_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
@@ -172,6 +179,25 @@ def runs_over(df: DataFrame, keys: list[str], index: str, condition: Column, n:
     return islands(df.filter(condition), keys, index).filter(F.col("length") >= n).drop("island")
 
 
+def run_member(df: DataFrame, keys: list[str], order: list[str], flag: Column, n: int) -> DataFrame:
+    """Adds `member`: if the row is in a run of at least n rows, next to each other in the order, that all have the flag. A
+    window over the result of a window: where the flag begins, then the runs' numbers, then their lengths."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    on = F.coalesce(flag, F.lit(False))
+    out = df.withColumn("__on", on).withColumn("__new", F.when(F.col("__on").eqNullSafe(F.lag("__on").over(w)), 0).otherwise(1))
+    out = out.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = out.withColumn("member", F.col("__on") & (F.count("*").over(Window.partitionBy(*keys, "__run")) >= n))
+    return out.drop("__on", "__new", "__run")
+
+
+def with_windows(df: DataFrame, keys: list[str], order: list, exprs: dict[str, Column], rows: tuple[int, int] | None = None) -> DataFrame:
+    """Several measures over one window: name -> aggregate or window function."""
+    w = Window.partitionBy(*keys).orderBy(*order)
+    if rows:
+        w = w.rowsBetween(*rows)
+    return df.withColumns({n: e.over(w) for n, e in exprs.items()})
+
+
 def next_delta(df: DataFrame, keys: list[str], order: list, val: Column) -> DataFrame:
     return df.withColumn("next_delta", F.lead(val).over(Window.partitionBy(*keys).orderBy(*order)) - val)
 
@@ -193,6 +219,12 @@ def share_of_group(df: DataFrame, keys: list[str], over: list[str], val: str) ->
     return g.withColumn("share", F.try_divide("total", F.sum("total").over(Window.partitionBy(*over))))
 
 
+def latest_pair(df: DataFrame, keys: list[str], rank: str, val: str) -> DataFrame:
+    """Values of rank 1 and rank 2 of each key side by side, and their difference; a missing one counts as nought."""
+    pick = lambda k: F.sum(F.when(F.col(rank) == k, F.col(val)).otherwise(0))
+    return df.groupBy(*keys).agg(pick(1).alias("newest"), pick(2).alias("previous")).withColumn("change", F.col("newest") - F.col("previous"))
+
+
 def newest(df: DataFrame, ts: str, k: int) -> DataFrame:
     """The k newest distinct times with their rank; the window sees k rows only."""
     top = df.select(ts).distinct().orderBy(F.desc(ts)).limit(k)

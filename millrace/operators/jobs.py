@@ -15,9 +15,8 @@ from . import aggregates as A
 
 def snapshot_diff(df: DataFrame, scope: str, ts: str, val: str) -> DataFrame:
     """Newest minus previous value of each scope, where it isn't nought."""
-    two = A.newest(df, ts, 2)
-    g = df.join(F.broadcast(two), ts).groupBy(scope).agg(F.sum(F.when(F.col("rank") == 1, F.col(val)).otherwise(0)).alias("newest"), F.sum(F.when(F.col("rank") == 2, F.col(val)).otherwise(0)).alias("previous"))
-    return g.withColumn("change", F.col("newest") - F.col("previous")).filter("change <> 0")
+    ranked = df.join(F.broadcast(A.newest(df, ts, 2)), ts)
+    return A.latest_pair(ranked, [scope], "rank", val).filter("change <> 0")
 
 
 def changed_keys(df: DataFrame, key: str, ts: str, hash_cols: list[str]) -> DataFrame:
@@ -56,8 +55,11 @@ def load_bridge(df: DataFrame, a: str, dim_a: DataFrame, b: str, dim_b: DataFram
     return out.select(a, b, reason.alias("reason"))
 
 
-def reject_report(df: DataFrame, example: str) -> DataFrame:
-    return df.filter("reason IS NOT NULL").groupBy("reason").agg(F.count("*").alias("n"), F.min(example).alias("first_example"))
+def reject_report(df: DataFrame, example: str, examples: int = 5) -> DataFrame:
+    """Rejected rows by reason: their number, and the first `examples` distinct examples (a report of the top few)."""
+    each = df.filter("reason IS NOT NULL").groupBy("reason", example).agg(F.count("*").alias("n"))
+    first = A.top_n(each, ["reason"], [F.asc_nulls_last(example)], examples).groupBy("reason").agg(F.array_sort(F.collect_list(example)).alias("examples"))
+    return each.groupBy("reason").agg(F.sum("n").alias("n")).join(first, "reason")
 
 
 def unify_label(df: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
@@ -80,20 +82,23 @@ def purge_incomplete(items: DataFrame, details: DataFrame, key: str, stage: str,
 
 
 def overlap_score(now: DataFrame, archive: DataFrame, keys: list[str], line: str) -> DataFrame:
-    """0.7 times the share of characters and 0.3 times the share of lines of `now` that the archive has, as decimal(10,4);
-    each share is rounded before they are put together."""
-    size = now.groupBy(*keys).agg(F.count("*").alias("n_rows"), F.sum(F.length(line)).alias("n_chars"))
-    shared = A.bag_overlap(now, archive, keys, line)
-    both = size.join(shared, keys, "left").fillna(0, ["rows", "chars"])
-    share = lambda a, b: F.coalesce(F.try_divide(F.col(a).cast("decimal(18,4)"), F.col(b).cast("decimal(18,4)")), F.lit(0)).cast("decimal(10,4)")
-    both = both.withColumns({"char_share": share("chars", "n_chars"), "line_share": share("rows", "n_rows")})
+    """For each key of `now`: rows and characters (without trailing blanks) of both sides and those they share, 0.7 times
+    the share of characters and 0.3 times the share of rows of `now` that the archive has, as decimal(10,4), each share
+    rounded before they are put together, and for characters and rows if there are as many now, more or fewer."""
+    m, one = F.least("na", "nb"), F.when(F.col("size").isNotNull(), F.least("na", "nb")).otherwise(0)
+    sums = {f"{what}_{n}": F.sum(F.col(x) * size) for what, size in (("n_rows", F.lit(1)), ("n_chars", F.coalesce("size", F.lit(0)))) for n, x in (("now", "na"), ("archive", "nb"))}
+    sums |= {"n_rows_shared": F.sum(one), "n_chars_shared": F.sum(m * F.coalesce("size", F.lit(0)))}
+    both = A.bags(now, archive, keys, line).groupBy(*keys).agg(*[e.cast("long").alias(n) for n, e in sums.items()]).filter("n_rows_now > 0")
+    share = lambda x: F.coalesce(F.try_divide(F.col(f"{x}_shared").cast("decimal(18,4)"), F.col(f"{x}_now").cast("decimal(18,4)")), F.lit(0)).cast("decimal(10,4)")
+    both = both.withColumns({"char_share": share("n_chars"), "line_share": share("n_rows")})
     score = (F.lit("0.7").cast("decimal(2,1)") * F.col("char_share") + F.lit("0.3").cast("decimal(2,1)") * F.col("line_share")).cast("decimal(10,4)")
-    direction = F.when(F.col("rows") == 0, "new").when(F.col("rows") == F.col("n_rows"), "same").otherwise("changed")
-    return both.select(*keys, "n_rows", "n_chars", "char_share", "line_share", score.alias("score"), direction.alias("direction"))
+    way = lambda x: F.when(F.col(f"{x}_now") == F.col(f"{x}_archive"), "equal").when(F.col(f"{x}_now") > F.col(f"{x}_archive"), "more now").otherwise("fewer now")
+    return both.withColumns({"score": score, "char_direction": way("n_chars"), "line_direction": way("n_rows")})
 
 
 def item_score(scores: DataFrame, item: str) -> DataFrame:
-    g = scores.groupBy(item).agg(F.sum(F.col("score") * F.col("n_chars")).alias("s"), F.sum("n_chars").alias("n"))
+    """The mean score of an item's parts, weighted by their characters; null for an item without any."""
+    g = scores.groupBy(item).agg(F.sum(F.col("score") * F.col("n_chars_now")).alias("s"), F.sum("n_chars_now").alias("n"))
     return g.select(item, F.round(F.try_divide(F.col("s").cast("double"), F.col("n").cast("double")), 4).alias("score"))
 
 
@@ -242,9 +247,11 @@ def split_cached(df: DataFrame, payload: str) -> tuple[DataFrame, DataFrame]:
 
 
 def progress(df: DataFrame, levels: list[str], done: Column) -> DataFrame:
-    """Counts at each level in one pass: level, name, n, done."""
+    """Counts at each level: level, name, n, done. Rows are counted by all levels together first, so that only groups are
+    repeated for each level."""
+    g = df.groupBy(*levels).agg(F.count("*").alias("n"), F.count_if(done).alias("d"))
     sets = F.array(*[F.struct(F.lit(c).alias("level"), F.col(c).cast("string").alias("name")) for c in levels])
-    return df.select(F.explode(sets).alias("g"), done.alias("d")).groupBy("g.level", "g.name").agg(F.count("*").alias("n"), F.count_if("d").alias("done"))
+    return g.select(F.explode(sets).alias("g"), "n", "d").groupBy("g.level", "g.name").agg(F.sum("n").alias("n"), F.sum("d").alias("done"))
 
 
 def templatize(col: str, words: dict[str, str]) -> Column:

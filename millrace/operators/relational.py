@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.io import scratch
+
 MOST_LISTED = 100_000
 
 
@@ -237,3 +239,20 @@ def order_by_list(col: str, values: list[str]) -> Column:
 def retain_snapshots(df: DataFrame, ts: str, k: int) -> DataFrame:
     newest = df.select(ts).distinct().orderBy(F.desc(ts)).limit(k)
     return df.join(newest, ts, "left_semi")
+
+
+def rows_at_positions(df: DataFrame, order: list[str], positions: list[int]) -> DataFrame:
+    """The rows at some positions (from 1; from the end if negative) of the whole table in an order, with `position`. Rows
+    are sorted by ranges and written, so that a row's position is its place in its range and the sizes of those before;
+    only these sizes, one for each range, are summed in one place."""
+    s = df.sparkSession
+    path = scratch(s)
+    sorted_ = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    sorted_.withColumn("__m", F.monotonically_increasing_id()).write.parquet(path)
+    rows = s.read.parquet(path).withColumns({"__range": F.shiftright("__m", 33), "__place": F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = rows.groupBy("__range").agg(F.count("*").alias("__n"))
+    w = Window.orderBy("__range")
+    base = sizes.select("__range", F.coalesce(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"), F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__all"))
+    at = rows.join(F.broadcast(base), "__range").withColumn("position", F.col("__place") + F.col("__base") + 1)
+    wanted = F.array(*[F.lit(p).cast("long") if p > 0 else F.col("__all") + 1 + p for p in positions])
+    return at.filter(F.array_contains(wanted, F.col("position"))).select(*df.columns, "position")

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import growth as year_growth
-from .relational import keep_top_groups
 
 
 def ytd(df: DataFrame, date: str, val: str) -> DataFrame:
@@ -51,6 +50,9 @@ def returns(df: DataFrame, key: str, date: str, price: str, horizons: list[int])
     return out.withColumns({f"return_{h}": F.try_divide(F.col(price), F.lag(price, h).over(w)) - 1 for h in horizons})
 
 
-def by_dim(df: DataFrame, dim: str, group: str, m: Column, n: int) -> DataFrame:
-    """A measure by dimension for the n largest groups only."""
-    return keep_top_groups(df, group, m, n).groupBy(dim, group).agg(m.alias("value"))
+def by_dim(df: DataFrame, dim: str, group: str, val: str | Column, n: int) -> DataFrame:
+    """A sum by dimension for the n largest groups only (ties by group). Facts are summed once, by dimension and group; the
+    groups are ranked on those sums. Null groups stay out."""
+    both = df.filter(F.col(group).isNotNull()).groupBy(dim, group).agg(F.sum(val).alias("value"))
+    top = both.groupBy(group).agg(F.sum("value").alias("__t")).orderBy(F.desc("__t"), group).limit(n).select(group)
+    return both.join(F.broadcast(top), group).select(dim, group, "value")

@@ -285,3 +285,38 @@ def _(s, d):
 def _(s, d):
     per = T(s, d, "orders").groupBy(c("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
     return S.calendar(s, "1996-01-01", "2000-12-31").join(per, "day", "left").fillna(0, ["n"])
+
+
+# positions, windows over windows, named windows
+@query("b11_rows_at_positions", "WITH o AS (SELECT o_orderkey, o_totalprice, row_number() OVER (ORDER BY o_totalprice, o_orderkey) AS position, count(*) OVER () AS n FROM orders) SELECT o_orderkey, o_totalprice, position FROM o WHERE position IN (1, 100, 5000, n)")
+def _(s, d):
+    return R.rows_at_positions(T(s, d, "orders").select("o_orderkey", "o_totalprice"), ["o_totalprice", "o_orderkey"], [1, 100, 5000, -1])
+
+
+@query("d23_latest_pair", "WITH g AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT user_id, n, row_number() OVER (PARTITION BY user_id ORDER BY day DESC) AS rank FROM g) SELECT user_id, CAST(coalesce(sum(n) FILTER (rank = 1), 0) AS BIGINT) AS newest, CAST(coalesce(sum(n) FILTER (rank = 2), 0) AS BIGINT) AS previous, newest - previous AS change FROM r WHERE rank <= 2 GROUP BY 1")
+def _(s, d):
+    g = T(s, d, "events").groupBy("user_id", c("ts").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return A.latest_pair(A.top_n(g, ["user_id"], [F.desc("day")], 2), ["user_id"], "rank", "n")
+
+
+@query("e5_best_months", "WITH g AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, CAST(month(o_orderdate) AS INTEGER) AS month, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY 1, 2) SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY n DESC, total DESC, month) AS INTEGER) AS rank FROM g QUALIFY rank <= 3")
+def _(s, d):
+    g = T(s, d, "orders").groupBy(F.year("o_orderdate").alias("year"), F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+    return A.top_n(g, ["year"], [F.desc("n"), F.desc("total"), F.asc("month")], 3)
+
+
+@query("e20_run_member", "WITH a AS (SELECT event_id, user_id, ts, value > 50 AS hit, CASE WHEN (value > 50) IS NOT DISTINCT FROM lag(value > 50) OVER w THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM a) SELECT event_id, coalesce(hit, false) AND count(*) OVER (PARTITION BY user_id, run) >= 3 AS member FROM b")
+def _(s, d):
+    return A.run_member(T(s, d, "events"), ["user_id"], ["ts", "event_id"], c("value") > 50, 3).select("event_id", "member")
+
+
+@query("e21_with_windows", "SELECT event_id, round(avg(value) OVER w, 6) AS mean, max(value) OVER w AS most, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS 2 PRECEDING)")
+def _(s, d):
+    x = A.with_windows(T(s, d, "events"), ["user_id"], ["ts", "event_id"], {"mean": F.avg("value"), "most": F.max("value"), "n": F.count("*")}, (-2, 0))
+    return x.select("event_id", F.round("mean", 6).alias("mean"), "most", "n")
+
+
+@query("j6_yoy", "WITH g AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1) SELECT year, n, lag(n) OVER (ORDER BY year) AS previous, round(100.0 * (n - lag(n) OVER (ORDER BY year)) / lag(n) OVER (ORDER BY year), 2) AS growth_pct FROM g")
+def _(s, d):
+    g = T(s, d, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+    return A.growth(g, [], "year", "n")  # a row for each year
