@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M1, M2, U, cut, mix, ragged, table
+from .common import M1, M2, U, cut, fresh, mix, ragged, table
 
 CHUNK = 1 << 20
 
@@ -174,7 +174,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
                 part = batch.slice(k, 500)
                 yield pa.record_batch([*(part.column(c) for c in range(len(keep))), pa.array(lang, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
-    source = docs.select(*keep, F.col("text").alias("__text"))
+    source = docs.select(*keep, F.col("text").alias(fresh("text", keep)))
     schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
     return source.mapInArrow(run, schema)
 

@@ -45,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import M1, M2, U, mix, ragged, slices, table, utf8
+from .common import M1, M2, U, fresh, mix, ragged, slices, table, utf8
 from .units import Store, cut_at, gathered
 
 SPACE = "▁"
@@ -525,7 +525,7 @@ def encode(docs: DataFrame, model: str, keep: list[str] | None = None, back: boo
                 yield pa.record_batch([*(own.column(c) for c in range(len(keep))), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids)), *more], names)
 
     fields = [*docs.select(*keep).schema.fields, StructField("ids", ArrayType(IntegerType()))]
-    return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, StructType(fields + [StructField("decoded", StringType())] * back))
+    return docs.select(*keep, F.col("text").alias(fresh("text", keep))).mapInArrow(run, StructType(fields + [StructField("decoded", StringType())] * back))
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:
