@@ -156,14 +156,19 @@ def _links(classes: DataFrame, models: dict[int, Quantiser], cosine: float) -> D
             dims = np.asarray(batch.column(3))
             for dim in np.unique(dims):
                 own, model = batch.filter(pa.array(dims == dim)), sent.value[int(dim)]
-                codes = model.codes(_unit(np.asarray(own.column(2).flatten()).astype(np.float64).reshape(-1, dim)))
+                x = np.asarray(own.column(2).flatten()).astype(np.float64).reshape(-1, dim)
+                codes = model.codes(_unit(x))
                 n, k = codes.shape
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(codes.view(np.int64).ravel()))
                 fixed = [pa.array(np.full(n, x, np.int32)) for x in (model.width, model.pieces, model.far)]
-                yield pa.record_batch([own.column(0), own.column(1), own.column(3), lists, *fixed], ["rep", "label", "dim", "codes", "width", "pieces", "far"])
+                # very long and very short vectors are scaled, so that squares neither overflow nor vanish
+                top = np.abs(x).max(axis=1, keepdims=True)
+                x = x / np.where((top < 1e-100) | (top > 1e100), top, 1.0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
+                yield pa.record_batch([own.column(0), own.column(1), own.column(3), lists, *fixed, vectors, pa.array(np.linalg.norm(x, axis=1))], ["rep", "label", "dim", "codes", "width", "pieces", "far", "v", "norm"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    codes = cut(classes.select("rep", "label", "embedding", "dim").mapInArrow(run, f"rep long, label {kind}, dim int, codes array<long>, width int, pieces int, far int"))
+    codes = cut(classes.select("rep", "label", "embedding", "dim").mapInArrow(run, f"rep long, label {kind}, dim int, codes array<long>, width int, pieces int, far int, v array<double>, norm double"))
     piece = "CAST(shiftrightunsigned({code}, CAST(t % pieces AS INT) * width) & (shiftleft(1L, width) - 1) AS INT)"
     all_ = "sequence(0, size(codes) * pieces - 1)"
     values = F.posexplode(F.expr(f"transform({all_}, t -> {piece.format(code='codes[CAST(t DIV pieces AS INT)]')})"))
@@ -174,11 +179,7 @@ def _links(classes: DataFrame, models: dict[int, Quantiser], cosine: float) -> D
     earlier = piece.format(code="(ca[CAST(t DIV pieces AS INT)] ^ cb[CAST(t DIV pieces AS INT)])")
     first = f"NOT exists(slice({all_.replace('codes', 'ca')}, 1, table), t -> bit_count({earlier}) <= 1)"
     pairs = asked.join(held, ["label", "dim", "table", "value"]).filter(f"a < b AND {apart} <= far AND {first}").select("a", "b")
-    # very long and very short vectors are scaled, so that squares neither overflow nor vanish
-    top = F.array_max(F.transform("embedding", lambda v: F.abs(v.cast("double"))))
-    vec = classes.select("rep", "embedding", F.when(top.between(1e-100, 1e100), 1.0).otherwise(top).alias("top"))
-    vec = vec.select("rep", F.transform("embedding", lambda v: v.cast("double") / F.col("top")).alias("v"))
-    vec = vec.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, v: s + v * v)))
+    vec = codes.select("rep", "v", "norm")
     both = pairs.join(vec.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), "a").join(vec.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb")), "b")
     dot = F.aggregate(F.zip_with("va", "vb", lambda x, y: x * y), F.lit(0.0), lambda s, v: s + v)
     return both.filter(dot / (F.col("na") * F.col("nb")) >= cosine).select("a", "b")
