@@ -1,23 +1,27 @@
 """Operator 2: main text of HTML pages as the maximum-scoring run of words and tags.
 
 A page is read as a sequence of words and tags. A word weighs as its element does (the log odds that words there belong
-to the main text), a tag weighs less than nought, the more so the less it occurs inside main text. A single scan over
-the sequence finds the contiguous run of the largest sum; its text, without what stands in elements of other purpose
-inside it, is the result.
+to the main text; words of links are against it, as menus are made of them), a tag weighs less than nought, the more so
+the less it occurs inside main text, and very little inside elements of other purpose. A single scan over the sequence
+finds the contiguous run of the largest sum (`best_run`), which is widened to whole blocks; its text, without what stands in elements of other purpose
+inside it, is the result. Words of links in main text are part of the result.
 
 Weights are learned from labelled pages: pages of the table itself whose markup names the main text by exactly one
 <article> element, at most about `sample_pages` of them, chosen by a hash of page_id. Elements and classes that those
 pages lack get the weights of FURNITURE (names of menus, adverts, notices, comments and the like) or, for anything else,
 of main text; a learned weight for main text wins over FURNITURE. A page's only <article>, <main>, the body and what is
-around an <article> or <main> never count as of other purpose. The weights sent to the tasks are bounded by `most_weights`.
+around an <article> or <main> never count as of other purpose, nor do headings in the <header> of an <article> or
+<main>. A page that has no main text by these names is read again without regard to classes, ids and roles. The weights
+sent to the tasks are those of the sampled pages' elements.
 
 Inside a block white space becomes one space; blocks are joined by one space in page order. Character references are
 decoded. Scripts, styles, comments and other elements without text for readers are never part of the text.
 
 Defined results: null, empty and tagless input gives what text there is (empty for null and empty). Unclosed elements
 end with their parent; an unclosed script, style or comment ends with the page, an unclosed head where something begins
-that can't stand in a head. Of other elements without text for readers that aren't closed, only the tag is dropped. Repeated rows get equal results. Other columns
-are kept; an empty table gives an empty result.
+that can't stand in a head. Of other elements without text for readers that aren't closed, only the tag is dropped. Of
+runs with equal sums the first and longest is taken. Repeated rows get equal results. Other columns are kept, but one
+named text is replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 #: Fixed: elements that hold no text for readers.
-RAW = "script|style|noscript|template|svg|textarea|iframe|object|canvas|select|math"
+RAW = "script|style|noscript|template|svg|textarea|iframe|object|canvas|select"
 #: Fixed: those of them that may stand in a head, with the other elements that may.
 HEAD = frozenset("script style noscript template title meta link base head html".split())
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})(?=[\s/>])[^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>|<[!?][^>]*>|[^<]+|<", re.S | re.I)
 #: Fixed: elements that stand in a line of text; all others end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins math mi mn mo mrow msub msup mfrac msqrt mtext kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Fixed: elements without an end tag.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that group others; only these can hold text of other purpose.
@@ -50,7 +54,16 @@ FURNITURE = re.compile(
     re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-IN, OUT = 1.0, -0.25
+#: Fixed: elements at which an unclosed link ends.
+ENDS_LINK = frozenset("p li td th tr ul ol dl dt dd table pre hr".split())
+#: Fixed: headings.
+HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
+#: Weights of words of main text and of other text by name, of words of links, and of tags inside elements of other purpose.
+IN, OUT, LINK, PASSED = 1.0, -0.02, -0.5, -0.02
+
+
+#: Kinds of elements.
+MAIN, HEAD_OF_MAIN, OTHER = 0, 1, 2
 
 
 def _furniture(tag: str, names: str) -> bool:
@@ -65,7 +78,7 @@ def tokens(page: str | None):
     while m := TOKEN.match(page, at):
         at = m.end()
         raw, name = (m.group(1) or "").lower(), (m.group(3) or "").lower()
-        if raw and raw not in unclosed and not (raw in ("svg", "math") and m.group(0).endswith("/>")):
+        if raw and raw not in unclosed and not (raw == "svg" and m.group(0).endswith("/>")):
             if end := re.compile(rf"</{raw}\s*>", re.I).search(page, at):
                 at = end.end()
             elif raw in ("script", "style"):
@@ -89,21 +102,30 @@ def tokens(page: str | None):
         yield m
 
 
-def events(page: str | None, learned: dict[str, float] | None = None):
-    """Yields (kind, value, key, other): kind `tag` with its name, or `text` with the raw text; key names the innermost
-    grouping element, other says if it or one around it names another purpose, depth-first in page order. `learned`
-    has the weights of keys."""
+def events(page: str | None, learned: dict[str, float] | None = None, by_name: bool = True):
+    """Yields (kind, value, key, other, link): kind `tag` with its name, or `text` with the raw text; key names the
+    innermost grouping element, other says if it or one around it names another purpose, link if it is in a link,
+    depth-first in page order. `learned` has the weights of keys; without `by_name` classes, ids and roles say nothing."""
     found = list(tokens(page))
     lone = sum((m.group(3) or "").lower() == "article" and not m.group(2) for m in found) == 1
     around: set[int] = set()  # numbers of the tokens that open an element around <article> or <main>
     for main in (True, False):
-        stack: list[tuple[str, str, bool, int]] = [("", "", False, -1)]
+        stack: list[tuple[str, str, int, int]] = [("", "", MAIN, -1)]
+        link = heading = False
         for n, m in enumerate(found):
             token, name = m.group(0), m.group(3)
+            before = stack[-1][2] == OTHER or (stack[-1][2] == HEAD_OF_MAIN and not heading)
             if name:
                 tag = name.lower()
+                if tag == "a":
+                    link = not m.group(2) and "href" in m.group(4).lower()
+                elif tag in ENDS_LINK:
+                    link = False
+                if tag in HEADINGS:
+                    heading = not m.group(2)
                 if m.group(2):
                     if tag in GROUP and any(s[0] == tag for s in stack):
+                        link = False
                         while stack.pop()[0] != tag:
                             pass
                 elif tag in GROUP and tag not in VOID and not m.group(4).endswith("/"):
@@ -115,18 +137,22 @@ def events(page: str | None, learned: dict[str, float] | None = None):
                                 around.add(s[3])
                             if tag == "main" or lone:
                                 around.add(n)
-                        stack.append((tag, "", False, n))
+                        stack.append((tag, "", MAIN, n))
                     else:
-                        names = " ".join(x for g in NAMED.findall(m.group(4)) for x in g if x)
+                        names = " ".join(x for g in NAMED.findall(m.group(4)) for x in g if x) if by_name else ""
                         key = f"{tag}.{names.lower()}" if names else tag
-                        other = tag != "body" and n not in around and _furniture(tag, names) and not (learned and learned.get(key, 0) > 0)
-                        stack.append((tag, key, stack[-1][2] or other, n))
+                        kind = MAIN
+                        if tag != "body" and n not in around and _furniture(tag, names) and not (learned and learned.get(key, 0) > 0):
+                            own = tag == "header" and not _furniture("", names) and any(s[0] in ("article", "main") for s in stack)
+                            kind = HEAD_OF_MAIN if own else OTHER
+                        stack.append((tag, key, max(kind, stack[-1][2]), n))
             if main:
                 continue
+            other = stack[-1][2] == OTHER or (stack[-1][2] == HEAD_OF_MAIN and not heading)
             if name or m.group(1):
-                yield "tag", (name or m.group(1)).lower(), stack[-1][1], stack[-1][2]
+                yield "tag", (name or m.group(1)).lower(), stack[-1][1], other or before, link
             elif token[0] != "<" or token == "<":
-                yield "text", token, stack[-1][1], stack[-1][2]
+                yield "text", token, stack[-1][1], other, link
 
 
 def counted(page: str | None) -> dict[tuple[str, str], list[int]]:
@@ -142,7 +168,7 @@ def counted(page: str | None) -> dict[tuple[str, str], list[int]]:
         if m_name:
             out.setdefault(("tag", m_name), [0, 0])[inside] += 1
     inside = False
-    for kind, value, key, _ in events(page):
+    for kind, value, key, *_ in events(page):
         if kind == "tag" and value == "article":
             inside = key.startswith("article")
         elif kind == "text" and (n := len(value.split())):
@@ -163,40 +189,56 @@ class Weights:
     def of_word(self, key: str, other: bool) -> float:
         return OUT if other else self.word.get(key, IN)
 
-    def of_tag(self, tag: str) -> float:
+    def of_tag(self, tag: str, other: bool) -> float:
+        if other:
+            return PASSED
         known = self.tag.get(tag)
         return known if known is not None else -1.0 if tag in FURNITURE_TAGS else -0.2
 
 
-def main_text(page: str | None, weights: Weights) -> str:
-    """The text of the run with the largest sum; of equal sums the first and longest."""
-    parts: list[tuple[str, bool]] = []  # text of the sequence, None for the end of a block; if it belongs to the main text
+def best_run(gains: list[float]) -> tuple[int, int]:
+    """The run with the largest sum, as start and end; of equal sums the first, and of those that begin there the longest.
+    (0, 0) if no sum is over nought."""
     best = total = 0.0
-    begin = 0
-    span = (0, 0)
-    for kind, value, key, other in events(page, weights.word):
-        if kind == "text":
-            text = html.unescape(value)
-            words = len(text.split())
-            weight = weights.of_word(key, other)
-            parts.append((text, not other and weight > 0))
-            gain = words * weight
-        else:
-            parts.append(("" if value in INLINE else "\x00", True))
-            gain = weights.of_tag(value)
+    begin, span = 0, (0, 0)
+    for i, gain in enumerate(gains):
         if total <= 0:
-            total, begin = 0.0, len(parts) - 1
+            total, begin = 0.0, i
         total += gain
         if total > best or (total == best and span[0] == begin and best > 0):
-            best, span = total, (begin, len(parts))
-    # \x00 marks the ends of blocks; the input's own is no text
-    blocks = "".join(t if t == "\x00" else t.replace("\x00", " ") for t, ok in parts[span[0] : span[1]] if ok).split("\x00")
-    return " ".join(x for b in blocks if (x := " ".join(b.split())))
+            best, span = total, (begin, i + 1)
+    return span
 
 
-def extract(pages: DataFrame, sample_pages: int = 2000, most_weights: int = 5000, keep: list[str] | None = None) -> DataFrame:
+def main_text(page: str | None, weights: Weights, by_name: bool = True) -> str:
+    """The text of the best run."""
+    parts: list[str] = []  # texts, \x00 for the end of a block
+    held: list[bool] = []  # if it belongs to the main text
+    gains: list[float] = []
+    for kind, value, key, other, link in events(page, weights.word, by_name):
+        if kind == "text":
+            text = html.unescape(value)
+            weight = weights.of_word(key, other)
+            parts.append(text.replace("\x00", " "))  # the input's own is no text
+            held.append(not other and weight > 0)
+            gains.append(len(text.split()) * (min(weight, LINK) if link and not other else weight))
+        else:
+            parts.append("" if value in INLINE else "\x00")
+            held.append(True)
+            gains.append(weights.of_tag(value, other))
+    start, end = best_run(gains)
+    while 0 < start < end and parts[start - 1] != "\x00":  # whole blocks
+        start -= 1
+    while start < end < len(parts) and parts[end - 1] != "\x00":
+        end += 1
+    blocks = "".join(t for t, ok in zip(parts[start:end], held[start:end], strict=True) if ok).split("\x00")
+    out = " ".join(x for b in blocks if (x := " ".join(b.split())))
+    return main_text(page, weights, False) if not out and by_name else out
+
+
+def extract(pages: DataFrame, sample_pages: int = 2000, keep: list[str] | None = None) -> DataFrame:
     """pages (page_id, html, ...) -> the columns `keep` with text."""
-    keep = [c for c in pages.columns if c != "text"] if keep is None else keep
+    keep = [c for c in (pages.columns if keep is None else keep) if c != "text"]
     labelled = pages.filter(F.coalesce(F.col("html"), F.lit("")).rlike("(?i)<article\\b"))
     n = labelled.select("page_id").count()
     share = min(1.0, sample_pages / max(n, 1))
@@ -213,18 +255,18 @@ def extract(pages: DataFrame, sample_pages: int = 2000, most_weights: int = 5000
             yield pa.record_batch([pa.array([k[0] for k in total], pa.string()), pa.array([k[1] for k in total], pa.string()), pa.array([v[0] for v in total.values()], pa.int64()), pa.array([v[1] for v in total.values()], pa.int64())], ["kind", "key", "outside", "inside"])
 
     counts = sample.mapInArrow(count, "kind string, key string, outside long, inside long").groupBy("kind", "key").agg(F.sum("outside").alias("outside"), F.sum("inside").alias("inside"))
-    rows = counts.orderBy((F.col("outside") + F.col("inside")).desc(), "kind", "key").limit(most_weights).collect()
+    rows = counts.orderBy("kind", "key").collect()  # the elements of about sample_pages pages
     sent = pages.sparkSession.sparkContext.broadcast(Weights([tuple(r) for r in rows]))
 
     def run(batches):
         for batch in batches:
-            source = batch.column("__html")
+            source = batch.column(len(keep))
             for k in range(0, batch.num_rows, 1000):
                 own = batch.slice(k, 1000)
                 text = [main_text(p, sent.value) for p in source.slice(k, 1000).to_pylist()]
-                yield pa.record_batch([*(own.column(c) for c in keep), pa.array(text, pa.string())], [*keep, "text"])
+                yield pa.record_batch([*(own.column(c) for c in range(len(keep))), pa.array(text, pa.string())], [*keep, "text"])
 
-    return pages.select(*keep, F.col("html").alias("__html")).mapInArrow(run, pages.select(*keep).schema.add("text", "string"))
+    return pages.select(*keep, F.col("html").alias(fresh("html", keep))).mapInArrow(run, pages.select(*keep).schema.add("text", "string"))
 
 
 def op2_main_text(spark, sf_dir: str) -> DataFrame:
