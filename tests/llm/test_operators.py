@@ -89,8 +89,8 @@ def test_near_duplicates_at_the_threshold(spark):
     assert out == {i + j: i if joined or j == 0 else i + 1 for i, joined in linked.items() for j in range(3)}
 
 
-@pytest.mark.parametrize("block", [250_000, 1500])
-def test_contamination(spark, docs, rows, block):
+@pytest.mark.parametrize("small", [100_000, 0])
+def test_contamination(spark, docs, rows, small):
     items = [(r.item_id, r.text) for r in table(spark, SF, "benchmark").collect()] + [(900, "The"), (901, "of the"), (902, None), (903, "")]
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", fold(t))
     windows = defaultdict(set)
@@ -107,8 +107,8 @@ def test_contamination(spark, docs, rows, block):
                     seen |= windows[x]
                     hit |= set(range(k, k + m))
         want.append((str(i), len(w), len(hit), tuple(sorted(seen)), bool(hit) and 20 * len(hit) >= len(w)))
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    out = decontaminate.decided(decontaminate.contamination(docs, bench, block_windows=block)).collect()
+    bench = spark.createDataFrame([*items, (None, "the of")], "item_id long, text string").withColumn("pattern", F.lit(1))
+    out = decontaminate.decided(decontaminate.contamination(docs.withColumns({"row": F.lit(1), "m": F.lit(2), "hits": F.lit(3)}), bench, broadcast_windows=small)).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_hit, tuple(sorted(r["items"])), r.contaminated) for r in out) == sorted(want)
 
 
@@ -293,6 +293,13 @@ def test_secrets_rarer_than_the_sample(spark, monkeypatch):
     assert {r.doc_id for r in out} == set(outside[:3])
 
 
+def test_contamination_without_items(spark, docs):
+    none = spark.createDataFrame([(1, None), (2, " . ")], "item_id long, text string")
+    out = decontaminate.decided(decontaminate.contamination(docs, none)).collect()
+    assert len(out) == docs.count() and not any(r.contaminated or r.n_hit or r["items"] or r.hits for r in out)
+    assert decontaminate.decided(decontaminate.contamination(docs.limit(0), table(spark, SF, "benchmark"))).count() == 0
+
+
 @pytest.mark.parametrize("run", [suffix_dedup.suffix_dedup, minhash_dedup.near_duplicates, line_dedup.remove_boilerplate, secret_scan.scan, lambda d: language_id.identify(d, language_id.train(d), ["doc_id"]), lambda d: embedding_dedup.near_vectors(d.selectExpr("doc_id AS vec_id", "array(0.5F) AS embedding", "1 AS label"))])
 def test_empty_tables(docs, run):
     assert run(docs.limit(0)).count() == 0
