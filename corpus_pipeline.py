@@ -2,6 +2,12 @@
 
 run(spark, sf_dir) applies STAGES to the table documents. Every stage works on all that the one before it kept; its
 result is written as a table in the shared folder and read again. The last stage returns the encoded documents.
+
+Each row is a document of its own, also where doc_id is null or comes twice: stages that decide by groups number the rows
+of their input (in the order of doc_id, nulls last, then of the texts' hashes) and decide by that number. Columns may
+have any names; besides doc_id, text, lang and source they are carried along as they are, but n_chars follows the text.
+Null and empty texts have no language, so the first stage takes them out; a later stage leaves them alone. Empty tables
+give empty tables.
 """
 
 from __future__ import annotations
@@ -19,46 +25,68 @@ from millrace.llm.piece_fst import encode
 
 #: A document stays if its language is known and this likely at least.
 LEAST_SCORE = 0.5
+USED = ("doc_id", "text", "lang", "source")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, lang and source, and all other columns as one, `rest`."""
+    others = [c for c in docs.columns if c not in USED]
+    return docs.select(*USED, (F.struct(*others) if others else F.lit(None).cast("string")).alias("rest"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, in their order."""
+    return rows.select(*(F.col(c) if c in USED else F.col("rest").getField(c).alias(c) for c in docs.columns))
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """packed(docs) with `row`, a number for each row in the order of doc_id, as a written table."""
+    rows = packed(docs).withColumns({"__h": F.xxhash64("text"), "__m": F.monotonically_increasing_id()})
+    order = [F.col("doc_id").asc_nulls_last(), F.col("__h"), F.col("__m")]
+    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    return cut(sorted_.drop("__h", "__m").withColumn("row", F.monotonically_increasing_id()))
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language: those without letters, or whose best language is less than LEAST_SCORE likely, go."""
     ship(spark)
-    columns = docs.columns
-    known = identify(docs, train(docs), columns)
-    return known.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*columns)
+    rows = packed(docs)
+    known = identify(rows, train(rows), rows.columns)
+    return unpacked(known.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)), docs)
 
 
 def lines(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated boilerplate lines; one of which nothing is left goes."""
-    columns = docs.columns
-    out = remove_boilerplate(docs).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", "\n", " ")) != ""))
+    """Documents without repeated boilerplate lines; one of which nothing is left goes. Others keep their text as it is."""
+    out = remove_boilerplate(packed(docs)).filter((F.col("n_removed") == 0) | (F.trim(F.regexp_replace("kept", "\n", " ")) != ""))
     changed = F.col("n_removed") > 0
-    out = out.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text")))
-    if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return out.select(*columns)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("rest", F.when(changed, F.col("rest").withField("n_chars", F.length("kept").cast(kind))).otherwise(F.col("rest")))
+    return unpacked(out.withColumn("text", F.when(changed, F.col("kept")).otherwise(F.col("text"))), docs)
 
 
 def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group of near-duplicates: the one with the smallest doc_id (null is the largest), of repeated
+    rows any one."""
     ship(spark)
-    gone = near_duplicates(docs).filter(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    gone = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("row"))
+    return unpacked(rows.join(gone, "row", "left_anti"), docs)
 
 
 def benchmark(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that aren't contaminated with benchmark passages."""
-    bad = decided(contamination(docs, table(spark, sf_dir, "benchmark"))).filter("contaminated").select("doc_id")
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    rows = numbered(docs)
+    found = decided(contamination(rows.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")))
+    return unpacked(rows.join(found.filter("contaminated").select(F.col("doc_id").alias("row")), "row", "left_anti"), docs)
 
 
 def pieces(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document, and if they decode to its text."""
+    """Ids of every document, and if they decode to its text (U+2581 as space)."""
     ship(spark)
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    back = encode(docs.select("doc_id", "text", "lang", "source"), model, back=True)
-    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", (F.translate(F.coalesce("text", F.lit("")), "▁", " ") == F.col("decoded")).alias("round_trip"))
+    back = encode(docs.select(*USED), public_tokenizers.path("piece_bpe_32k.model"), back=True)
+    same = F.translate(F.coalesce("text", F.lit("")), "▁", " ") == F.col("decoded")
+    return back.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_ids"), "ids", same.alias("round_trip"))
 
 
 STAGES = [("language", language), ("lines", lines), ("near_copies", near_copies), ("benchmark", benchmark), ("pieces", pieces)]
