@@ -3,10 +3,11 @@
 A pattern finds candidates: runs of 12 and more characters of keys and tokens; whatever a name for a secret is assigned,
 of any length, up to its quote or white space (a run inside is part of it); headers of PEM blocks. Between the name, the
 sign and the value there may be 32 white-space characters each. Rejecting harmless candidates, such as long words, is
-left to the forest. Each is described by its length, the share of digits, capitals and small letters, its distinct characters, the changes of character class from
-one character to the next, the share that dictionary words cover, its place in a path, address or link, and the words
-beside it (names of secrets, an assignment or quotes before it). A random forest, trained on labelled findings, scores
-it.
+left to the forest. Each is described by its length, the share of digits, capitals and small letters, its distinct
+characters, its character transitions (the changes of character class from one character to the next, and the mean log
+probability of its pairs of letters, by a model of the letters that follow each other in the words of all documents),
+the share that dictionary words cover, its place in a path, address or link, and the words beside it (names of secrets,
+an assignment or quotes before it). A random forest, trained on labelled findings, scores it.
 
 Labelled findings are the candidates of all documents by the `labels` column if the caller has one for findings (those
 it gives null aren't labelled), else by KNOWN and NAMES (key formats of known issuers, values assigned to a name for a
@@ -23,6 +24,8 @@ score is 0 or 1. Other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -44,7 +47,7 @@ CANDIDATE = f"{PEM}|{VALUE}|{RUN}"
 KNOWN = r"^(?:AKIA|ASIA)[0-9A-Z]{16}$|^gh[pousr]_[A-Za-z0-9]{30,}$|^xox[abprs]-[A-Za-z0-9-]{10,}$|^AIza[0-9A-Za-z_-]{30,}$|^sk_(?:live|test)_[0-9A-Za-z]{16,}$|^glpat-[0-9A-Za-z_-]{20}$|^eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}|^-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----$"
 NAMES = NAMED + r"[\"']?\s*(?:=|:|=>)\s*[\"']?$"
 NAME = r"(?i)(?:password|passwd|pwd|secret|token|key|credential|auth|login)"
-FEATURES = ["length", "digits", "upper", "lower", "other", "distinct", "changes", "hexadecimal", "covered", "slashes", "dots", "at", "in_link", "named", "assigned", "quoted", "ends"]
+FEATURES = ["length", "digits", "upper", "lower", "other", "distinct", "changes", "pairs", "hexadecimal", "covered", "slashes", "dots", "at", "in_link", "named", "assigned", "quoted", "ends"]
 
 
 def _share(pattern: str) -> Column:
@@ -68,15 +71,34 @@ def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
     return each.filter((F.length("candidate") >= 12) | F.col("before").rlike(NAMES))
 
 
-def described(found: DataFrame, words: list[str]) -> DataFrame:
-    """Adds the features; `words` is the dictionary."""
+def letter_pairs(counts: DataFrame) -> list[float]:
+    """Log probabilities of a letter after another one, 26 for each first letter, from words (w) and their counts; every pair
+    counts once more than it is seen."""
+    pairs = counts.select("count", F.explode(F.expr("transform(sequence(1, length(w) - 1), i -> substring(w, i, 2))")).alias("p")).groupBy("p").agg(F.sum("count").alias("n"))
+    seen = {r.p: r.n for r in pairs.collect()}  # of 26 letters
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    return [math.log((seen.get(x + y, 0) + 1) / (sum(seen.get(x + z, 0) for z in letters) + 26)) for x in letters for y in letters]
+
+
+def described(found: DataFrame, words: list[str], pairs: list[float]) -> DataFrame:
+    """Adds the features; `words` is the dictionary, `pairs` the model of letter pairs."""
     classes = F.translate("candidate", "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "0" * 10 + "A" * 26 + "a" * 26)
     known = "(?i)" + "|".join(sorted(words, key=lambda w: (-len(w), w))) if words else "(?!)"
+    model = F.array(*[F.lit(x) for x in pairs])
+    # one pass over the characters: the letter before (0 to 25, -1 for others), sum and number of the pairs
+    letters = F.transform(F.split(F.lower("candidate"), ""), lambda ch: F.when(ch.between("a", "z"), F.ascii(ch) - 97).otherwise(-1))
+    start = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"), F.lit(0).alias("n"))
+
+    def step(t: Column, x: Column) -> Column:
+        pair = (t["last"] >= 0) & (x >= 0)
+        return F.struct(x.alias("last"), F.when(pair, t["sum"] + F.get(model, t["last"] * 26 + x)).otherwise(t["sum"]).alias("sum"), F.when(pair, t["n"] + 1).otherwise(t["n"]).alias("n"))
+
+    likely = F.aggregate(letters, start, step, lambda t: F.coalesce(F.try_divide(t["sum"], t["n"]), F.lit(-math.log(26))))
     return found.withColumns({
         "length": F.length("candidate").cast("double"), "digits": _share("[^0-9]"), "upper": _share("[^A-Z]"), "lower": _share("[^a-z]"), "other": _share("[A-Za-z0-9]"),
         "distinct": F.size(F.array_distinct(F.split("candidate", ""))) / F.length("candidate"),
         "changes": (F.length(F.regexp_replace(classes, r"(.)\1+", "$1")) - 1) / F.length("candidate"),
-        "hexadecimal": F.col("candidate").rlike("^[0-9a-f]+$").cast("double"),
+        "pairs": likely, "hexadecimal": F.col("candidate").rlike("^[0-9a-f]+$").cast("double"),
         "covered": 1 - F.length(F.regexp_replace("candidate", known, "")) / F.length("candidate"),
         "slashes": F.length(F.regexp_replace("candidate", "[^/]", "")).cast("double"), "dots": F.length(F.regexp_replace("candidate", "[^.]", "")).cast("double"),
         "at": F.col("candidate").contains("@").cast("double"), "in_link": F.col("before").rlike(r"(?i)(?:https?:|www\.|/)\S*$").cast("double"),
@@ -94,8 +116,9 @@ def scan(docs: DataFrame, labels: Column | None = None, sample_findings: int = 2
     """docs (doc_id, text) -> doc_id, ordinal, candidate, before, score, is_secret."""
     docs = docs.select("doc_id", "text")
     counts = docs.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(?<!\p{L})[a-z]{3,12}(?!\p{L})"), 0)).alias("w")).groupBy("w").count()
+    counts = cut(counts)
     words = [r.w for r in counts.orderBy(F.col("count").desc(), "w").limit(dictionary_words).collect()]
-    found = described(cut(candidates(docs, ["doc_id"])), words)
+    found = described(cut(candidates(docs, ["doc_id"])), words, letter_pairs(counts))
     place = F.xxhash64("doc_id", "ordinal", "candidate", "before") / F.lit(2.0**64) + 0.5
     labelled = found.withColumns({"label": (ruled() if labels is None else labels).cast("double"), "place": place}).filter("label IS NOT NULL")
     kinds = {r.label: r for r in labelled.groupBy("label").agg(F.count("*").alias("n"), F.min("place").alias("first")).collect()}
