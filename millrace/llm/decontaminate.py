@@ -213,4 +213,18 @@ def op8_wu_manber(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op8_wu_manber": op8_wu_manber}
-SQL: dict[str, str] = {}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+SQL = {
+    "op8_wu_manber": rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all({LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+c AS (SELECT item_id, w, least(13, len(w)) AS m FROM i WHERE len(w) > 0),
+b AS (SELECT DISTINCT item_id, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT *, unnest(range(1, len(w) - m + 2)) AS k FROM c)),
+p AS (SELECT r, k, m, array_to_string(w[k:k + m - 1], ' ') AS s FROM (SELECT r, w, m, unnest(range(1, len(w) - m + 2)) AS k FROM d, (SELECT DISTINCT m FROM b) WHERE len(w) >= m)),
+h AS (SELECT r, k, p.m, item_id FROM p JOIN b ON p.m = b.m AND p.s = b.s),
+n AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(k, k + m)) AS j FROM (SELECT DISTINCT r, k, m FROM h)) GROUP BY 1),
+t AS (SELECT r, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), false) AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN t USING (r)
+"""
+}

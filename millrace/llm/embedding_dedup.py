@@ -190,4 +190,14 @@ def op4_itq(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_itq": op4_itq}
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_itq": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS c FROM v UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.node WHERE reach.c < link.b),
+least AS (SELECT node, min(c) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a, count(*) AS n FROM link GROUP BY 1)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least ON node = vec_id LEFT JOIN n ON a = vec_id
+"""
+}

@@ -1,4 +1,4 @@
-"""The queries of this subpackage and their SQL."""
+"""The queries of this subpackage and their SQL; the pipeline, which stands at the repository's top, is one of them."""
 
 from __future__ import annotations
 
@@ -12,25 +12,13 @@ def _modules():
     return [m for m in (importlib.import_module(f"millrace.llm.{x.name}") for x in sorted(pkgutil.iter_modules(here.__path__), key=lambda x: x.name) if x.name != "registry") if hasattr(m, "QUERIES")]
 
 
-def _pipeline():
-    import importlib.util
-
-    if importlib.util.find_spec("corpus_pipeline") is None:
-        return None
+def queries() -> dict:
     import corpus_pipeline
 
-    return corpus_pipeline
-
-
-def queries() -> dict:
-    out = {k: q for m in _modules() for k, q in m.QUERIES.items()}
-    if (p := _pipeline()) is not None:
-        out["pipeline"] = p.run
-    return out
+    return {k: q for m in _modules() for k, q in m.QUERIES.items()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {k: q for m in _modules() for k, q in m.SQL.items()}
-    if (p := _pipeline()) is not None and p.ORACLE_SQL:
-        out["pipeline"] = p.ORACLE_SQL
-    return out
+    import corpus_pipeline
+
+    return {k: q for m in _modules() for k, q in m.SQL.items()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

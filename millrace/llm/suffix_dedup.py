@@ -369,4 +369,19 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_suffix_dedup": op1_suffix_dedup}
-SQL: dict[str, str] = {}
+#: Bytes as pairs of hex digits, in stretches of 500 places so that no substring is far from its text's start.
+SQL = {
+    "op1_suffix_dedup": """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+q AS (SELECT r, doc_id, q, substr(x, 2 * q + 1, 1098) AS y, least(500, n - 49 - q) AS m FROM (SELECT *, unnest(range(0, greatest(n - 49, 0), 500)) AS q FROM d)),
+t AS (SELECT r, doc_id, q + p AS pos, unhex(substr(y, 2 * p + 1, 100)) AS s FROM (SELECT *, unnest(range(0, m)) AS p FROM q)),
+f AS (SELECT s, min(doc_id) AS least FROM t GROUP BY 1),
+g AS (SELECT r, pos, pos - lag(pos) OVER (PARTITION BY r ORDER BY pos) AS gap FROM t JOIN f USING (s) WHERE doc_id > least),
+k AS (SELECT r, pos, gap, count(*) FILTER (gap IS NULL OR gap > 50) OVER (PARTITION BY r ORDER BY pos) AS run FROM g),
+u AS (SELECT r, run, min(pos) AS a, max(pos) + 50 AS b FROM k GROUP BY 1, 2),
+c AS (SELECT r, a, b, lag(b, 1, 0) OVER (PARTITION BY r ORDER BY a) AS last FROM u),
+z AS (SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * last + 1, 2 * (a - last)), '' ORDER BY a) AS kept, max(b) AS tail FROM c JOIN d USING (r) GROUP BY 1)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN z USING (r)
+"""
+}
