@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -156,7 +158,11 @@ def above_own_average(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 
 
 def with_group_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
-    return df.withColumns({n: c.over(Window.partitionBy(*keys)) for n, c in aggs.items()})
+    """Adds aggregates of each row's group (null keys are a group). They are made before anything is shuffled and joined
+    back, so that no task holds a whole group."""
+    stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]).withColumnsRenamed({k: f"__key_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
+    return df.join(stats, on).drop(*[f"__key_{k}" for k in keys])
 
 
 def islands(df: DataFrame, keys: list[str], index: str) -> DataFrame:

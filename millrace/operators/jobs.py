@@ -226,8 +226,11 @@ def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
 
-def missing_cells(entities: DataFrame, dates: DataFrame, present: DataFrame) -> DataFrame:
-    """The grid of entities and dates (a short calendar, broadcast) without what is present."""
+def missing_cells(entities: DataFrame, dates: DataFrame, present: DataFrame, most_dates: int = 50_000) -> DataFrame:
+    """The grid of entities and dates without what is present. The calendar is sent to all tasks, so it may hold
+    `most_dates` rows."""
+    if dates.limit(most_dates + 1).count() > most_dates:
+        raise ValueError(f"a calendar of more than {most_dates} rows")
     return entities.crossJoin(F.broadcast(dates)).join(present, [*entities.columns, *dates.columns], "left_anti")
 
 
