@@ -21,13 +21,17 @@ def collect_unseen(stream: DataFrame, known: DataFrame, key: str, ts: str, delay
     return fresh.withWatermark(ts, delay).dropDuplicatesWithinWatermark([key])
 
 
-def insert_into(target: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A sink for foreachBatch: rows whose key the target lacks."""
+def insert_into(target: str, keys: list[str], buckets: int = 16) -> Callable[[DataFrame, int], None]:
+    """A sink for foreachBatch: rows whose key the target lacks. The target has a folder for each of a fixed number of
+    hashed keys' buckets (column key_bucket), and a batch reads and writes those of its own keys only."""
 
     def write(batch: DataFrame, _: int) -> None:
-        batch.limit(0).write.mode("ignore").parquet(target)  # an empty table at first
-        known = batch.sparkSession.read.schema(batch.schema).parquet(target)
-        new_rows(known, batch, keys).write.mode("append").parquet(target)
+        batch = batch.withColumn("key_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+        batch.limit(0).write.partitionBy("key_bucket").mode("ignore").parquet(target)  # an empty table at first
+        own = [r.key_bucket for r in batch.select("key_bucket").distinct().collect()]  # at most `buckets`
+        known = batch.sparkSession.read.schema(batch.schema).parquet(target).filter(F.col("key_bucket").isin(own))
+        fresh = new_rows(known, batch, keys)
+        fresh.repartition("key_bucket").write.partitionBy("key_bucket").mode("append").parquet(target)
 
     return write
 

@@ -41,9 +41,47 @@ def test_null_keys_and_repeated_dictionary(spark):
 
 
 def test_overlap_of_equal_and_disjoint_bags(spark):
-    a = spark.createDataFrame([(1, "é x"), (1, "é x"), (2, "q")], "k int, line string")
-    s = {r.k: (float(r.score), r.direction) for r in J.overlap_score(a, a.filter("k = 1"), ["k"], "line").collect()}
-    assert s == {1: (1.0, "same"), 2: (0.0, "new")}
+    """Labels compare sizes; trailing blanks don't count as characters; null lines are rows that nothing shares."""
+    a = spark.createDataFrame([(1, "é x"), (1, "é x"), (2, "q"), (3, "ab  "), (3, None), (5, "only now")], "k int, line string")
+    b = spark.createDataFrame([(1, "é x"), (1, "é x"), (2, "longer"), (2, "r"), (3, "ab  "), (3, None), (4, "z")], "k int, line string")
+    out = J.overlap_score(a, b, ["k"], "line").collect()
+    got = {r.k: (float(r.score), float(r.char_share), float(r.line_share), r.n_rows_now, r.n_rows_archive, r.n_rows_shared, r.n_chars_now, r.n_chars_archive, r.n_chars_shared, r.line_direction, r.char_direction) for r in out}
+    assert got == {
+        1: (1.0, 1.0, 1.0, 2, 2, 2, 6, 6, 6, "equal", "equal"), 2: (0.0, 0.0, 0.0, 1, 2, 0, 1, 7, 0, "fewer now", "fewer now"),
+        3: (0.85, 1.0, 0.5, 2, 2, 1, 2, 2, 2, "equal", "equal"), 5: (0.0, 0.0, 0.0, 1, 0, 0, 8, 0, 0, "more now", "more now"),
+    }
+
+
+def test_group_statistics_of_null_keys(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", 5)], "k string, v int")
+    assert sorted((str(r.k), r.v, r.n, r.most) for r in A.with_group_stats(df, ["k"], {"n": F.count("*"), "most": F.max("v")}).collect()) == [("None", 1, 2, 3), ("None", 3, 2, 3), ("a", 5, 1, 5)]
+    assert [(r.k, r.v) for r in A.above_own_average(df, "k", ["v"]).collect()] == []
+
+
+def test_run_member(spark):
+    flags = [True, True, None, True, True, True, False, False, False, True]
+    df = spark.createDataFrame(list(enumerate(flags)), "i int, f boolean").withColumn("k", F.lit(1))
+    assert [r.member for r in A.run_member(df, ["k"], ["i"], F.col("f"), 3).orderBy("i").collect()] == [False] * 3 + [True] * 3 + [False] * 4
+
+
+def test_rows_at_positions(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("v"), F.lit("x").alias("position_name")).repartition(7)
+    assert sorted((r.v, r.position) for r in R.rows_at_positions(df, ["v"], [1, 500, -1, -1000, 5000]).collect()) == [(0, 1), (499, 500), (999, 1000)]
+    assert R.rows_at_positions(df.limit(0), ["v"], [1]).count() == 0
+
+
+def test_scalars_of_odd_texts(spark):
+    df = spark.createDataFrame([(None,), ("",), ("-",), (" 12-80 [x] (y)z  w",), ("lvl 123",), ("A",)], "t string")
+    rows = df.select(S.clean_name("t").alias("n"), S.min_level("t").alias("m"), S.is_text("t").alias("s"), S.has_keyword("t", []).alias("k"), S.rolling_key("t").alias("r"), F.array_join(S.split_list("t"), "|").alias("l"), S.map_get(F.create_map(F.lit("a"), F.lit(1)), "b", 7).alias("g")).collect()
+    assert [(r.n, r.m, r.s) for r in rows] == [("", 0, False), ("", 0, False), ("-", 0, False), ("12-80 z w", 12, True), ("lvl 123", 12, True), ("A", 0, True)]
+    assert not any(r.k for r in rows if r.k is not None) and all(r.g == 7 for r in rows)
+    assert [r.r for r in rows[:2]] == [None, None] and rows[5].r == f"{(5381 * 33 + 97) & 0xFFFFFFFF:08x}{97:08x}"
+    assert spark.createDataFrame([("a0, 0b ,,1",)], "t string").select(S.split_list("t").alias("l")).first().l == ["a0", "0b", "1"]
+
+
+def test_calendar_that_is_too_long(spark):
+    with pytest.raises(ValueError, match="calendar"):
+        J.missing_cells(spark.range(1).toDF("e"), spark.range(5).toDF("d"), spark.range(1).selectExpr("id AS e", "id AS d"), most_dates=4)
 
 
 def test_insert_ignore_twice(spark):
