@@ -50,7 +50,7 @@ GROUP = frozenset("address article aside blockquote body center dialog details d
 #: Fixed: names of elements, and words in class, id and role, that tell of something beside the main text.
 FURNITURE_TAGS = frozenset("nav header footer aside form menu button dialog fieldset".split())
 FURNITURE = re.compile(
-    r"[\s_-](?<![\s_-]no[_-])(?<![\s_-]has[_-])(?<![\s_-]with[_-])(?<![\s_-]without[_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|byline|comments?|consent|cookies?|copyright|disqus|footer|header|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|notification|pagination|pager|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toc|toolbar|widget|alert|complementary|contentinfo|search)(?=$|[\s_-])",
+    r"[\s_-](?<![\s_-]no[_-])(?<![\s_-]has[_-])(?<![\s_-]with[_-])(?<![\s_-]without[_-])(?:ad|ads|advert|adverts|advertisement|banner|breadcrumbs?|byline|adsbygoogle|comments?|commentlist|consent|cookies?|cookiebanner|cookiebar|copyright|disqus|footer|gdpr|header|legal|login|masthead|menu|modal|nav|navbar|navigation|newsletter|overlay|paywall|notice|notices|notification|pagination|pager|popup|promo|promoted|related|replies|reply|respond|search|share|sharing|sidebar|sidenav|signup|skip|social|sponsor|sponsored|subscribe|tags|toc|toolbar|topbar|topnav|widget|alert|complementary|contentinfo|search)(?=$|[\s_-])",
     re.I,
 )
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
