@@ -4,7 +4,7 @@ Every `width`-byte string has one anchor inside it: the start of its k bytes wit
 suffixes that are sorted (about one byte in fourteen), and two equal strings have equal anchors at equal places, so
 nothing is lost by leaving the other suffixes out. All strings with the same anchor form a cell.
 
-1. Documents are dealt into blocks by a hash of doc_id; a block lists its anchors once each: leading tokens (24 bytes:
+1. Documents are dealt into blocks by a hash of doc_id and text; a block lists its anchors once each: leading tokens (24 bytes:
    the first eight as they are, a hash of the rest), a hash of the whole cell, and the smallest doc_id.
 2. Sampled splitters range-partition these by leading tokens. A bucket sorts its share by multikey quicksort and compares
    neighbours; splitters are keys, so equal keys never lie on both sides of a boundary. Blocks hear which of their
@@ -24,8 +24,8 @@ some 4 TB of text on, buckets grow), nothing else; the splitters are broadcast.
 that it has anchors for, never more than it has anchors.
 
 Defined results: null and empty text have zero bytes and no spans. A repeated row (same doc_id) is no earlier document,
-so it removes nothing from its twin. A null doc_id counts as the largest. An empty table gives an empty result; other
-columns are ignored.
+so it removes nothing from its twin. A null doc_id counts as the largest; a doc_id of 2^63 - 1 is taken for
+null. An empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -186,7 +186,8 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total, n = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count("*")).first()
     count = max(1, -(-total // block_bytes))
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(count)).cast("long"))
+    # by the text too, so that no doc_id (or null) makes a block of its own size
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(count)).cast("long"))
 
     # sampled for splitters: some PER_BUCKET anchors for each bucket, of one document in `rare`, until MOST_KEYS are reached
     wanted = min(PER_BUCKET * count, MOST_KEYS)
