@@ -14,7 +14,7 @@ batch is encoded once by the library and kept in the worker process up to a fixe
 ASCII, and all texts for other tokenizers, are encoded whole. Both give what encoding the whole text gives.
 
 Defined results: null and empty texts have the end id alone. Repeated rows are written one after the other (ties in
-doc_id by text). A null doc_id comes first. An empty table writes no shard. Other columns are ignored.
+doc_id by a hash of the text). A null doc_id comes first. An empty table writes no shard. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -295,7 +295,9 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, sha
             yield shard()
 
     count = max(1, -(-total // partition_bytes))
-    dealt = docs.repartitionByRange(count, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # by a hash of the text too, so that rows of one doc_id (or null) don't all go to one task
+    order = [F.col("doc_id").asc_nulls_first(), F.col("__h")]
+    dealt = docs.withColumn("__h", F.xxhash64("text")).repartitionByRange(count, *order).sortWithinPartitions(*order, "text").drop("__h")
     dealt.mapInArrow(shards, SCHEMA).write.option("compression", "zstd").option("maxRecordsPerFile", 1).parquet(out)
 
 
