@@ -3,8 +3,8 @@
 run(spark, sf_dir) applies STAGES to the table documents. Every stage works on all that the one before it kept; its
 result is written as a table in the shared folder and read again. The last stage returns the encoded documents.
 
-Each row is a document of its own, also where doc_id is null or comes twice: stages that decide by groups number the rows
-of their input (in the order of doc_id, nulls last, then of the texts' hashes) and decide by that number. Columns may
+Each row is a document of its own, also where doc_id is null or comes twice: stages that decide by a join number the rows
+of their input and decide by that number (near_copies in the order of doc_id, nulls last, then of the texts' hashes). Columns may
 have any names; besides doc_id, text, lang and source they are carried along as they are, but n_chars follows the text.
 Null and empty texts have no language, so the first stage takes them out; a later stage leaves them alone. Empty tables
 give empty tables.
@@ -39,12 +39,14 @@ def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*(F.col(c) if c in USED else F.col("rest").getField(c).alias(c) for c in docs.columns))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """packed(docs) with `row`, a number for each row in the order of doc_id, as a written table."""
-    rows = packed(docs).withColumns({"__h": F.xxhash64("text"), "__m": F.monotonically_increasing_id()})
-    order = [F.col("doc_id").asc_nulls_last(), F.col("__h"), F.col("__m")]
-    sorted_ = rows.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(sorted_.drop("__h", "__m").withColumn("row", F.monotonically_increasing_id()))
+def numbered(docs: DataFrame, in_order: bool = False) -> DataFrame:
+    """packed(docs) with `row`, a number for each row, as a written table; in_order: in the order of doc_id, nulls last."""
+    rows = packed(docs)
+    if in_order:
+        rows = rows.withColumns({"__h": F.xxhash64("text"), "__m": F.monotonically_increasing_id()})
+        order = [F.col("doc_id").asc_nulls_last(), F.col("__h"), F.col("__m")]
+        rows = rows.repartitionByRange(*order).sortWithinPartitions(*order).drop("__h", "__m")
+    return cut(rows.withColumn("row", F.monotonically_increasing_id()))
 
 
 def language(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +71,7 @@ def near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id (null is the largest), of repeated
     rows any one."""
     ship(spark)
-    rows = numbered(docs)
+    rows = numbered(docs, in_order=True)
     gone = near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).filter(~F.col("kept")).select(F.col("doc_id").alias("row"))
     return unpacked(rows.join(gone, "row", "left_anti"), docs)
 
