@@ -12,7 +12,8 @@ boilerplate. The lines found go to the tasks when they are at most `broadcast_li
 where adaptive execution splits hot lines.
 
 Defined results: null and empty texts have one empty line and lose nothing. A null source is one site of its own. A null
-doc_id counts as the largest. Repeated rows keep and lose the same lines. Other columns are kept.
+doc_id counts as the largest. Repeated rows keep and lose the same lines. Other columns are kept, but
+those named n_lines, n_removed or kept are replaced. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,29 +21,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, fresh, table
 
 LAST = (1 << 63) - 1
 
 
 def remove_boilerplate(docs: DataFrame, min_sites: int = 10, margin: float = 0.3, lg_k: int = 12, broadcast_lines: int = 500_000) -> DataFrame:
     """docs (doc_id, text, source, ...) -> the same columns with n_lines, n_removed and kept (the text that is left)."""
-    base = docs.withColumns({"__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "__text": F.coalesce("text", F.lit(""))})
-    base = base.withColumns({"__h": F.xxhash64("__text"), "__site": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
-    exploded = base.select("__id", "__h", "__site", F.posexplode(F.split("__text", "\n")).alias("__at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
-    lines = exploded.select("__id", "__h", "__site", "__at", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
-    spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("__site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("__id", "__at")).alias("first"), F.count("*").alias("n"))
+    keep = [c for c in docs.columns if c not in ("n_lines", "n_removed", "kept")]
+    id_, text, h, site, gone, parts = (fresh(n, keep) for n in ("id_", "text_", "h_", "site_", "gone_", "parts_"))
+    base = docs.select(*keep).withColumns({id_: F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), text: F.coalesce("text", F.lit(""))})
+    base = base.withColumns({h: F.xxhash64(text), site: F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
+    exploded = base.select(F.col(id_).alias("id"), F.col(h).alias("h"), F.col(site).alias("site"), F.posexplode(F.split(text, "\n")).alias("at", "line")).withColumn("line", F.trim("line")).filter("line <> ''")
+    lines = exploded.select("id", "h", "site", "at", F.xxhash64("line").alias("k1"), F.hash("line").alias("k2"))
+    spread = lines.groupBy("k1", "k2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n"))
     spread = spread.filter(F.col("n") >= min_sites).withColumn("sites", F.hll_sketch_estimate("sketch")).drop("sketch").filter(F.col("sites") >= min_sites * (1 - margin))
     near = spread.filter(F.col("sites") <= min_sites * (1 + margin))
-    exact = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.countDistinct("__site").alias("exact")).filter(F.col("exact") >= min_sites)
+    exact = lines.join(near.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.countDistinct("site").alias("exact")).filter(F.col("exact") >= min_sites)
     found = spread.filter(F.col("sites") > min_sites * (1 + margin)).select("k1", "k2", "first").union(near.join(exact, ["k1", "k2"]).select("k1", "k2", "first"))
     found = cut(found)
     if found.count() <= broadcast_lines:
         found = F.broadcast(found)
-    gone = lines.join(found, ["k1", "k2"]).filter(F.struct("__id", "__at") > F.col("first")).groupBy("__id", "__h").agg(F.collect_set("__at").alias("__gone"))
-    out = base.join(gone, ["__id", "__h"], "left").withColumn("__lines", F.split("__text", "\n"))
-    kept = F.when(F.col("__gone").isNull(), F.col("__text")).otherwise(F.array_join(F.filter("__lines", lambda x, i: ~F.array_contains("__gone", i)), "\n"))
-    return out.select(*docs.columns, F.size("__lines").cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
+    removed = lines.join(found, ["k1", "k2"]).filter(F.struct("id", "at") > F.col("first")).groupBy(F.col("id").alias(id_), F.col("h").alias(h)).agg(F.collect_set("at").alias(gone))
+    out = base.join(removed, [id_, h], "left").withColumn(parts, F.split(text, "\n"))
+    kept = F.when(F.col(gone).isNull(), F.col(text)).otherwise(F.array_join(F.filter(parts, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    return out.select(*keep, F.size(parts).cast("long").alias("n_lines"), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_removed"), kept.alias("kept"))
 
 
 def op7_line_spread(spark, sf_dir: str) -> DataFrame:

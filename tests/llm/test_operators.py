@@ -236,7 +236,10 @@ def test_language_by_force(spark):
 
 
 def test_lines(docs):
-    out = line_dedup.remove_boilerplate(docs, min_sites=5).collect()
+    clashing = docs.withColumns({c: F.lit(1) for c in ("kept", "n_lines", "id_", "h_", "text_", "gone_", "site", "at", "line", "k1", "first")})
+    df = line_dedup.remove_boilerplate(clashing, min_sites=5)
+    assert df.columns == [c for c in clashing.columns if c not in ("kept", "n_lines")] + ["n_lines", "n_removed", "kept"]
+    out = df.collect()
     sites, first = defaultdict(set), {}
     number = lambda i: 1 << 62 if i is None else i
     for r in out:
