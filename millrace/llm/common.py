@@ -164,20 +164,25 @@ def multikey_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, new
 
 
-def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40) -> DataFrame:
+def components(links: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 40, broadcast_edges: int = 200_000) -> DataFrame:
     """Connected components of undirected links as rows (node, component): the smallest node that can be reached.
     Alternating large-star and small-star rounds (Kiveris et al. 2014); every round is a written table, and no
-    neighbourhood is gathered in one place. Nodes without links don't appear."""
+    neighbourhood is gathered in one place. Each node's least neighbour is joined to its edges as a broadcast while there
+    are at most `broadcast_edges`, else from a written table, so that adaptive execution can split a hub's edges. Nodes
+    without links don't appear."""
     edges = cut(links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter("u <> v").distinct())
     for _ in range(most_rounds):
+        few = edges.count() <= broadcast_edges
+        sent = F.broadcast if few else cut
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        least = sent(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        down = sent(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(down, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
         after = cut(small)
         # done when every node has one edge only and no target is itself moved
-        moved = after.join(after.select(F.col("u").alias("v")).distinct(), "v", "left_semi").limit(1).count()
+        targets = after.select(F.col("v").alias("u")).distinct()
+        moved = after.join(F.broadcast(targets) if few else targets, "u", "left_semi").limit(1).count()
         many = after.groupBy("u").count().filter("count > 1").limit(1).count()
         edges = after
         if not moved and not many:
