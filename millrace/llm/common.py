@@ -141,9 +141,11 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def multikey_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def multikey_order(words: list) -> tuple[np.ndarray, np.ndarray]:
     """Multikey quicksort with a word as character: sorts by the first word, then only what is tied so far by the next one.
-    Returns the order, and which sorted rows differ from the one before."""
+    The first word is an array, each other one an array or a function that gives the words of some rows, so that the
+    characters of rows that are already apart are never looked at. Returns the order, and which sorted rows differ from
+    the one before."""
     n = len(words[0])
     order = np.argsort(words[0])
     new = np.ones(n, bool)
@@ -155,7 +157,7 @@ def multikey_order(words: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(tied)
         if not at.size:
             break
-        values = w[order[at]]
+        values = w(order[at]) if callable(w) else w[order[at]]
         sub = np.lexsort((values, np.cumsum(new[at])))
         order[at] = order[at][sub]
         values = values[sub]

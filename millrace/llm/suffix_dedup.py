@@ -313,7 +313,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
             base = np.cumsum(length) - length
             strings = length - width + 1
             at, text = ragged(base, strings), np.repeat(np.arange(len(doc)), strings)
-            order, new = multikey_order([_gather(buf, at + x) for x in (*range(0, width - 7, 8), width - 8)])
+            order, new = multikey_order([_gather(buf, at), *((lambda i, x=x: _gather(buf, at[i] + x)) for x in (*range(8, width - 7, 8), width - 8))])
             head = np.flatnonzero(new)
             ids = doc_id[text[order]]
             low = np.repeat(np.minimum.reduceat(ids, head), np.diff(np.append(head, len(order))))
