@@ -265,9 +265,10 @@ class Template:
                 out.append(("value", value))
             strip, at = bool(right or right2), m.end()
         rest = source[at:].lstrip() if strip else source[at:]
-        if re.search(r"\{%|\{\{", rest):
+        out.append(("text", rest))
+        if any(kind == "text" and re.search(r"\{%|\{\{", t) for kind, t in out):
             raise TemplateError("a tag without an end")
-        return [p for p in [*out, ("text", rest)] if p[1] or p[0] != "text"]
+        return [p for p in out if p[1] or p[0] != "text"]
 
     def _block(self, ends: tuple[str, ...]):
         nodes = []

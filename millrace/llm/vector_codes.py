@@ -176,9 +176,9 @@ def with_label_error(rows: DataFrame, broadcast_labels: int = 200_000) -> DataFr
 
 def decode(rows: DataFrame, codebooks: DataFrame, scale: int = 1024) -> DataFrame:
     """Adds `decoded`, the vector that a row's code stands for. The codebooks have parts * entries rows."""
-    books = codebooks.groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("entry", "vector"))).alias("m")).agg(F.array_sort(F.collect_list(F.struct("part", "m"))).alias("books_"))
-    at = lambda b, i: F.conv(F.hex(F.substring("code", i + 1, 1)), 16, 10).cast("int")
-    out = F.flatten(F.transform("books_", lambda b: F.element_at(b["m"], at(b, b["part"]))))
+    books = codebooks.agg(F.map_from_entries(F.collect_list(F.struct(F.col("part") * 256 + F.col("entry"), "vector"))).alias("books_"))
+    byte = lambda p: F.conv(F.hex(F.substring("code", p + 1, 1)), 16, 10).cast("int")
+    out = F.flatten(F.transform(F.sequence(F.lit(0), F.length("code") - 1), lambda p: F.element_at("books_", p * 256 + byte(p))))
     return rows.crossJoin(F.broadcast(books)).withColumn("decoded", F.transform(out, lambda x: (x + 0.5) / scale)).drop("books_")
 
 
