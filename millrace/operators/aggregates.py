@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segments import ROWS, SEG, framed, joined, nearest, numbered, segmented
+
 
 def summarise(df: DataFrame, keys: list, aggs: dict[str, Column]) -> DataFrame:
     return df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()])
@@ -138,13 +138,12 @@ def growth(df: DataFrame, keys: list[str], period: str, val: str) -> DataFrame:
     return df.withColumn("previous", prev).withColumn("growth_pct", F.round(100 * F.try_divide(F.col(val) - F.col("previous"), F.col("previous")), 2))
 
 
-def rolling(df: DataFrame, keys: list[str], order: list, val: str, n: int) -> DataFrame:
-    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return df.withColumn("rolling", F.avg(val).over(w))
+def rolling(df: DataFrame, keys: list[str], order: list[str], val: str, n: int, rows_per_segment: int = ROWS) -> DataFrame:
+    return with_windows(df, keys, order, {"rolling": F.avg(val)}, (-(n - 1), 0), rows_per_segment)
 
 
-def forward_sum(df: DataFrame, keys: list[str], order: list, val: str, n: int) -> DataFrame:
-    return df.withColumn("forward", F.sum(val).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, n - 1)))
+def forward_sum(df: DataFrame, keys: list[str], order: list[str], val: str, n: int, rows_per_segment: int = ROWS) -> DataFrame:
+    return with_windows(df, keys, order, {"forward": F.sum(val)}, (0, n - 1), rows_per_segment)
 
 
 def above_own_average(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
@@ -160,52 +159,49 @@ def above_own_average(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
 def with_group_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:
     """Adds aggregates of each row's group (null keys are a group). They are made before anything is shuffled and joined
     back, so that no task holds a whole group."""
-    stats = df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]).withColumnsRenamed({k: f"__key_{k}" for k in keys})
-    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__key_{k}")) for k in keys])
-    return df.join(stats, on).drop(*[f"__key_{k}" for k in keys])
+    return joined(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()]), keys, "inner")
 
 
-def islands(df: DataFrame, keys: list[str], index: str) -> DataFrame:
-    """Adds `island` (the same for consecutive values of a distinct integer index) and its `length`."""
-    w = Window.partitionBy(*keys).orderBy(index)
-    out = df.withColumn("island", F.col(index) - F.row_number().over(w))
-    return out.withColumn("length", F.count("*").over(Window.partitionBy(*keys, "island")))
+def islands(df: DataFrame, keys: list[str], index: str, rows_per_segment: int = ROWS) -> DataFrame:
+    """Adds `island` (the same for consecutive values of a distinct integer index) and its `length`. Neither a key nor a run
+    has to fit a task: numbers go on from segment to segment, and runs are counted before they are shuffled."""
+    out = numbered(segmented(df, keys, [index], rows_per_segment)).withColumn("island", F.col(index) - F.col("n_")).drop("n_", SEG)
+    return with_group_stats(out, [*keys, "island"], {"length": F.count("*")})
 
 
-def streaks(df: DataFrame, keys: list[str], index: str, n: int) -> DataFrame:
+def streaks(df: DataFrame, keys: list[str], index: str, n: int, rows_per_segment: int = ROWS) -> DataFrame:
     """Runs of at least n consecutive periods: keys, first and last period, length."""
     seen = df.select(*keys, index).distinct()
-    w = Window.partitionBy(*keys).orderBy(index)
-    runs = seen.withColumn("island", F.col(index) - F.row_number().over(w))
+    runs = numbered(segmented(seen, keys, [index], rows_per_segment)).withColumn("island", F.col(index) - F.col("n_"))
     return runs.groupBy(*keys, "island").agg(F.min(index).alias("first"), F.max(index).alias("last"), F.count("*").alias("length")).filter(F.col("length") >= n).drop("island")
 
 
-def runs_over(df: DataFrame, keys: list[str], index: str, condition: Column, n: int) -> DataFrame:
+def runs_over(df: DataFrame, keys: list[str], index: str, condition: Column, n: int, rows_per_segment: int = ROWS) -> DataFrame:
     """Every row of each run of at least n consecutive rows that meet a condition."""
-    return islands(df.filter(condition), keys, index).filter(F.col("length") >= n).drop("island")
+    return islands(df.filter(condition), keys, index, rows_per_segment).filter(F.col("length") >= n).drop("island")
 
 
-def run_member(df: DataFrame, keys: list[str], order: list[str], flag: Column, n: int) -> DataFrame:
+def run_member(df: DataFrame, keys: list[str], order: list[str], flag: Column, n: int, rows_per_segment: int = ROWS) -> DataFrame:
     """Adds `member`: if the row is in a run of at least n rows, next to each other in the order, that all have the flag. A
-    window over the result of a window: where the flag begins, then the runs' numbers, then their lengths."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    on = F.coalesce(flag, F.lit(False))
-    out = df.withColumn("__on", on).withColumn("__new", F.when(F.col("__on").eqNullSafe(F.lag("__on").over(w)), 0).otherwise(1))
-    out = out.withColumn("__run", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = out.withColumn("member", F.col("__on") & (F.count("*").over(Window.partitionBy(*keys, "__run")) >= n))
-    return out.drop("__on", "__new", "__run")
+    row's number less that of flagged rows so far is the same all over a run, and runs are counted by it."""
+    on = df.withColumn("__on", F.coalesce(flag, F.lit(False)))
+    s = segmented(on, keys, order, rows_per_segment)
+    out = numbered(s, extra={"__flags": F.col("__on").cast("long")}).withColumn("__run", F.when(F.col("__on"), F.col("n_") - F.col("__flags"))).drop("n_", "__flags", SEG)
+    long_ = out.filter("__on").groupBy(*keys, "__run").agg(F.count("*").alias("__n")).filter(F.col("__n") >= n)
+    return joined(out, long_, [*keys, "__run"]).withColumn("member", F.col("__n").isNotNull() & F.col("__on")).drop("__on", "__run", "__n")
 
 
-def with_windows(df: DataFrame, keys: list[str], order: list, exprs: dict[str, Column], rows: tuple[int, int] | None = None) -> DataFrame:
-    """Several measures over one window: name -> aggregate or window function."""
-    w = Window.partitionBy(*keys).orderBy(*order)
+def with_windows(df: DataFrame, keys: list[str], order: list[str], exprs: dict[str, Column], rows: tuple[int, int] | None = None, rows_per_segment: int = ROWS) -> DataFrame:
+    """Several measures over one window: name -> aggregate or window function. With a frame of rows, hot keys are split."""
     if rows:
-        w = w.rowsBetween(*rows)
+        return framed(segmented(df, keys, order, rows_per_segment), exprs, rows)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumns({n: e.over(w) for n, e in exprs.items()})
 
 
-def next_delta(df: DataFrame, keys: list[str], order: list, val: Column) -> DataFrame:
-    return df.withColumn("next_delta", F.lead(val).over(Window.partitionBy(*keys).orderBy(*order)) - val)
+def next_delta(df: DataFrame, keys: list[str], order: list[str], val: Column, rows_per_segment: int = ROWS) -> DataFrame:
+    s = segmented(df.withColumn("__v", val), keys, order, rows_per_segment)
+    return framed(s, {"__next": F.lead("__v")}, (0, 1), False).withColumn("next_delta", F.col("__next") - F.col("__v")).drop("__next", "__v")
 
 
 def canonical_label(df: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
@@ -237,11 +233,6 @@ def newest(df: DataFrame, ts: str, k: int) -> DataFrame:
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(ts))))
 
 
-def nearest_marker(df: DataFrame, keys: list[str], order: list[str], condition: Column) -> DataFrame:
+def nearest_marker(df: DataFrame, keys: list[str], order: list[str], condition: Column, rows_per_segment: int = ROWS) -> DataFrame:
     """Rows to the nearest row that meets the condition, in either direction; null where a key has none."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    df = df.withColumn("__n", F.row_number().over(w))
-    mark = F.when(condition, F.col("__n"))
-    before = F.last(mark, True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(mark, True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    return df.withColumn("distance", F.least(F.col("__n") - before, after - F.col("__n"))).drop("__n")
+    return nearest(segmented(df, keys, order, rows_per_segment), condition, "distance")

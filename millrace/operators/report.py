@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .aggregates import growth as year_growth
+from .aggregates import with_group_stats
+from .segments import ROWS, SEG, framed, segmented
 
 
 def ytd(df: DataFrame, date: str, val: str) -> DataFrame:
@@ -42,12 +44,18 @@ def trend(df: DataFrame, date: str, val: str) -> DataFrame:
 growth = year_growth
 
 
-def returns(df: DataFrame, key: str, date: str, price: str, horizons: list[int]) -> DataFrame:
-    """Return against the price so many rows before, and since the first one."""
-    w = Window.partitionBy(key).orderBy(date)
-    first = F.first(price).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    out = df.withColumn("since_first", F.try_divide(F.col(price), first) - 1)
-    return out.withColumns({f"return_{h}": F.try_divide(F.col(price), F.lag(price, h).over(w)) - 1 for h in horizons})
+def returns(df: DataFrame, key: str, date: str, price: str, horizons: list[int], rows_per_segment: int = ROWS) -> DataFrame:
+    """Return against the price so many rows before, and since the first one. Hot keys are split; the first price of a key is
+    an aggregate that is joined back if there are any."""
+    s = segmented(df, [key], [date], rows_per_segment)
+    back = {f"__back_{h}": F.lag(price, h) for h in horizons}
+    if s.split:
+        out = with_group_stats(framed(s, back, (-max(horizons), 0), False), [key], {"__first": F.min_by(price, F.struct(date))})
+    else:
+        w = s.window()
+        out = s.rows.withColumns({n: e.over(w) for n, e in back.items()} | {"__first": F.first(price).over(w.rowsBetween(Window.unboundedPreceding, 0))}).drop(SEG)
+    out = out.withColumns({"since_first": F.try_divide(F.col(price), F.col("__first")) - 1} | {f"return_{h}": F.try_divide(F.col(price), F.col(f"__back_{h}")) - 1 for h in horizons})
+    return out.drop("__first", *back)
 
 
 def by_dim(df: DataFrame, dim: str, group: str, val: str | Column, n: int) -> DataFrame:
@@ -55,4 +63,4 @@ def by_dim(df: DataFrame, dim: str, group: str, val: str | Column, n: int) -> Da
     groups are ranked on those sums. Null groups stay out."""
     both = df.filter(F.col(group).isNotNull()).groupBy(dim, group).agg(F.sum(val).alias("value"))
     top = both.groupBy(group).agg(F.sum("value").alias("__t")).orderBy(F.desc("__t"), group).limit(n).select(group)
-    return both.join(F.broadcast(top), group).select(dim, group, "value")
+    return both.join(F.broadcast(top) if n <= 100_000 else top, group).select(dim, group, "value")
