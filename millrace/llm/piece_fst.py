@@ -111,9 +111,17 @@ class Normaliser:
         return not self.rules and not self.squeeze and not self.kept
 
     def _rewrite(self, text: str) -> str:
-        """Longest matches first, and what users defined as pieces stays."""
-        if self.kept is not None and (m := self.kept.search(text)):
-            return self._rewrite(text[: m.start()]) + m.group().replace(" ", SPACE) + self._rewrite(text[m.end() :])
+        """What users defined as pieces stays; what is between is mapped."""
+        if self.kept is None:
+            return self._mapped(text)
+        out, at = [], 0
+        for m in self.kept.finditer(text):
+            out += self._mapped(text[at : m.start()]), m.group().replace(" ", SPACE)
+            at = m.end()
+        return "".join(out) + self._mapped(text[at:])
+
+    def _mapped(self, text: str) -> str:
+        """Longest matches first."""
         if not self.rules or (text.isascii() and not self.ascii.search(text)):
             return text
         out, i, rules = [], 0, self.rules

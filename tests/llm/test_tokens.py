@@ -144,3 +144,16 @@ def test_empty_tables(spark):
     assert token_files.read_tokens(spark, out).count() == token_files.occurrences(spark, out, [1]).count() == 0
     path = public_tokenizers.path("piece_bpe_32k.model")
     assert piece_fst.encode(docs, path, back=True).count() == piece_fst.decode(piece_fst.encode(docs, path), path).count() == 0
+
+
+def test_many_user_pieces_in_a_text():
+    """The normaliser goes through them in a loop, so their number has no limit."""
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+
+    from millrace.llm.piece_fst import Normaliser
+
+    n = Normaliser(SimpleNamespace(add_dummy_prefix=False, remove_extra_whitespaces=False, precompiled_charsmap=b""), ["<x y>", "<x>"])
+    text = "a<x>b <x y>" * 50_000
+    assert n.apply(pa.array([text]))[0].as_py() == text
