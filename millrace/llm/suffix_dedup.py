@@ -202,7 +202,7 @@ def suffix_dedup(docs: DataFrame, width: int = 50, block_bytes: int = 4 << 20, w
             some = np.flatnonzero(mix(c["lead"] * M1 + c["rest"]) <= rate)
             yield pa.record_batch([pa.array(_keys(c["lead"][some], c["rest"][some]).tolist(), pa.binary())], ["key"])
 
-    some = docs.filter((F.xxhash64("doc_id", F.lit("splitters")) / F.lit(2.0**64) + 0.5) < F.lit(share + (share == 1.0))).select("text")
+    some = docs.filter((F.xxhash64("doc_id", "text", F.lit("splitters")) / F.lit(2.0**64) + 0.5) < F.lit(share + (share == 1.0))).select("text")
     keys = np.sort(np.array([r.key for r in some.mapInArrow(sample, "key binary").distinct().collect()], "S12"))
     splitters = np.unique(keys[np.linspace(0, len(keys) - 1, count + 1)[1:-1].astype(int)]) if len(keys) else keys
     buckets = len(splitters) + 1
