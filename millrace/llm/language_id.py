@@ -118,11 +118,12 @@ class Model:
 
 
 def train(docs: DataFrame, sample_docs: int = 8000, least: int = 2, longest: int = 5, backoff: float = 0.4) -> Model:
-    """Learns from docs (doc_id, text, lang)."""
+    """Learns from docs (doc_id, text, lang): about `sample_docs` rows in all, as many of each language, and 50 of each at least."""
     docs = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("doc_id", "text", "lang")
-    n = docs.select("doc_id").count()
-    share = min(1.0, sample_docs / max(n, 1))
-    docs = docs.filter((F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5) < F.lit(share + (share == 1.0)))
+    sizes = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}  # a short list: the languages
+    wanted = max(50, sample_docs / max(1, len(sizes)))
+    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, 2.0 if n <= wanted else wanted / n)]) if sizes else F.create_map().cast("map<string,double>")
+    docs = docs.filter((F.xxhash64("doc_id", "text") / F.lit(2.0**64) + 0.5) < F.element_at(share, F.col("lang")))
 
     def count(batches):
         for batch in batches:
