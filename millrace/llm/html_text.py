@@ -1,15 +1,22 @@
 """Operator 2: main text of HTML pages as the maximum-scoring run of words and tags.
 
 A page is read as a sequence of words and tags. A word weighs as its element does (the log odds that words there belong
-to the main text; words of links are against it, as menus are made of them), a tag weighs less than nought, the more so
-the less it occurs inside main text, and very little inside elements of other purpose. A single scan over the sequence
-finds the contiguous run of the largest sum (`best_run`), which is widened to whole blocks; its text, without what stands in elements of other purpose
-inside it, is the result. Words of links in main text are part of the result.
+to the main text; words of links are a little against it, as menus are made of them), a tag weighs less than nought, the
+more so the less it occurs inside main text, and very little inside elements of other purpose. A single scan over the
+sequence finds the contiguous run of the largest sum (`best_run`), which is widened to whole blocks; its text, without
+what stands in elements of other purpose inside it, is the result. Lists, small blocks and links inside the run are part
+of it.
+
+A page's only <article> (or, without one, its only <main>), if it holds any words, says itself what the main text is:
+there words weigh 1 and nothing less than nought, and all else counts against it, so that the best run is the element, whole. On other pages the
+weights decide.
 
 Weights are learned from labelled pages: pages of the table itself whose markup names the main text by exactly one
-<article> element, at most about `sample_pages` of them, chosen by a hash of page_id. Elements and classes that those
-pages lack get the weights of FURNITURE (names of menus, adverts, notices, comments and the like) or, for anything else,
-of main text; a learned weight for main text wins over FURNITURE. A page's only <article>, <main>, the body and what is
+<article> element, at most about `sample_pages` of them, chosen by a hash of page_id. Elements with a class, id or role
+are counted by their names, others by what stands around them, so that a list in a menu says nothing of one in a text;
+tags are counted where no element of other purpose is around them. A named element whose words are mostly outside of main text is of other
+purpose. Elements and classes that those pages lack get the weights of FURNITURE (names of menus, adverts, notices,
+comments and the like) or, for anything else, of main text; a learned weight for main text wins over FURNITURE. A page's only <article>, <main>, the body and what is
 around an <article> or <main> never count as of other purpose, nor do headings in the <header> of an <article> or
 <main>. A page that has no main text by these names is read again without regard to classes, ids and roles. The weights
 sent to the tasks are those of the sampled pages' elements.
@@ -58,8 +65,10 @@ NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]
 ENDS_LINK = frozenset("p li td th tr ul ol dl dt dd table pre hr".split())
 #: Fixed: headings.
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Weights of words of main text and of other text by name, of words of links, and of tags inside elements of other purpose.
-IN, OUT, LINK, PASSED = 1.0, -0.02, -0.5, -0.02
+#: Weights of words of main text and of other text by name, of words of links, of tags inside elements of other purpose and
+#: links, and of tags that labelled pages lack; the least that an element without names weighs.
+IN, OUT, LINK, PASSED, TAG = 1.0, -0.02, -0.04, -0.02, -0.04
+PLAIN = 0.1
 
 
 #: Kinds of elements.
@@ -103,11 +112,14 @@ def tokens(page: str | None):
 
 
 def events(page: str | None, learned: dict[str, float] | None = None, by_name: bool = True):
-    """Yields (kind, value, key, other, link): kind `tag` with its name, or `text` with the raw text; key names the
-    innermost grouping element, other says if it or one around it names another purpose, link if it is in a link,
-    depth-first in page order. `learned` has the weights of keys; without `by_name` classes, ids and roles say nothing."""
+    """Yields (kind, value, key, other, link, within): kind `tag` with its name, or `text` with the raw text; key names the
+    innermost grouping element, other says if it or one around it names another purpose, link if it is in a link, within if
+    it is in the page's only <article> (or else <main>), depth-first in page order. `learned` has the weights of keys;
+    without `by_name` classes, ids and roles say nothing."""
     found = list(tokens(page))
-    lone = sum((m.group(3) or "").lower() == "article" and not m.group(2) for m in found) == 1
+    opened = {tag: [n for n, m in enumerate(found) if (m.group(3) or "").lower() == tag and not m.group(2)] for tag in ("article", "main")}
+    lone = len(opened["article"]) == 1
+    only = opened["article"][0] if lone else opened["main"][0] if len(opened["main"]) == 1 and not opened["article"] else -1
     around: set[int] = set()  # numbers of the tokens that open an element around <article> or <main>
     for main in (True, False):
         stack: list[tuple[str, str, int, int]] = [("", "", MAIN, -1)]
@@ -140,19 +152,21 @@ def events(page: str | None, learned: dict[str, float] | None = None, by_name: b
                         stack.append((tag, "", MAIN, n))
                     else:
                         names = " ".join(x for g in NAMED.findall(m.group(4)) for x in g if x) if by_name else ""
-                        key = f"{tag}.{names.lower()}" if names else tag
+                        key = f"{tag}.{names.lower()}" if names else ">".join([*stack[-1][1].split(">")[-2:], tag])
                         kind = MAIN
-                        if tag != "body" and n not in around and _furniture(tag, names) and not (learned and learned.get(key, 0) > 0):
+                        weight = learned.get(key, 0) if learned else 0
+                        if tag != "body" and n not in around and (weight < 0 and names or _furniture(tag, names) and weight <= 0):
                             own = tag == "header" and not _furniture("", names) and any(s[0] in ("article", "main") for s in stack)
                             kind = HEAD_OF_MAIN if own else OTHER
                         stack.append((tag, key, max(kind, stack[-1][2]), n))
             if main:
                 continue
+            within = only >= 0 and any(s[3] == only for s in stack)
             other = stack[-1][2] == OTHER or (stack[-1][2] == HEAD_OF_MAIN and not heading)
             if name or m.group(1):
-                yield "tag", (name or m.group(1)).lower(), stack[-1][1], other or before, link
+                yield "tag", (name or m.group(1)).lower(), stack[-1][1], other or before, link, within
             elif token[0] != "<" or token == "<":
-                yield "text", token, stack[-1][1], other, link
+                yield "text", token, stack[-1][1], other, link, within
 
 
 def counted(page: str | None) -> dict[tuple[str, str], list[int]]:
@@ -160,19 +174,12 @@ def counted(page: str | None) -> dict[tuple[str, str], list[int]]:
     out: dict[tuple[str, str], list[int]] = {}
     if page is None or len(re.findall(r"<article\b", page, re.I)) != 1:
         return out
-    inside = False
-    for m in tokens(page):
-        if m.group(3) and m.group(3).lower() == "article":
-            inside = not m.group(2)
-        m_name = (m.group(3) or m.group(1) or "").lower()
-        if m_name:
-            out.setdefault(("tag", m_name), [0, 0])[inside] += 1
-    inside = False
-    for kind, value, key, *_ in events(page):
-        if kind == "tag" and value == "article":
-            inside = key.startswith("article")
-        elif kind == "text" and (n := len(value.split())):
-            out.setdefault(("word", key), [0, 0])[inside or key.startswith("article")] += n
+    for kind, value, key, other, _, within in events(page):
+        if kind == "tag":
+            if not other:
+                out.setdefault(("tag", value), [0, 0])[within] += 1
+        elif n := len(value.split()):
+            out.setdefault(("word", key), [0, 0])[within] += n
     return out
 
 
@@ -182,18 +189,15 @@ class Weights:
         for kind, key, outside, inside in rows:
             odds = math.log((inside + 1) / (outside + 1))
             if kind == "word":
-                self.word[key] = max(-3.0, min(IN, odds))
+                self.word[key] = max(-3.0 if "." in key else PLAIN, min(IN, odds))
             else:
-                self.tag[key] = min(-0.1, max(-3.0, odds - 0.1))
+                self.tag[key] = min(TAG, max(-3.0, odds + TAG))
 
     def of_word(self, key: str, other: bool) -> float:
         return OUT if other else self.word.get(key, IN)
 
     def of_tag(self, tag: str, other: bool) -> float:
-        if other:
-            return PASSED
-        known = self.tag.get(tag)
-        return known if known is not None else -1.0 if tag in FURNITURE_TAGS else -0.2
+        return PASSED if other else self.tag.get(tag, -1.0 if tag in FURNITURE_TAGS else TAG)
 
 
 def best_run(gains: list[float]) -> tuple[int, int]:
@@ -213,19 +217,25 @@ def best_run(gains: list[float]) -> tuple[int, int]:
 def main_text(page: str | None, weights: Weights, by_name: bool = True) -> str:
     """The text of the best run."""
     parts: list[str] = []  # texts, \x00 for the end of a block
-    held: list[bool] = []  # if it belongs to the main text
+    held: list[bool] = []  # if it isn't of other purpose
     gains: list[float] = []
-    for kind, value, key, other, link in events(page, weights.word, by_name):
+    found = list(events(page, weights.word, by_name))
+    named = any(kind == "text" and within and not other and value.strip() for kind, value, _, other, _, within in found)
+    for kind, value, key, other, link, within in found:
         if kind == "text":
             text = html.unescape(value)
             weight = weights.of_word(key, other)
+            if named:
+                weight = (0.0 if other else IN) if within else -1.0
+            elif link and not other:
+                weight = min(weight, LINK)
             parts.append(text.replace("\x00", " "))  # the input's own is no text
-            held.append(not other and weight > 0)
-            gains.append(len(text.split()) * (min(weight, LINK) if link and not other else weight))
+            held.append(not other)
+            gains.append(len(text.split()) * weight)
         else:
             parts.append("" if value in INLINE else "\x00")
             held.append(True)
-            gains.append(weights.of_tag(value, other))
+            gains.append((0.0 if within else -1.0) if named else weights.of_tag(value, other or link))
     start, end = best_run(gains)
     while 0 < start < end and parts[start - 1] != "\x00":  # whole blocks
         start -= 1

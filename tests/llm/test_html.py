@@ -57,3 +57,46 @@ def test_learned_weights_win_over_names(spark):
     out = [(r.page_id, r.text) for r in html_text.extract(df).collect()]
     assert sorted(out) == sorted([*((i, WANT) for i in range(40)), (100, WANT), (101, ""), (101, "")])
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+P1 = "<p>" + "A paragraph of the text with some words of its own. " * 3 + "</p>"
+T1 = " ".join(("A paragraph of the text with some words of its own. " * 3).split())
+LIST = "<ul><li>First point of the argument</li><li>Second</li></ul>"
+SMALL = "".join(f"<div><p>short block {i}</p></div>" for i in range(6))
+BLOCKS = " ".join(f"short block {i}" for i in range(6))
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    """The weights that the query learns from the given pages."""
+    found = {}
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect():
+        for k, (outside, inside) in html_text.counted(r.html).items():
+            n = found.setdefault(k, [0, 0])
+            n[0], n[1] = n[0] + outside, n[1] + inside
+    assert found
+    return html_text.Weights([(*k, *n) for k, n in sorted(found.items())])
+
+
+@pytest.mark.parametrize("page,want", [
+    (f"<article>{P1}{LIST}<p>End of it.</p></article>", f"{T1} First point of the argument Second End of it."),
+    (f"<body><nav>{MENU}</nav>{P1}{LIST}<p>End of it.</p><footer>foot</footer></body>", f"{T1} First point of the argument Second End of it."),
+    (f"<article>{SMALL}</article>", BLOCKS), (f"<body>{SMALL}</body>", BLOCKS), (f"<body><nav>{MENU}</nav><div>{SMALL}</div><aside>{P1}</aside></body>", BLOCKS),
+    ("<article><h1>Heading</h1><ul><li>one</li><li>two</li></ul></article>", "Heading one two"),
+    (f"<body>{P1}{MENU}{MENU}{P1}</body>", f"{T1} " + " ".join([f"Entry number {i}" for i in range(30)] * 2) + f" {T1}"),
+    (f'<body><div class="legal"><article>{P1}{P1}</article></div><p>short one</p></body>', f"{T1} {T1}"),
+    (f'<article>{P1}<table><tr><td>a</td><td>b</td></tr></table><div class="ad">buy</div><nav>{MENU}</nav>{P1}</article>', f"{T1} a b {T1}"),
+    (f'<article>{P1}</article><div class="discussion"><p>{"I like it so much. " * 30}</p></div>', T1),
+    (f'<div class="intro"><p>{"Words before it. " * 20}</p></div><main>{P1}{LIST}</main>', f"{T1} First point of the argument Second"),
+    (f'<article> <nav>{MENU}</nav></article><div>{P1}</div>', T1),
+    (f'<div class="ad">{P1}</div>{P1}', T1),
+])
+def test_whole_article_with_the_given_weights(given, page, want):
+    assert html_text.main_text(page, given) == want
+
+
+def test_menus_say_nothing_of_lists_in_texts(given):
+    """The given pages have lists in menus only; their weights are of those."""
+    assert given.word.get("body>nav>ul", 1) < given.word.get(">body>article", 0) and given.word["div.ad"] < 0
+    assert given.of_word("article>ul", False) == given.of_word("body>ul", False) == html_text.IN
+    assert given.of_tag("li", False) == given.of_tag("ul", False) == html_text.TAG
