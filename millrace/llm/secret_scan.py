@@ -10,8 +10,8 @@ the share that dictionary words cover, its place in a path, address or link, and
 an assignment or quotes before it). A random forest, trained on labelled findings, scores it.
 
 Labelled findings are the candidates of all documents by the `labels` column if the caller has one for findings (those
-it gives null aren't labelled), else by KNOWN and NAMES (key formats of known issuers, values assigned to a name for a
-secret), with all other candidates as false. The forest trains on at most about `sample_findings` of each kind, chosen by
+it gives null aren't labelled), else by KNOWN and NAMES (key formats of known issuers, values of any length assigned to a
+name for a secret but placeholders, and short values of letters alone, which aren't labelled), with all other candidates as false. The forest trains on at most about `sample_findings` of each kind, chosen by
 a hash and weighted by the inverse of their kind's share, so that kinds count as often as they occur however large the
 table is, and a rare kind is there in full. The forest sees none of the rules, only the description. The dictionary is
 the `dictionary_words` most frequent words of three and more letters of all documents. The forest's size doesn't grow
@@ -108,8 +108,12 @@ def described(found: DataFrame, words: list[str], pairs: list[float]) -> DataFra
 
 
 def ruled() -> Column:
-    """What the rules say of a candidate."""
-    return F.col("candidate").rlike(KNOWN) | (F.col("before").rlike(NAMES) & (F.length("candidate") >= 12))
+    """What the rules say of a candidate: a key of a known format, or a value of any length assigned to a name for a secret,
+    is one; a value of one repeated character is a placeholder; of a short value of letters alone (a word of prose as well
+    as a weak password) they say nothing, so it isn't labelled."""
+    value, plain = F.col("before").rlike(NAMES), F.col("candidate").rlike(r"^(.)\1*$")
+    unclear = (F.length("candidate") < 12) & F.col("candidate").rlike(r"^\p{L}*$")
+    return F.when(F.col("candidate").rlike(KNOWN), True).when(~value | plain, False).when(~unclear, True)
 
 
 def scan(docs: DataFrame, labels: Column | None = None, sample_findings: int = 20_000, dictionary_words: int = 150, trees: int = 20, depth: int = 5, threshold: float = 0.5) -> DataFrame:
@@ -132,7 +136,7 @@ def scan(docs: DataFrame, labels: Column | None = None, sample_findings: int = 2
         forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=11, maxBins=32, subsamplingRate=1.0, weightCol="weight").fit(assemble.transform(train))
         scored = forest.transform(assemble.transform(found)).withColumn("score", F.round(vector_to_array("probability")[1], 6))
     else:
-        scored = found.withColumn("score", ruled().cast("double"))
+        scored = found.withColumn("score", F.coalesce(ruled(), F.lit(False)).cast("double"))
     return scored.select("doc_id", F.col("ordinal").cast("long").alias("ordinal"), "candidate", "before", "score", (F.col("score") >= threshold).alias("is_secret"))
 
 

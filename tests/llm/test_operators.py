@@ -280,8 +280,8 @@ def test_secret_candidates(spark):
         'password = "P@ss!word#2024$Long"': [("P@ss!word#2024$Long", True)], "password=CorrectHorseBatteryStaple": [("CorrectHorseBatteryStaple", True)],
         "-----BEGIN RSA PRIVATE KEY-----\nMIIEabcdefgh": [("-----BEGIN RSA PRIVATE KEY-----", True), ("MIIEabcdefgh", False)],
         letters + "7": [(letters + "7", False)], "my_database_password=CorrectHorse#BatteryStaple": [("my_database_password", False), ("CorrectHorse#BatteryStaple", True)],
-        '{"api_key": "it\'s:a%b&c!longer", "n": 1}': [("it's:a%b&c!longer", True)], "token => 'x!y.' and": [("x!y.", False)],
-        "secret" + " " * 30 + "=" + " " * 30 + "a:b:c:d:e:f:g": [("a:b:c:d:e:f:g", True)], "key abcdefghijkl==": [("abcdefghijkl==", False)], "password= and the words of prose.": [("and", False)],
+        '{"api_key": "it\'s:a%b&c!longer", "n": 1}': [("it's:a%b&c!longer", True)], "token => 'x!y.' and": [("x!y.", True)], 'password = "hunter2"': [("hunter2", True)], "api_key: sk1": [("sk1", True)], "secret = 'xxxxxxxxxxxxxxx'": [("xxxxxxxxxxxxxxx", False)],
+        "secret" + " " * 30 + "=" + " " * 30 + "a:b:c:d:e:f:g": [("a:b:c:d:e:f:g", True)], "key abcdefghijkl==": [("abcdefghijkl==", False)], "password= and the words of prose.": [("and", None)],
         "few short words -------------- password=''": [],
     }
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
