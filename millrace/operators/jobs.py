@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from . import aggregates as A
@@ -37,6 +37,15 @@ def archive_and_purge(tables: dict[str, DataFrame], keys: DataFrame, on: str) ->
     return {n: (df.join(keys, on, "left_semi"), df.join(keys, on, "left_anti")) for n, df in tables.items()}
 
 
+def requeue(tables: dict[str, DataFrame], queue: DataFrame, keys: DataFrame, on: str, at: str) -> tuple[dict[str, tuple[DataFrame, DataFrame]], DataFrame]:
+    """`archive_and_purge` for changed keys, and the queue (key, queued_at) with those of them that were in a table and aren't
+    in the queue yet."""
+    moved = archive_and_purge(tables, keys, on)
+    gone = reduce(lambda a, b: a.union(b), [out.select(on) for out, _ in moved.values()]).distinct()
+    fresh = gone.join(queue.select(on), on, "left_anti").withColumn("queued_at", F.lit(at).cast("timestamp"))
+    return moved, queue.select(on, "queued_at").union(fresh)
+
+
 def upsert_dictionary(target: DataFrame, df: DataFrame, key: str, val: str) -> DataFrame:
     """key, val and action (insert, update, keep); keys compare without case and blanks, repeated new keys count once."""
     fold = F.lower(F.trim(F.col(key)))
@@ -56,10 +65,14 @@ def load_bridge(df: DataFrame, a: str, dim_a: DataFrame, b: str, dim_b: DataFram
 
 
 def reject_report(df: DataFrame, example: str, examples: int = 5) -> DataFrame:
-    """Rejected rows by reason: their number, and the first `examples` distinct examples (a report of the top few)."""
-    each = df.filter("reason IS NOT NULL").groupBy("reason", example).agg(F.count("*").alias("n"))
-    first = A.top_n(each, ["reason"], [F.asc_nulls_last(example)], examples).groupBy("reason").agg(F.array_sort(F.collect_list(example)).alias("examples"))
-    return each.groupBy("reason").agg(F.sum("n").alias("n")).join(first, "reason")
+    """Rejected rows by reason: their number, and the first `examples` distinct examples (a report of the top few). Rows are
+    counted by reason and example, ranked in many parts of each reason, and a part's count and its first examples go on
+    together, so no reason is ranked in one place and nothing is read twice."""
+    each = df.filter("reason IS NOT NULL").groupBy("reason", example).agg(F.count("*").alias("n")).withColumn("__part", F.pmod(F.xxhash64(example), F.lit(1024)))
+    rank = F.row_number().over(Window.partitionBy("reason", "__part").orderBy(F.asc_nulls_last(example)))
+    few = F.collect_list(F.when(F.col("__rank") <= examples, F.col(example)))
+    part = each.withColumn("__rank", rank).groupBy("reason", "__part").agg(F.sum("n").alias("n"), few.alias("__few"))
+    return part.groupBy("reason").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.flatten(F.collect_list("__few"))), 1, examples).alias("examples"))
 
 
 def unify_label(df: DataFrame, group: str, order: list[str], label: str) -> DataFrame:
@@ -158,11 +171,19 @@ def approve(sheet: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, "approved", F.sha2("original", 256).alias("original_key"), error.alias("error"))
 
 
-def enrich(target: DataFrame, df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """New values for known keys; where a row matches, its null overwrites too."""
-    new = df.dropDuplicates([key]).select(key, *[F.col(c).alias(f"__{c}") for c in cols], F.lit(True).alias("__hit"))
-    out = target.join(new, key, "left")
-    return out.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in target.columns])
+def enrich(target: DataFrame, df: DataFrame, key: str | list[str], cols: list[str], order: list[str] | None = None) -> DataFrame:
+    """New values for known keys (one column or several; null keys match nothing); where a row matches, its null overwrites
+    too. Of rows of one key the last one by `order` counts, then by its values (`repeated_keys` reports them)."""
+    keys = [key] if isinstance(key, str) else list(key)
+    last = F.max_by(F.struct(*cols), F.struct(*(order or []), *cols))
+    new = df.groupBy(*keys).agg(last.alias("__new"))
+    out = target.join(new, keys, "left")
+    return out.select(*[F.when(F.col("__new").isNotNull(), F.col(f"__new.{c}")).otherwise(F.col(c)).alias(c) if c in cols else F.col(c) for c in target.columns])
+
+
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that more than one row has, and how many."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def split_upsert(target: DataFrame, df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
@@ -222,6 +243,27 @@ def check(df: DataFrame, name: str, unique: list[str] = (), not_null: list[str]
     return reduce(lambda a, b: a.unionByName(b), frames).filter("n > 0").select(F.lit(name).alias("table_name"), "expectation", "n")
 
 
+def checked_write(df: DataFrame, path: str, name: str, not_null: list[str] = (), closed: dict[str, list] | None = None, rules: dict[str, Column] | None = None, unique: list[list[str]] = (), foreign: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Writes a table and returns its violations by expectation (table_name, expectation, n), only those with any. What a row
+    shows by itself is counted while it is written (an Observation), so df is computed once. Keys that aren't unique
+    are counted on the written keys, unknown ones by one join for each foreign table."""
+    tests = {f"{c} not null": F.col(c).isNull() for c in not_null}
+    tests |= {f"{c} in list": ~F.col(c).isin(v) for c, v in (closed or {}).items()}
+    tests |= {n: ~F.coalesce(r, F.lit(False)) for n, r in (rules or {}).items()}
+    seen = Observation()
+    watched = df.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(t).alias(f"t{i}") for i, t in enumerate(tests.values())])
+    watched.write.parquet(path)
+    spark = df.sparkSession
+    got = seen.get
+    frames = [spark.createDataFrame([(n, got[f"t{i}"]) for i, n in enumerate(tests)], "expectation string, n long")] if tests else []
+    written = spark.read.schema(df.schema).parquet(path)
+    for keys in unique:
+        frames.append(repeated_keys(written, keys).agg(F.count("*").alias("n")).select(F.lit(f"{', '.join(keys)} unique").alias("expectation"), "n"))
+    for c, dim in (foreign or {}).items():
+        frames.append(written.filter(F.col(c).isNotNull()).join(dim.select(F.col(dim.columns[0]).alias(c)), c, "left_anti").agg(F.count("*").alias("n")).select(F.lit(f"{c} known").alias("expectation"), "n"))
+    return reduce(lambda a, b: a.unionByName(b), frames).filter("n > 0").select(F.lit(name).alias("table_name"), "expectation", "n")
+
+
 def pending(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return todo.join(done.select(key), key, "left_anti")
 
@@ -265,11 +307,19 @@ def templatize(col: str, words: dict[str, str]) -> Column:
 
 
 def translate(df: DataFrame, key: str, col: str, dictionary: DataFrame) -> DataFrame:
-    """Parts between line ends looked up in dictionary (source, target), unknown ones kept, put together in order."""
-    parts = df.select(key, F.posexplode(F.split(col, "\n")).alias("at", "part"))
-    hit = parts.withColumn("source", F.lower(F.trim("part"))).join(dictionary.groupBy(F.lower(F.trim("source")).alias("source")).agg(F.min("target").alias("target")), "source", "left")
-    rows = F.array_sort(F.collect_list(F.struct("at", F.coalesce("target", "part").alias("v"))))
-    return hit.groupBy(key).agg(F.array_join(F.transform(rows, lambda x: x["v"]), "\n").alias("translated"))
+    """Parts between line ends looked up in dictionary (source, target), unknown ones kept, put together in order; a row for
+    each row (key, translated), null for a null text. Only parts that are looked up are shuffled, as two hashes and their
+    length, and each distinct text is translated once, so repeated rows and keys neither meet nor multiply."""
+    part = F.lower(F.trim("part"))
+    code = lambda x: [F.xxhash64(x).alias("__h"), F.hash(x).alias("__g"), F.length(x).alias("__l")]
+    text = [F.xxhash64(col).alias("__th"), F.hash(col).alias("__tg"), F.length(col).alias("__tl")]
+    known = dictionary.select(F.lower(F.trim("source")).alias("s"), "target").groupBy("s").agg(F.min("target").alias("target")).select(*code("s"), "target").filter("target IS NOT NULL")
+    once = df.filter(F.col(col).isNotNull()).select(*text, F.col(col).alias("__text")).dropDuplicates(["__th", "__tg", "__tl"])
+    parts = once.select("__th", "__tg", "__tl", F.posexplode(F.split("__text", "\n")).alias("at", "part")).select("__th", "__tg", "__tl", "at", *code(part))
+    hits = parts.join(known, ["__h", "__g", "__l"]).groupBy("__th", "__tg", "__tl").agg(F.map_from_entries(F.collect_list(F.struct("at", "target"))).alias("__hits"))
+    out = df.select(key, col, *text).join(hits, ["__th", "__tg", "__tl"], "left")
+    lines = F.transform(F.split(col, "\n"), lambda x, i: F.coalesce(F.element_at("__hits", i), x))
+    return out.select(key, F.when(F.col("__hits").isNull(), F.col(col)).otherwise(F.array_join(lines, "\n")).alias("translated"))
 
 
 def translate_core(df: DataFrame, key: str, col: str, dictionary: DataFrame) -> DataFrame:
