@@ -252,8 +252,9 @@ class WaveletMatrix:
         return out
 
 
-def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 20, partition_bytes: int = 24 << 20) -> None:
-    """docs (doc_id, text) -> files in the folder `out`."""
+def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, shard_tokens: int = 1 << 20, partition_bytes: int = 24 << 20, most_partitions: int = 20_000) -> None:
+    """docs (doc_id, text) -> files in the folder `out`. A task streams over its sorted partition and holds a shard, so
+    beyond `most_partitions` (0.5 TB) partitions grow, shards don't."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
 
@@ -294,7 +295,7 @@ def write_tokens(docs: DataFrame, out: str, tokenizer: str, end_id: int = 0, sha
         if ids:
             yield shard()
 
-    count = max(1, -(-total // partition_bytes))
+    count = min(max(1, -(-total // partition_bytes)), most_partitions)
     # by a hash of the text too, so that rows of one doc_id (or null) don't all go to one task
     order = [F.col("doc_id").asc_nulls_first(), F.col("__h")]
     dealt = docs.withColumn("__h", F.xxhash64("text")).repartitionByRange(count, *order).sortWithinPartitions(*order, "text").drop("__h")
