@@ -3,7 +3,7 @@
 Vectors are normalised; a rotation of their principal axes is learned on at most about `sample_rows` of them so that
 signs lose as little as possible, and each vector gets a code of as many bits as it has dimensions, 64 at most. The code
 is cut into pieces with a table each, of about as many bits as it takes to tell the vectors of a label apart. A vector
-looks up every piece at distance nought and one. A pair goes on if its codes differ in at most `far` bits, at the first
+looks up every piece at distance nought and one (or two, see below). A pair goes on if its codes differ in at most `far` bits, at the first
 table that finds it, so that none comes up twice, and is reranked by the cosine of the original vectors in double
 precision.
 
@@ -11,8 +11,8 @@ How many codes. One rotation finds nearly all links where vectors point everywhe
 are wide apart once the mean is taken away, and one doesn't. So recall is measured while fitting: sampled vectors are
 turned by just the angle of `cosine`, half of them in any direction and half of them in directions in which the sample
 itself differs, and rotations (with codes and tables of their own) are added from other starts until both halves find
-`recall` of their partners; if `most_turns` rotations don't do, pieces get shorter, down to four bits, which finds any.
-That costs time where vectors lie close together, not links. Recall against brute force is measured in tests/llm, for
+`recall` of their partners; if `most_turns` rotations don't do, pieces are looked up with two wrong bits as well, and
+only then get shorter, down to eight bits. That costs time where vectors lie close together, not links. Recall against brute force is measured in tests/llm, for
 vectors without and with a common direction (at least 0.98 there).
 
 Equal vectors of a label form a class first and are never paired. The rest of the work grows with the candidates and
@@ -48,18 +48,20 @@ class Quantiser:
         rng = np.random.default_rng(seed)
         turns: list[np.ndarray] = []
         near = [self._turned(x, cosine, way, rng) for way in (False, True)] if len(x) > 2 and x.shape[1] > 1 else []
-        for width in range(min(width, self.bits), 0, -4):
-            self.width = width
-            self.pieces = max(1, self.bits // self.width)
-            while len(turns) < most_turns:
-                turns.append(axes.T @ self._rotation(v, rng))
-                self.turns = turns
-                self.far, self.recall = self._measured(near)
-                if self.recall >= recall:
-                    return
-            self.far, self.recall = self._measured(near)
-            if self.recall >= recall or width <= 4:
-                return
+        # more rotations first, then pieces with two wrong bits, then shorter pieces, which make larger buckets
+        shortest = min(8, self.bits)
+        for width in [*range(min(width, self.bits), shortest, -4), shortest]:
+            self.width, self.pieces = width, max(1, self.bits // width)
+            for self.radius in (1, 2):
+                for n in range(1, most_turns + 1):
+                    if n > len(turns):
+                        turns.append(axes.T @ self._rotation(v, rng))
+                    if self.radius == 1 and n < len(turns) and width < self.bits and n < most_turns:
+                        continue  # for shorter pieces all rotations are there
+                    self.turns = turns[:n]
+                    self.far, self.recall = self._measured(near)
+                    if self.recall >= recall:
+                        return
 
     @staticmethod
     def _rotation(v: np.ndarray, rng, rounds: int = 30) -> np.ndarray:
@@ -90,7 +92,7 @@ class Quantiser:
         for d, x in zip(differ, apart, strict=True):
             some = np.zeros(len(d), bool)
             for t in range(self.pieces):
-                some |= (np.bitwise_count((d >> np.uint64(t * self.width)) & np.uint64((1 << self.width) - 1)) <= 1).any(axis=1)
+                some |= (np.bitwise_count((d >> np.uint64(t * self.width)) & np.uint64((1 << self.width) - 1)) <= self.radius).any(axis=1)
             found.append((some & (x <= far)).mean())
         return far, float(min(found))
 
@@ -127,7 +129,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.98, recall: float = 0.99,
         for r in sizes:
             x = np.array(some.loc[some["dim"] == r.dim, "embedding"].tolist(), np.float64).reshape(-1, r.dim)
             x = _unit(x) if len(x) else np.eye(r.dim)
-            models[r.dim] = Quantiser(x, int(np.clip(np.ceil(np.log2(r.most)) + 3, 8, 24)), cosine, recall, most_turns)
+            models[r.dim] = Quantiser(x, int(np.clip(np.ceil(np.log2(r.most)) + 3, 8, 30)), cosine, recall, most_turns)
         links = _links(classes.filter(F.col("dim").isin(list(models))), models, cosine)
     links = cut(links)
     size = classes.select("rep", "n")
@@ -160,24 +162,26 @@ def _links(classes: DataFrame, models: dict[int, Quantiser], cosine: float) -> D
                 codes = model.codes(_unit(x))
                 n, k = codes.shape
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * k), pa.array(codes.view(np.int64).ravel()))
-                fixed = [pa.array(np.full(n, x, np.int32)) for x in (model.width, model.pieces, model.far)]
+                fixed = [pa.array(np.full(n, x, np.int32)) for x in (model.width, model.pieces, model.far, model.radius)]
                 # very long and very short vectors are scaled, so that squares neither overflow nor vanish
                 top = np.abs(x).max(axis=1, keepdims=True)
                 x = x / np.where((top < 1e-100) | (top > 1e100), top, 1.0)
                 vectors = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * dim), pa.array(x.ravel()))
-                yield pa.record_batch([own.column(0), own.column(1), own.column(3), lists, *fixed, vectors, pa.array(np.linalg.norm(x, axis=1))], ["rep", "label", "dim", "codes", "width", "pieces", "far", "v", "norm"])
+                yield pa.record_batch([own.column(0), own.column(1), own.column(3), lists, *fixed, vectors, pa.array(np.linalg.norm(x, axis=1))], ["rep", "label", "dim", "codes", "width", "pieces", "far", "radius", "v", "norm"])
 
     kind = classes.schema["label"].dataType.simpleString()
-    codes = cut(classes.select("rep", "label", "embedding", "dim").mapInArrow(run, f"rep long, label {kind}, dim int, codes array<long>, width int, pieces int, far int, v array<double>, norm double"))
+    codes = cut(classes.select("rep", "label", "embedding", "dim").mapInArrow(run, f"rep long, label {kind}, dim int, codes array<long>, width int, pieces int, far int, radius int, v array<double>, norm double"))
     piece = "CAST(shiftrightunsigned({code}, CAST(t % pieces AS INT) * width) & (shiftleft(1L, width) - 1) AS INT)"
     all_ = "sequence(0, size(codes) * pieces - 1)"
     values = F.posexplode(F.expr(f"transform({all_}, t -> {piece.format(code='codes[CAST(t DIV pieces AS INT)]')})"))
     held = codes.select(F.col("rep").alias("b"), F.col("codes").alias("cb"), "label", "dim", values.alias("table", "value"))
-    asked = codes.select(F.col("rep").alias("a"), F.col("codes").alias("ca"), "label", "dim", "width", "pieces", "far", values.alias("table", "own"))
-    asked = asked.withColumn("value", F.explode(F.expr("concat(array(own), transform(sequence(0, width - 1), i -> own ^ shiftleft(1, i)))"))).drop("own")
+    asked = codes.select(F.col("rep").alias("a"), F.col("codes").alias("ca"), "label", "dim", "width", "pieces", "far", "radius", values.alias("table", "own"))
+    one = "transform(sequence(0, width - 1), i -> own ^ shiftleft(1, i))"
+    two = "flatten(transform(sequence(0, width - 2), i -> transform(sequence(i + 1, width - 1), j -> own ^ shiftleft(1, i) ^ shiftleft(1, j))))"
+    asked = asked.withColumn("value", F.explode(F.expr(f"concat(array(own), {one}, CASE WHEN radius > 1 AND width > 1 THEN {two} ELSE CAST(array() AS array<int>) END)"))).drop("own")
     apart = " + ".join(f"coalesce(bit_count(get(ca, {k}) ^ get(cb, {k})), 0)" for k in range(2))
     earlier = piece.format(code="(ca[CAST(t DIV pieces AS INT)] ^ cb[CAST(t DIV pieces AS INT)])")
-    first = f"NOT exists(slice({all_.replace('codes', 'ca')}, 1, table), t -> bit_count({earlier}) <= 1)"
+    first = f"NOT exists(slice({all_.replace('codes', 'ca')}, 1, table), t -> bit_count({earlier}) <= radius)"
     pairs = asked.join(held, ["label", "dim", "table", "value"]).filter(f"a < b AND {apart} <= far AND {first}").select("a", "b")
     vec = codes.select("rep", "v", "norm")
     both = pairs.join(vec.select(F.col("rep").alias("a"), F.col("v").alias("va"), F.col("norm").alias("na")), "a").join(vec.select(F.col("rep").alias("b"), F.col("v").alias("vb"), F.col("norm").alias("nb")), "b")

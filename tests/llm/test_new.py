@@ -275,3 +275,23 @@ def test_other_templates_round_trip(spark):
 def test_no_chats(spark):
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat_format.digest_chats(chat_format.format_chats(empty)).count() == 0
+
+
+# ---- 4, with few rotations
+def test_pieces_with_two_wrong_bits(spark):
+    """One rotation alone doesn't find links where vectors share a direction; two wrong bits in a piece do."""
+    from millrace.llm import embedding_dedup
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(300, 48)) + 3
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    near = base + rng.normal(size=base.shape) * 0.17 / math.sqrt(48)
+    x = np.concatenate([base, near / np.linalg.norm(near, axis=1, keepdims=True)])
+    model = embedding_dedup.Quantiser(x, 12, 0.98, 0.99, 1)
+    assert model.radius == 2 and len(model.turns) == 1 and model.recall >= 0.99
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, most_turns=1).collect()}
+    cosine = x @ x.T
+    np.fill_diagonal(cosine, 0)
+    want = (cosine >= 0.98).sum(axis=1)
+    assert want.sum() > 100 and sum(got.values()) >= 0.98 * want.sum() and all(got[i] <= w for i, w in enumerate(want))
