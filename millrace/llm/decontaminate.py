@@ -151,12 +151,13 @@ def shift_tables(patterns: DataFrame, sizes: dict[int, int]) -> list[Shifts]:
     return [Shifts(m, bits[m], np.frombuffer(b"".join(s[k] for k in sorted(s)), np.uint8)) for m, s in sorted(by.items())]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_windows: int = 100_000) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, broadcast_windows: int = 100_000, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """docs (doc_id, text), benchmark (item_id, text) -> doc_id, n_words, hits (hit word ranges as array of start, end), items (array of item_id)."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text IS NOT NULL AND item_id IS NOT NULL")
     all_windows = cut(windows(items, window))
     patterns = cut(all_windows.groupBy("m", "key", "string").agg(F.min("number").alias("pattern"), F.min("words").alias("words")))
-    sizes = {r.m: r["count"] for r in patterns.groupBy("m").count().collect()}
+    counted = patterns.groupBy("m").agg(F.count("*").alias("n"), F.sum(F.octet_length("string") + 40).alias("bytes")).collect()  # a row for each length of window
+    sizes = {r.m: r.n for r in counted}
     tables = docs.sparkSession.sparkContext.broadcast(shift_tables(patterns, sizes) if sizes else [])
     docs = docs.select("doc_id", "text")
 
@@ -185,7 +186,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, broad
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     seen = cut(docs.mapInArrow(run, f"row long, doc_id {kind}, n_words long, tested array<struct<at:long,m:int,key:long,string:binary>>"))
-    small = sum(sizes.values()) <= broadcast_windows
+    small = sum(sizes.values()) <= broadcast_windows and sum(r.bytes for r in counted) <= broadcast_bytes
     known = patterns.select("m", "key", "string", "pattern")
     tested = seen.select("row", F.explode("tested").alias("t")).select("row", "t.*")
     hit = cut(tested.join(F.broadcast(known) if small else known, ["m", "key", "string"]).select("row", F.col("at").alias("start"), (F.col("at") + F.col("m")).alias("end"), "pattern"))
