@@ -101,9 +101,15 @@ class Normaliser:
 
     def __init__(self, spec, kept: list[str]):
         self.prefix, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
-        self.rules = _character_map(spec.precompiled_charsmap) if spec.precompiled_charsmap else {}
-        self.longest = max(map(len, self.rules), default=0)
-        self.ascii = re.compile("|".join(map(re.escape, sorted({k[0] for k in self.rules if k[0] < "\x80"}))) or "(?!)")
+        rules = _character_map(spec.precompiled_charsmap) if spec.precompiled_charsmap else {}
+        # states are (arcs by character, what a final state puts out or None)
+        self.rules = ({}, None) if rules else None
+        for source, to in rules.items():
+            state = self.rules
+            for k, c in enumerate(source, 1):
+                after = state[0].get(c, ({}, None))
+                state[0][c] = state = (after[0], to) if k == len(source) else after
+        self.ascii = re.compile("|".join(map(re.escape, sorted({k[0] for k in rules if k[0] < "\x80"}))) or "(?!)")
         self.kept = re.compile("|".join(map(re.escape, sorted(kept, key=len, reverse=True)))) if kept else None
 
     @property
@@ -124,16 +130,15 @@ class Normaliser:
         """Longest matches first."""
         if not self.rules or (text.isascii() and not self.ascii.search(text)):
             return text
-        out, i, rules = [], 0, self.rules
-        while i < len(text):
-            for n in range(min(self.longest, len(text) - i), 0, -1):
-                if (to := rules.get(text[i : i + n])) is not None:
-                    out.append(to)
-                    i += n
-                    break
-            else:
-                out.append(text[i])
-                i += 1
+        out, i, n, root = [], 0, len(text), self.rules
+        while i < n:
+            state, k, to, end = root, i, text[i], i + 1
+            while k < n and (state := state[0].get(text[k])) is not None:  # along the arcs, to the last final state
+                k += 1
+                if state[1] is not None:
+                    to, end = state[1], k
+            out.append(to)
+            i = end
         return "".join(out)
 
     def apply(self, texts: pa.Array) -> pa.Array:
