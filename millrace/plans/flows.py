@@ -1,10 +1,11 @@
-"""Streams with state and queues, batched calls (inventory K1, K3, L3)."""
+"""Streams with state and queues, routed and cached rows, batched calls (inventory I34, K1 to K3, L3)."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..operators import calls as C
+from ..operators import jobs as J
 from ..sources import io
 from ..sources.io import read_table as T
 from ..streaming import collect as K
@@ -67,3 +68,23 @@ def _(s, d):
     # a call for one size each, as a call fails with all its rows
     parts = T(s, d, "part").select("p_partkey", "p_name", "p_size").repartition(4)
     return C.batched_calls(parts, fn, 1, workers=8, tries=2, wait=0.0).select("p_partkey", "answer", "error", "calls")
+
+
+@query("k2_routed_rows", "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")
+def _(s, d):
+    path, e = io.scratch(s), _events(s, d)
+    e.repartition(2).write.parquet(path)
+    targets = {"click": io.scratch(s), "purchase": io.scratch(s)}
+    K.route_stream(K.read_stream(s, path, e.schema, 2), "event_type", targets, ["event_id"], io.scratch(s))
+    read = lambda t: s.read.schema(e.schema).parquet(targets[t]).filter(c("event_type") == t)
+    return read("click").union(read("purchase")).select("event_id", "user_id", "event_type")
+
+
+@query("i34_cached_rows", "SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 'fetch' ELSE 'cached' END AS way, CASE WHEN page_id % 4 <> 0 THEN sha256(html) END AS digest FROM pages")
+def _(s, d):
+    # payloads are broken in four ways: no base 64, cut short, no compressed data, missing
+    p = io.encode_payload(T(s, d, "pages").select("page_id", "html"), "html").drop("html")
+    cut = F.substring("payload", 1, 40)
+    broken = F.when(c("page_id") % 16 == 0, F.lit("no base 64!")).when(c("page_id") % 16 == 4, cut).when(c("page_id") % 16 == 8, F.lit("aGVsbG8="))
+    ok, again = J.split_cached(p.withColumn("payload", F.when(c("page_id") % 4 == 0, broken).otherwise(c("payload"))), "payload")
+    return ok.select("page_id", F.lit("cached").alias("way"), F.sha2("decoded", 256).alias("digest")).union(again.select("page_id", F.lit("fetch"), F.lit(None).cast("string")))
