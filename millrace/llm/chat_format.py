@@ -23,9 +23,12 @@ reader: literals must stand as they are, an escaped field is what has no control
 alternatives.
 
 Spark shuffles the turns by conversation and sorts them; tasks stream over them, and write a conversation as parts of
-about `part_chars` code points that end between turns, so no conversation has to fit in memory. Reading
-back digests conversations of one part, which are nearly all, in the tasks that read the files; only parts of longer ones
-are shuffled again. A digest has to see a conversation's turns in order, so one task streams over each conversation.
+about `part_chars` code points that end between turns, so no conversation has to fit in memory. A conversation of more
+than `segment_turns` turns (or all rows without a conv_id) is split into segments of its order, which are formatted by
+tasks of their own; a segment is told its first turn's number and if it is the last one. Reading back digests
+conversations of one part, which are nearly all, in the tasks that read the files; only parts of longer ones are shuffled
+again. Turns can be read back from each part alone (`read_chats`), but a digest has to see a conversation's turns in
+order, so there one task streams over each conversation.
 
 Defined results. A null text, role or turn is an empty text, an empty role, and a turn before all others; turns of one number are
 ordered by role and text, repeated rows are turns of their own. Rows without a conv_id are one conversation, whose id is null. An
@@ -40,9 +43,10 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.segments import SEG, segmented
 from .common import cut, table
 
 #: Turns are marked like this by default; the assistant's texts, and nothing else, are learned.
@@ -424,20 +428,24 @@ class Template:
 
         return block
 
-    def render(self, turns: Iterator[tuple], part_chars: int = 1 << 20) -> Iterator[tuple[str, list[tuple[int, int]], bool]]:
-        """Parts (text, loss mask, if it is the last one) of one conversation's turns (role, text, turn)."""
+    def render(self, turns: Iterator[tuple], part_chars: int = 1 << 20, start: int = 0, ends: bool = True) -> Iterator[tuple[str, list[tuple[int, int]], bool]]:
+        """Parts (text, loss mask, if it is the last one) of one conversation's turns (role, text, turn). For a segment of
+        a conversation: how many turns are before it, and if it is the last one."""
         out, shared = Output(), {}
         self._head(shared, out)
+        if start:
+            out = Output()  # what is set before the loop holds for all segments, the text is the first one's
         turns = iter(turns)
-        now, k = next(turns, None), 0
+        now, k = next(turns, None), start
         while now is not None:
             after = next(turns, None)
-            self._body(shared | dict(zip(("m.role", "m.text", "m.turn"), now, strict=True)) | {"loop.first": k == 0, "loop.last": after is None, "loop.index": k + 1, "loop.index0": k}, out)
+            self._body(shared | dict(zip(("m.role", "m.text", "m.turn"), now, strict=True)) | {"loop.first": k == 0, "loop.last": ends and after is None, "loop.index": k + 1, "loop.index0": k}, out)
             now, k = after, k + 1
             if out.size >= part_chars and now is not None:
                 yield *out.take(), False
-        self._tail(shared, out)
-        yield *out.take(), True
+        if ends:
+            self._tail(shared, out)
+        yield *out.take(), ends
 
     @property
     def reader(self) -> Reader:
@@ -562,7 +570,7 @@ def _groups(rows: Iterator[tuple]) -> Iterator[tuple[object, Iterator[tuple]]]:
             pass
 
 
-FORMATTED = "conv_id long, part int, last boolean, text string, loss array<struct<start: long, end: long>>"
+FORMATTED = "conv_id long, segment int, part int, first boolean, last boolean, text string, loss array<struct<start: long, end: long>>"
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 5000, most_chars: int = 8 << 20, size: Callable = lambda r: 0) -> Iterator[pa.RecordBatch]:
@@ -583,33 +591,41 @@ def _rows(batches, columns: int, step: int = 500) -> Iterator[tuple]:
             yield from zip(*[b.column(c).slice(k, step).to_pylist() for c in range(columns)], strict=True)
 
 
-def format_chats(chats: DataFrame, template: str = TEMPLATE, part_chars: int = 1 << 20) -> DataFrame:
-    """chats (conv_id, turn, role, text) -> conv_id, part, last, text, loss: the places of what is learned in the part's text."""
+def format_chats(chats: DataFrame, template: str = TEMPLATE, part_chars: int = 1 << 20, segment_turns: int = 1_000_000) -> DataFrame:
+    """chats (conv_id, turn, role, text) -> conv_id, segment, part, first, last, text, loss: the places of what is learned in
+    the part's text; first and last: if the conversation begins and ends in it. A conversation's text is that of its parts in the order of segment and part."""
     compiled(template)
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     rows = chats.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), empty("role").alias("role"), empty("text").alias("text"))
-    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("last", pa.bool_()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
+    s = segmented(rows, ["conv_id"], ["turn", "role"], segment_turns)
+    if s.split:
+        w = Window.partitionBy("conv_id").orderBy(SEG)
+        edges = s.summary({"rows_": F.count("*")}).select("conv_id", SEG, F.sum("rows_").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("start_"), F.lead(SEG).over(w).isNull().alias("ends_"))
+        rows = s.carry(s.rows, edges).select("conv_id", SEG, "turn", "role", "text", F.coalesce("start_", F.lit(0)).alias("start_"), F.coalesce("ends_", F.lit(True)).alias("ends_"))
+    else:
+        rows = s.rows.select("conv_id", SEG, "turn", "role", "text", F.lit(0).cast("long").alias("start_"), F.lit(True).alias("ends_"))
+    schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("part", pa.int32()), ("first", pa.bool_()), ("last", pa.bool_()), ("text", pa.string()), ("loss", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))])
 
     def run(batches):
         t = compiled(template)
-        turns = ((c, role, text, turn) for c, turn, role, text in _rows(batches, 4))
-        out = ((c, k, last, text, [{"start": a, "end": b} for a, b in loss]) for c, own in _groups(turns) for k, (text, loss, last) in enumerate(t.render(own, part_chars)))
-        yield from _batches(out, schema, size=lambda r: len(r[3]))
+        turns = (((c, seg, start, ends), role, text, turn) for c, seg, turn, role, text, start, ends in _rows(batches, 7))
+        out = ((c, seg, k, start == k == 0, last, text, [{"start": a, "end": b} for a, b in loss]) for (c, seg, start, ends), own in _groups(turns) for k, (text, loss, last) in enumerate(t.render(own, part_chars, start, ends)))
+        yield from _batches(out, schema, size=lambda r: len(r[5]))
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(run, FORMATTED)
+    return rows.repartition("conv_id", SEG).sortWithinPartitions("conv_id", SEG, "turn", "role", "text").mapInArrow(run, FORMATTED)
 
 
 def read_chats(formatted: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """A row for each turn of the formatted text: conv_id, part, at (its place in the part), role, text."""
+    """A row for each turn of the formatted text: conv_id, segment, part, at (its place in the part), role, text."""
     _reader(template)
-    schema = pa.schema([("conv_id", pa.int64()), ("part", pa.int32()), ("at", pa.int32()), ("role", pa.string()), ("text", pa.string())])
+    schema = pa.schema([("conv_id", pa.int64()), ("segment", pa.int32()), ("part", pa.int32()), ("at", pa.int32()), ("role", pa.string()), ("text", pa.string())])
 
     def run(batches):
         r = _reader(template)
-        out = ((c, part, at, t.get("role"), t.get("text")) for c, part, last, text in _rows(batches, 4, 50) for at, t in enumerate(r.turns(text, part == 0, last)))
-        yield from _batches(out, schema, size=lambda x: len(x[4] or ""))
+        out = ((c, seg, part, at, t.get("role"), t.get("text")) for c, seg, part, first, last, text in _rows(batches, 6, 50) for at, t in enumerate(r.turns(text, first, last)))
+        yield from _batches(out, schema, size=lambda x: len(x[5] or ""))
 
-    return formatted.select("conv_id", "part", "last", "text").mapInArrow(run, "conv_id long, part int, at int, role string, text string")
+    return formatted.select("conv_id", "segment", "part", "first", "last", "text").mapInArrow(run, "conv_id long, segment int, part int, at int, role string, text string")
 
 
 def digest_chats(formatted: DataFrame, template: str = TEMPLATE) -> DataFrame:
@@ -622,12 +638,12 @@ def digest_chats(formatted: DataFrame, template: str = TEMPLATE) -> DataFrame:
         r = _reader(template)
 
         def each():
-            for conv, parts in _groups(_rows(batches, 5, 50)):
+            for conv, parts in _groups(_rows(batches, 7, 50)):
                 n = loss_chars = chars = 0
                 turns_hash, loss_hash = hashlib.sha256(), hashlib.sha256()
-                for part, last, text, loss in parts:
+                for _, _, first, last, text, loss in parts:
                     chars += len(text)
-                    for t in r.turns(text, part == 0, last):
+                    for t in r.turns(text, first, last):
                         n += 1
                         turns_hash.update(f"{t.get('role', '')}\n{t.get('text', '')}\n".encode())
                     for s in loss:
@@ -639,9 +655,10 @@ def digest_chats(formatted: DataFrame, template: str = TEMPLATE) -> DataFrame:
         yield from _batches(each(), schema)
 
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    columns = formatted.select("conv_id", "part", "last", "text", "loss")
-    whole = columns.filter("part = 0 AND last").mapInArrow(run, out)
-    longer = columns.filter("part > 0 OR NOT last").repartition("conv_id").sortWithinPartitions("conv_id", "part").mapInArrow(run, out)
+    columns = formatted.select("conv_id", "segment", "part", "first", "last", "text", "loss")
+    alone = F.col("first") & F.col("last")
+    whole = columns.filter(alone).mapInArrow(run, out)
+    longer = columns.filter(~alone).repartition("conv_id").sortWithinPartitions("conv_id", "segment", "part").mapInArrow(run, out)
     return whole.union(longer)
 
 

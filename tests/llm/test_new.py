@@ -191,15 +191,17 @@ def test_escape_round_trip():
             chat_format.Controls(bad)
 
 
-@pytest.mark.parametrize("part", [1, 50, 1 << 20])
-def test_chat_format(spark, part):
+@pytest.mark.parametrize("part,segment", [(1, 10**6), (50, 64), (1 << 20, 64), (1 << 20, 10**6)])
+def test_chat_format(spark, part, segment):
     rng = random.Random(part)
     roles = ["user", "assistant", "system", "", None, "[INST]<"]
     rows = [(c, t, rng.choice(roles), rng.choice(TEXTS)) for c in range(40) for t in range(rng.randrange(1, 9))]
     rows += [(None, 0, "user", "no id"), (None, 1, "assistant", "</s>"), (50, None, "user", "x"), (50, 1, "assistant", "b"), (50, 1, "assistant", "b"), (50, 1, "assistant", "a")]
     rows += [(60, i, "assistant" if i % 2 else "user", f"turn {i} </s>") for i in range(700)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "conv_id long, turn long, role string, text string, loss string").repartition(5)
-    done = chat_format.format_chats(df, part_chars=part).cache()
+    done = chat_format.format_chats(df, part_chars=part, segment_turns=segment).cache()
+    if segment == 64:  # the long conversation is split
+        assert done.filter("conv_id = 60").select("segment").distinct().count() > 4 and done.filter("conv_id = 50 AND segment > 0").count() == 0
     got = {r.conv_id: r for r in chat_format.digest_chats(done).collect()}
     chats = defaultdict(list)
     for c, t, role, text in rows:
@@ -216,7 +218,7 @@ def test_chat_format(spark, part):
         assert r.turns_sha256 == hashlib.sha256("".join(f"{role}\n{t}\n" for _, role, t in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(learned.encode()).hexdigest()
     read = defaultdict(list)
-    for r in chat_format.read_chats(done).orderBy("conv_id", "part", "at").collect():
+    for r in chat_format.read_chats(done).orderBy("conv_id", "segment", "part", "at").collect():
         read[r.conv_id].append((r.role, r.text))
     assert read == {c: [(role, t) for _, role, t in sorted(turns)] for c, turns in chats.items()}
 
@@ -237,6 +239,15 @@ def test_template_language():
     assert learned == ["a", "b", "c"]
 
 
+def test_segments_of_a_conversation():
+    """Segments are what the whole conversation would be there."""
+    t = chat_format.compiled("BOS{% set x = 'q' %}{% for m in messages %}{{ '^' if loop.first }}{{ x }}{{ loop.index }}{{ m.text }}{{ '$' if loop.last }}{% endfor %}EOS")
+    turns = [("r", str(i), i) for i in range(9)]
+    whole = [p for p, _, _ in t.render(iter(turns))]
+    parts = [p for at in (0, 3, 6) for p, _, _ in t.render(iter(turns[at : at + 3]), 1 << 20, at, at == 6)]
+    assert "".join(parts) == "".join(whole) and whole[0].startswith("BOS^q10q21") and whole[0].endswith("$EOS")
+
+
 def test_constants_are_folded():
     t = chat_format.Template("a{{ 'b' ~ 1 }}{% if 1 == 2 %}never{% else %}c{% endif %}{% for m in messages %}{% if true and 'x' in 'xy' %}{{ 'q' | upper }}{% endif %}{{ m.text }}{% generation %}{% endgeneration %}{% endfor %}")
     assert t._parts[0] == ("block", [("const", "ab1c")])
