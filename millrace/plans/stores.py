@@ -30,7 +30,7 @@ def query(name: str, sql: str):
 
 @query("a8_database", "SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderkey > 1000 AND o_orderstatus IN ('F', 'P')")
 def _(s, d):
-    path = io.scratch(s).removeprefix("file://") + ".db"
+    path = database.local(io.scratch(s)) + ".db"
     os.makedirs(os.path.dirname(path), exist_ok=True)
     database.write_database(T(s, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"), path, "orders")
     return database.read_database(s, path, "orders", "o_orderkey long, o_orderstatus string", "o_orderkey").filter("o_orderkey > 1000 AND o_orderstatus IN ('F', 'P')")

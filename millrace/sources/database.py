@@ -28,9 +28,10 @@ def quoted(name: str) -> str:
 
 
 def local(path: str) -> str:
+    """The path of a mounted file system, without its scheme."""
     if "://" in path and not path.startswith("file://"):
         raise ValueError(f"not a path of a mounted file system: {path}")
-    return path.removeprefix("file://")
+    return path.removeprefix("file://").removeprefix("file:")
 
 
 def opened(path: str) -> sqlite3.Connection:
