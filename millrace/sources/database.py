@@ -2,7 +2,8 @@
 
 Each partition reads its own range of the key with the columns that are asked for; filters that SQLite can decide the
 same way are handed to it, all others stay with Spark. Writing tasks fill staging tables, which the driver moves into the
-target in one transaction when all have succeeded, so a task that runs twice adds nothing. The file must be on a file
+target in one transaction when all have succeeded, so a task that runs twice adds nothing. (A task that ends just after
+its job was given up can leave its staging table, which nothing reads.) The file must be on a file
 system that driver and executors share; a server's table is read the same way by `spark.read.jdbc` and its own
 partition column where a driver is installed.
 """
@@ -114,8 +115,8 @@ class _Writer(DataSourceWriter):
     def write(self, iterator) -> _Staged:
         name = f"staged_{self.job}_{uuid.uuid4().hex}"
         with opened(self.path) as db:
-            db.execute(f"CREATE TABLE {quoted(name)} ({self.columns})")
             db.execute("BEGIN IMMEDIATE")
+            db.execute(f"CREATE TABLE {quoted(name)} ({self.columns})")
             db.executemany(f"INSERT INTO {quoted(name)} VALUES ({', '.join('?' * len(self.schema))})", (tuple(r) for r in iterator))
             db.execute("COMMIT")
         return _Staged(name)

@@ -67,7 +67,9 @@ def test_a_task_that_fails_writes_nothing(spark):
     with pytest.raises(Exception, match="gone"):
         database.write_database(bad, path, "t")
     with sqlite3.connect(path) as db:
-        assert [r[0] for r in db.execute("SELECT name FROM sqlite_master")] == ["t"] and db.execute("SELECT count(*) FROM t").fetchone() == (3,)
+        # a task that was still running when the job was given up may leave its own staging table
+        assert {r[0] for r in db.execute("SELECT name FROM sqlite_master") if not r[0].startswith("staged_")} == {"t"}
+        assert db.execute("SELECT id FROM t ORDER BY id").fetchall() == [(0,), (1,), (2,)]
     with pytest.raises(ValueError):
         database.write_database(spark.range(1).select(F.array("id").alias("a")), path, "t")
     with pytest.raises(ValueError):
