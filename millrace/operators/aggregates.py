@@ -210,10 +210,12 @@ def canonical_label(df: DataFrame, group: str, order: list[str], label: str) ->
 
 
 def last_two_changed(df: DataFrame, key: str, order: list[str], cols: list[str]) -> DataFrame:
-    """Keys whose two newest rows differ in a column, null-safe, all columns in one pass."""
-    w = Window.partitionBy(key).orderBy(*[F.desc(o) for o in order])
-    two = df.withColumns({"__n": F.row_number().over(w)} | {f"__{c}": F.lead(c).over(w) for c in cols} | {"__more": F.lead(F.lit(1)).over(w)}).filter("__n = 1 AND __more = 1")
-    return two.select(key, *[(~F.col(c).eqNullSafe(F.col(f"__{c}"))).alias(f"changed_{c}") for c in cols]).filter(" OR ".join(f"changed_{c}" for c in cols))
+    """Keys whose two newest rows differ in a column, null-safe, all columns in one pass. Every task keeps its own two newest
+    rows of a key before anything is shuffled."""
+    two = top_n(df.select(*dict.fromkeys([key, *order]), *[F.col(c).alias(f"__{c}") for c in cols]), [key], [F.desc(o) for o in order], 2)
+    at = lambda k, c: F.max(F.when(F.col("rank") == k, F.struct(f"__{c}")))[f"__{c}"]
+    both = two.groupBy(key).agg(F.count("*").alias("__n"), *[(~at(1, c).eqNullSafe(at(2, c))).alias(f"changed_{c}") for c in cols]).filter("__n = 2").drop("__n")
+    return both.filter(" OR ".join(f"changed_{c}" for c in cols))
 
 
 def share_of_group(df: DataFrame, keys: list[str], over: list[str], val: str) -> DataFrame:
