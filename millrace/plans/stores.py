@@ -93,17 +93,15 @@ def _(s, d):
     return after.select(F.lit("queue").alias("what"), "k", "queued_at", F.lit(1).alias("n")).union(side(0, "archived")).union(side(1, "kept"))
 
 
-@query("a6_answers_by_file", "SELECT 'answers ' || lpad(CAST(conv_id % 32 AS VARCHAR), 2, '0') AS file, CAST(turn + 1 AS INTEGER) AS number, count(*) AS n, sha256(string_agg(trim(replace(text, chr(10), ' ')), chr(10) ORDER BY conv_id)) AS digest FROM conversations GROUP BY 1, 2")
+@query("a6_answers_by_file", """SELECT 'answers ' || lpad(CAST(conv_id % 32 AS VARCHAR), 2, '0') AS file, CAST(turn + 1 AS INTEGER) AS number, sha256(ltrim(trim(replace(coalesce(text, ''), chr(10), ' ')), ' ' || chr(9) || chr(11) || chr(12) || chr(13))) AS answer, count(*) AS n FROM conversations GROUP BY 1, 2, 3""")
 def _(s, d):
     # the file's name is all that says which answers these are
     out, t = io.scratch(s), T(s, d, "conversations")
-    text = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
+    text = F.trim(F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.lit(" ")))
     name = F.concat(F.lit("answers "), F.lpad((c("conv_id") % 32).cast("string"), 2, "0"))
-    t.select("conv_id", name.alias("file"), F.concat((c("turn") + 1).cast("string"), F.lit(". "), F.lpad(c("conv_id").cast("string"), 12, "0"), F.lit(" "), text).alias("value")).select("value", "file").write.partitionBy("file").text(out)
+    t.select(F.concat((c("turn") + 1).cast("string"), F.lit(". "), text).alias("value"), name.alias("file")).write.partitionBy("file").text(out)
     read = io.read_numbered_answers(s, out).withColumn("file", F.url_decode(F.regexp_replace("file", "^file=", "")))
-    rows = read.select("file", "number", F.substring("answer", 1, 12).alias("at"), F.expr("substring(answer, 14)").alias("answer"))
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "answer"))), lambda x: x["answer"]), "\n")
-    return rows.groupBy("file", "number").agg(F.count("*").alias("n"), F.sha2(lines, 256).alias("digest"))
+    return read.groupBy("file", "number", F.sha2("answer", 256).alias("answer")).agg(F.count("*").alias("n"))
 
 
 # sheets: titles of customers, lines of orders, an archive with two suggestions for some places
