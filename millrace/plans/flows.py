@@ -13,6 +13,7 @@ from ..streaming import collect as K
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 c = F.col
+FILES = 1000
 
 
 def query(name: str, sql: str):
@@ -29,16 +30,16 @@ def _events(s, d):
 
 @query("k1_collect_first", "SELECT user_id, event_id, event_type, epoch_us(CAST(ts AS TIMESTAMP)) AS at FROM events WHERE user_id >= 20 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1")
 def _(s, d):
-    # the events arrive in four parts by time, the last two after a restart
+    # the events arrive in four parts by time, each after a restart
     e, path, out, mark = _events(s, d), io.scratch(s), io.scratch(s), io.scratch(s)
     known = e.filter("user_id < 20").select("user_id")
     first, last = e.agg(F.min(F.unix_seconds("ts")), F.max(F.unix_seconds("ts"))).first()
     part = F.floor(4 * (F.unix_seconds("ts") - F.lit(first)) / F.lit((last or 0) - (first or 0) + 1))
     for k in range(4):
-        e.filter(part == k).coalesce(1).write.mode("append").parquet(path)
-        if k % 2:
-            stream = K.collect_first(K.read_stream(s, path, e.schema), known, "user_id", ["ts", "event_id"])
-            K.drain(stream, K.once(K.insert_into(out, ["user_id"])), mark)
+        e.filter(part == k).write.mode("append").parquet(path)
+        # each part is one batch, however many files it has
+        stream = K.collect_first(K.read_stream(s, path, e.schema, 2**31 - 1), known, "user_id", ["ts", "event_id"])
+        K.drain(stream, K.once(K.insert_into(out, ["user_id"])), mark)
     return s.read.parquet(out).select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("at"))
 
 
@@ -47,13 +48,13 @@ UNION ALL SELECT event_id, user_id, NULL, 3 FROM events WHERE event_id % 50 = 0"
 def _(s, d):
     # some rows fail always, some at first
     e, path, out, failed = _events(s, d).select("event_id", "user_id", "event_type"), io.scratch(s), io.scratch(s), io.scratch(s)
-    e.withColumn("tries", F.lit(0)).repartition(3).write.parquet(path)
+    e.withColumn("tries", F.lit(0)).write.parquet(path)
 
     def work(batch):
         bad = (c("event_id") % 50 == 0) | ((c("user_id") % 7 == 0) & (c("tries") < 2))
         return batch.withColumn("error", F.when(bad, "no answer"))
 
-    K.work_queue(s, path, "event_id long, user_id long, event_type string", work, out, failed, ["event_id"], io.scratch(s))
+    K.work_queue(s, path, "event_id long, user_id long, event_type string", work, out, failed, ["event_id"], io.scratch(s), files_per_trigger=FILES)
     done = s.read.parquet(out).select("event_id", "user_id", F.concat("event_type", F.lit("!")).alias("result"), F.lit(None).cast("int").alias("tries"))
     return done.union(s.read.parquet(failed).select("event_id", "user_id", F.lit(None).cast("string"), "tries"))
 
@@ -66,16 +67,16 @@ def _(s, d):
         return [r["p_name"].upper() for r in rows]
 
     # a call for one size each, as a call fails with all its rows
-    parts = T(s, d, "part").select("p_partkey", "p_name", "p_size").repartition(4)
+    parts = T(s, d, "part").select("p_partkey", "p_name", "p_size")
     return C.batched_calls(parts, fn, 1, workers=8, tries=2, wait=0.0).select("p_partkey", "answer", "error", "calls")
 
 
 @query("k2_routed_rows", "SELECT event_id, user_id, event_type FROM events WHERE event_type IN ('click', 'purchase')")
 def _(s, d):
     path, e = io.scratch(s), _events(s, d)
-    e.repartition(2).write.parquet(path)
+    e.write.parquet(path)
     targets = {"click": io.scratch(s), "purchase": io.scratch(s)}
-    K.route_stream(K.read_stream(s, path, e.schema, 2), "event_type", targets, ["event_id"], io.scratch(s))
+    K.route_stream(K.read_stream(s, path, e.schema, FILES), "event_type", targets, ["event_id"], io.scratch(s))
     read = lambda t: s.read.schema(e.schema).parquet(targets[t]).filter(c("event_type") == t)
     return read("click").union(read("purchase")).select("event_id", "user_id", "event_type")
 
