@@ -13,6 +13,7 @@ from ..operators import report as B
 from ..sources import io
 from ..sources.io import read_table as T
 from ..streaming import collect as K
+from .documents import PLACED, ordered, placed
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -219,35 +220,35 @@ def _(s, d):
 
 
 def _nested(s, d):
-    """Conversations as documents: a map turn -> text for each role."""
-    t = T(s, d, "conversations")
-    part = lambda role: F.map_from_entries(F.array_sort(F.collect_list(F.when(c("role") == role, F.struct(c("turn").cast("string").alias("k"), c("text").alias("v"))))))
-    return t.groupBy("conv_id").agg(F.struct(part("user").alias("user"), part("assistant").alias("assistant")).alias("doc"))
+    """Conversations as documents: a map place -> text for each role; long ones are several documents (`section`)."""
+    part = lambda role: F.map_from_entries(ordered(c("role") == role, F.struct(c("place").cast("string").alias("k"), c("text").alias("v"))))
+    return placed(s, d).groupBy("conv_id", "section").agg(F.struct(part("user").alias("user"), part("assistant").alias("assistant")).alias("doc"))
 
 
-@query("i13_flatten_document", "SELECT conv_id, role AS part, CAST(turn AS INTEGER) AS line, text FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
+@query("i13_flatten_document", f"WITH {PLACED} SELECT conv_id, role AS part, CAST(place AS INTEGER) AS line, text FROM p WHERE role IN ('user', 'assistant') AND trim(text) <> ''")
 def _(s, d):
     return J.flatten_document(_nested(s, d), "conv_id", "doc", ["user", "assistant"])
 
 
-@query("i14_flatten_blocks", "SELECT conv_id, CAST(turn AS INTEGER) AS block, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS speaker_id, 1 AS line, text FROM conversations WHERE trim(text) <> ''")
+@query("i14_flatten_blocks", f"WITH {PLACED} SELECT conv_id, CAST(place AS INTEGER) AS block, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 0 END AS speaker_id, 1 AS line, text FROM p WHERE trim(text) <> ''")
 def _(s, d):
-    b = T(s, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct(c("turn").cast("int").alias("id"), c("role").alias("speaker"), F.create_map(F.lit("1"), "text").alias("lines"))).alias("blocks"))
+    block = F.struct(c("place").cast("int").alias("id"), c("role").alias("speaker"), F.create_map(F.lit("1"), "text").alias("lines"))
+    b = placed(s, d).groupBy("conv_id", "section").agg(F.collect_list(block).alias("blocks"))
     names = s.createDataFrame([("user", 1), ("assistant", 2), ("other", 0)], "name string, speaker_id int")
     return J.flatten_blocks(b, "conv_id", "blocks", names, "speaker_id", "other")
 
 
-@query("i15_pick_branches", "SELECT conv_id, CAST(turn AS VARCHAR) AS key, text FROM conversations WHERE role = 'user'")
+@query("i15_pick_branches", f"WITH {PLACED} SELECT conv_id, CAST(place AS VARCHAR) AS key, text FROM p WHERE role = 'user'")
 def _(s, d):
     picked = J.pick_branches(_nested(s, d), "doc", ["user"]).select("conv_id", "doc.*")
     return S.map_rows(picked, "user").select("conv_id", "key", c("value").alias("text"))
 
 
-@query("i16_validate_document", "SELECT conv_id, concat_ws(',', CASE WHEN count(*) FILTER (role = 'assistant') < 1 THEN 'has an answer' END, CASE WHEN count(*) FILTER (role = 'user') < 2 THEN 'two questions' END, CASE WHEN coalesce(max(length(text)) FILTER (role = 'user'), 0) > 200 THEN 'short questions' END) AS problems FROM conversations GROUP BY 1")
+@query("i16_validate_document", f"WITH {PLACED} SELECT conv_id, section, concat_ws(',', CASE WHEN count(*) FILTER (role = 'assistant') < 1 THEN 'has an answer' END, CASE WHEN count(*) FILTER (role = 'user') < 2 THEN 'two questions' END, CASE WHEN coalesce(max(length(text)) FILTER (role = 'user'), 0) > 200 THEN 'short questions' END) AS problems FROM p GROUP BY 1, 2")
 def _(s, d):
     longest = F.array_max(F.transform(F.map_values("doc.user"), lambda x: F.length(x)))
     rules = {"has an answer": F.size(F.map_keys("doc.assistant")) >= 1, "two questions": F.size(F.map_keys("doc.user")) >= 2, "short questions": F.coalesce(longest, F.lit(0)) <= 200}
-    return J.validate_document(_nested(s, d), rules).select("conv_id", F.array_join("problems", ",").alias("problems"))
+    return J.validate_document(_nested(s, d), rules).select("conv_id", "section", F.array_join("problems", ",").alias("problems"))
 
 
 @query("i17_review_sheet", "SELECT o_orderkey, status, CASE status WHEN 'original' THEN o_orderpriority ELSE '' END AS text, c_name AS name FROM orders LEFT JOIN customer ON o_custkey = c_custkey, (VALUES ('original'), ('approved')) v(status)")
@@ -448,10 +449,13 @@ def _(s, d):
     return B.by_dim(j, "n_name", "p_brand", "l_quantity", 3).select("n_name", "p_brand", r2("value").alias("value"))
 
 
-# streams, drained and read as tables
+# streams, drained and read as tables; a batch takes so many files at most
+FILES = 1000
+
+
 def _staged(s, d):
     out, e = io.scratch(s), T(s, d, "events").select("event_id", c("ts").cast("timestamp").alias("ts"), "user_id", "event_type")
-    e.repartition(4).write.parquet(out)
+    e.write.parquet(out)
     return out, e.schema
 
 
@@ -460,7 +464,7 @@ def _(s, d):
     path, schema = _staged(s, d)
     known = T(s, d, "events").filter("user_id < 20").select("user_id")
     out = io.scratch(s)
-    K.drain(K.collect_unseen(K.read_stream(s, path, schema), known, "user_id", "ts", "40 days"), K.insert_into(out, ["user_id"]), io.scratch(s))
+    K.drain(K.collect_unseen(K.read_stream(s, path, schema, FILES), known, "user_id", "ts", "40 days"), K.insert_into(out, ["user_id"]), io.scratch(s))
     return s.read.parquet(out).select("user_id")
 
 
@@ -468,7 +472,7 @@ def _(s, d):
 def _(s, d):
     path, schema = _staged(s, d)
     targets = {"click": io.scratch(s), "purchase": io.scratch(s)}
-    K.route_stream(K.read_stream(s, path, schema, 2), "event_type", targets, ["event_id"], io.scratch(s))
+    K.route_stream(K.read_stream(s, path, schema, FILES), "event_type", targets, ["event_id"], io.scratch(s))
     return R.stack(*[s.read.parquet(t) for t in targets.values()]).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
