@@ -146,14 +146,33 @@ def forward_sum(df: DataFrame, keys: list[str], order: list[str], val: str, n: i
     return with_windows(df, keys, order, {"forward": F.sum(val)}, (0, n - 1), rows_per_segment)
 
 
-def above_own_average(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    """Rows above their group's average in all columns. Averages are made before anything is shuffled and joined back, so
-    that no task sorts a whole group; rows with a null key stay out."""
-    means = df.groupBy(key).agg(*[F.avg(c).alias(f"avg_{c}") for c in cols])
-    out = df.join(means, key)
+EXACT = "decimal(28,14)"
+
+
+def _exact(c: str) -> Column:
+    """The value as a decimal, or null where that isn't the same value."""
+    d = F.col(c).try_cast(EXACT)
+    return F.when(d.cast("double") == F.col(c).cast("double"), d)
+
+
+def average(c: str) -> Column:
+    """An average as (exact, plain). A sum of doubles turns on the order of the rows, and a value that equals the average comes
+    out above it or not; a sum of decimals doesn't. `exact` is null where a value of the group has no decimal."""
+    return F.struct(F.when(F.count(_exact(c)) == F.count(c), F.avg(_exact(c))).alias("exact"), F.avg(c).alias("plain"))
+
+
+def above(c: str, mean: str, margin: str = "0") -> Column:
+    """c > mean + margin for a mean by `average`."""
+    return F.coalesce(_exact(c) > F.col(mean)["exact"] + F.lit(margin).cast("decimal(9,8)"), F.col(c) > F.col(mean)["plain"] + F.lit(float(margin)))
+
+
+def above_own_average(df: DataFrame, key: str, cols: list[str], margins: dict[str, str] | None = None) -> DataFrame:
+    """Rows above their group's average (and a margin under 10) in all columns. Averages are made before anything is shuffled and joined
+    back, so that no task sorts a whole group; rows with a null key stay out. Rows that equal the average aren't above it."""
+    out = df.join(df.groupBy(key).agg(*[average(c).alias(f"__{c}") for c in cols]), key)
     for c in cols:
-        out = out.filter(F.col(c) > F.col(f"avg_{c}"))
-    return out
+        out = out.filter(above(c, f"__{c}", (margins or {}).get(c, "0")))
+    return out.select(*df.columns, *[F.col(f"__{c}.plain").alias(f"avg_{c}") for c in cols])
 
 
 def with_group_stats(df: DataFrame, keys: list[str], aggs: dict[str, Column]) -> DataFrame:

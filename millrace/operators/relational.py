@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.io import scratch
+from .aggregates import average
 
 MOST_LISTED = 100_000
 
@@ -192,7 +193,8 @@ def latest_version(df: DataFrame, keys: list[str], ts: str, *ties: str) -> DataF
 
 
 def vs_group_mean_join(df: DataFrame, key: str, cols: list[str]) -> DataFrame:
-    return df.join(df.groupBy(key).agg(*[F.avg(c).alias(f"avg_{c}") for c in cols]), key)
+    """Adds each group's averages (`average`: exact and plain), to be compared by `above`."""
+    return df.join(df.groupBy(key).agg(*[average(c).alias(f"avg_{c}") for c in cols]), key)
 
 
 # set operations

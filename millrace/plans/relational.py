@@ -236,7 +236,7 @@ def _(s, d):
 @query("c17_vs_group_mean_join", "SELECT l_suppkey, count(*) AS n FROM lineitem JOIN (SELECT l_suppkey, avg(l_quantity) AS q, avg(l_discount) AS e FROM lineitem GROUP BY 1) USING (l_suppkey) WHERE l_quantity > q AND l_discount > e + 0.0001 GROUP BY 1")
 def _(s, d):
     j = R.vs_group_mean_join(T(s, d, "lineitem").select("l_suppkey", "l_quantity", "l_discount"), "l_suppkey", ["l_quantity", "l_discount"])
-    return j.filter("l_quantity > avg_l_quantity AND l_discount > avg_l_discount + 0.0001").groupBy("l_suppkey").agg(F.count("*").alias("n"))
+    return j.filter(A.above("l_quantity", "avg_l_quantity") & A.above("l_discount", "avg_l_discount", "0.0001")).groupBy("l_suppkey").agg(F.count("*").alias("n"))
 
 
 @query("c18_keep_in_all", "SELECT DISTINCT user_id FROM events WHERE user_id IN (SELECT user_id FROM events WHERE event_type = 'purchase') AND user_id IN (SELECT user_id FROM events WHERE value > 100)")

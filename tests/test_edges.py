@@ -138,3 +138,14 @@ def test_item_score_reads_all_sources(spark):
             total[lang][1] += chars
     got = {r.lang: r.score for r in plans.queries()["i11_item_score"](spark, sf).collect()}
     assert set(got) == set(total) and all(abs(got[k] - float(s / n)) <= 0.0001 for k, (s, n) in total.items())
+
+
+def test_values_that_equal_the_average(spark):
+    """0.05 is 0.0499 and the margin, 0.1 the average of ten of them, whatever the order of the rows; other groups are plain."""
+    tie = [("a", x / 100) for x in [5] * 99 + [4]] + [("b", 0.1)] * 10
+    more = [("c", 1e300), ("c", 1e299), ("d", float("inf")), ("d", 1.0), ("e", None), ("e", 2.0), ("f", 1e-20), ("f", 3e-20), ("n", float("nan")), ("n", 1.0)]
+    df = spark.createDataFrame(tie[::-1] + more, "k string, v double")
+    assert rows(A.above_own_average(df, "k", ["v"]).select("k", "v")) == sorted([("a", 0.05)] * 99 + [("c", 1e300), ("f", 3e-20)])
+    tied = spark.createDataFrame([("a", 0.05)] * 99 + [("a", 0.04), ("g", 0.07), ("g", 0.0698)], "k string, v double")
+    joined = R.vs_group_mean_join(tied, "k", ["v"])
+    assert joined.filter(A.above("v", "avg_v", "0.0001")).count() == 0
