@@ -149,3 +149,19 @@ def test_values_that_equal_the_average(spark):
     tied = spark.createDataFrame([("a", 0.05)] * 99 + [("a", 0.04), ("g", 0.07), ("g", 0.0698)], "k string, v double")
     joined = R.vs_group_mean_join(tied, "k", ["v"])
     assert joined.filter(A.above("v", "avg_v", "0.0001")).count() == 0
+
+
+def test_shares_that_are_halves(spark):
+    """23 of 80 is 28.75 %, as a double a share just below."""
+    df = spark.createDataFrame([(23, 80), (57, 80), (1, 3), (7, 7), (0, 9), (1, 2000)], "n long, t long")
+    assert [r.x for r in df.select(J.percent_text(F.col("n"), F.col("t")).alias("x")).collect()] == ["28,8%", "71,3%", "33,3%", "100,0%", "0,0%", "0,1%"]
+
+
+def test_shares_of_a_table_with_halves(spark):
+    from millrace import plans
+
+    path = io.scratch(spark)
+    flags = [(1, f) for f in "R" * 23 + "N" * 57] + [(2, f) for f in "R" * 115 + "N" * 285] + [(10, "R")]
+    spark.createDataFrame(flags, "l_suppkey long, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
+    got = rows(plans.queries()["i33_explode_shares"](spark, path))
+    assert got == [(1, "N", 71.3), (1, "R", 28.8), (2, "N", 71.3), (2, "R", 28.8)]
