@@ -57,3 +57,11 @@ def test_last_two_changed(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "WindowGroupLimit" in plan
     assert [(r.k, r.changed_a, r.changed_b) for r in out.collect()] == [("0", True, False)]
+
+
+def test_rules_go_over_a_whole_conversation(spark):
+    """Answers and questions more than a section apart."""
+    path = io.scratch(spark)
+    rows = [(1, t, "user" if t in (0, 2300) else "assistant" if t == 1500 else "system", "x" * (201 if t == 2300 else 1)) for t in range(2345)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    assert [tuple(r) for r in plans.queries()["i16_validate_document"](spark, path).collect()] == [(1, "short questions")]
