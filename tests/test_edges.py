@@ -165,3 +165,19 @@ def test_shares_of_a_table_with_halves(spark):
     spark.createDataFrame(flags, "l_suppkey long, l_returnflag string").write.parquet(f"{path}/lineitem.parquet")
     got = rows(plans.queries()["i33_explode_shares"](spark, path))
     assert got == [(1, "N", 71.3), (1, "R", 28.8), (2, "N", 71.3), (2, "R", 28.8)]
+
+
+def test_payloads_of_large_pages(spark):
+    """A worker has some hundred pages at a time, not an Arrow batch of all; a filter on the text doesn't decode twice."""
+    calls = spark.sparkContext.accumulator(0)
+    pages = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") % 10 != 0, F.repeat(F.sha2(F.col("id").cast("string"), 256), 300)).alias("html"))
+    back = io.decode_payload(io.encode_payload(pages, "html"), "payload")
+    assert back.filter("decoded = html").count() == 2700 and back.filter("decoded IS NULL AND html IS NULL AND payload IS NULL").count() == 300
+
+    def one(x):
+        calls.add(1)
+        return "seen"
+
+    seen = io._payload(pages, "html", "x", one).filter("x IS NOT NULL")
+    assert "Arrow" not in seen._jdf.queryExecution().executedPlan().toString()
+    assert len(seen.collect()) == 3000 == calls.value
