@@ -118,8 +118,8 @@ def page_fields(pages: DataFrame, key: str, col: str) -> DataFrame:
     return pages.select(key, col).mapInArrow(run, f"{key} {pages.schema[key].dataType.simpleString()}, title string, lang string, heading string, n_links long, n_paragraphs long, pairs array<struct<label: string, value: string>>")
 
 
-def typed_fields(fields: DataFrame, key: str, spec: dict[str, tuple[str, str]]) -> DataFrame:
-    """Columns of named labels (compared without case): column -> (label, type). The first value of a label counts. Numbers may have
+def typed_fields(fields: DataFrame, key: str, spec: dict[str, tuple[str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """The key, columns to `keep` (so that pages needn't be parsed again for a join), and columns of named labels (compared without case): column -> (label, type). The first value of a label counts. Numbers may have
     blanks between digits, a decimal comma and a percent sign; dates are year-month-day or day.month.year. What can't be read is null."""
 
     def value(label: str, kind: str) -> Column:
@@ -131,7 +131,7 @@ def typed_fields(fields: DataFrame, key: str, spec: dict[str, tuple[str, str]])
             return F.replace(F.regexp_replace(found, r"[\s\u00a0%]", ""), F.lit(","), F.lit(".")).try_cast(kind)
         return found.cast(kind)
 
-    return fields.select(key, *[value(label, kind).alias(c) for c, (label, kind) in spec.items()])
+    return fields.select(key, *keep, *[value(label, kind).alias(c) for c, (label, kind) in spec.items()])
 
 
 def frontier(pages: DataFrame, url: str, col: str, seeds: DataFrame, pattern: str, base: str, most_rounds: int = 1000) -> DataFrame:

@@ -161,9 +161,8 @@ def _(s, d):
 
 @query("i29_page_fields", """SELECT p_partkey, p_name AS title, 'en' AS lang, p_brand AS heading, 1 AS n_links, 2 AS n_paragraphs, p_size AS size, CAST(p_size AS DOUBLE) + 0.5 AS share, CASE WHEN p_partkey % 4 <> 0 THEN DATE '2024-03-01' END AS since, 'x & ' || p_type AS kind, CAST(NULL AS VARCHAR) AS missing FROM part""")
 def _(s, d):
-    p = T(s, d, "part")
+    p = io.spread(T(s, d, "part").select("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
     size = c("p_size").cast("string")
     html = F.concat(F.lit('<!DOCTYPE html><html lang="en"><head><title> '), "p_name", F.lit("</title><script>var a = '<h1>no</h1>';</script></head><body><h1>"), "p_brand", F.lit("</h1><p>Some text<p>Share: "), size, F.lit(',5 %<dl><dt>Size<dd>'), size, F.lit("<dt>Kind</dt><dd>x &amp; "), "p_type", F.lit("</dd></dl><table><tr><th>Since<td>"), F.when(c("p_partkey") % 4 == 0, "unknown").otherwise("1.3.2024"), F.lit('</table><a href="/x">go</a>'))
     fields = P.page_fields(p.select("p_partkey", html.alias("html")), "p_partkey", "html")
-    typed = P.typed_fields(fields, "p_partkey", {"size": ("size", "int"), "share": ("Share", "double"), "since": ("since", "date"), "kind": ("kind", "string"), "missing": ("nothing", "string")})
-    return fields.select("p_partkey", "title", "lang", "heading", "n_links", "n_paragraphs").join(typed, "p_partkey")
+    return P.typed_fields(fields, "p_partkey", {"size": ("size", "int"), "share": ("Share", "double"), "since": ("since", "date"), "kind": ("kind", "string"), "missing": ("nothing", "string")}, ("title", "lang", "heading", "n_links", "n_paragraphs"))

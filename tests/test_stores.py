@@ -175,3 +175,12 @@ def test_documents_of_any_shape(spark):
         0: ["root.p.z", "root.b[0].kind (not in the list)", "root.b[1] (object expected)", "root.b[2].id", "root.b[2].kind", "root.b[3].kind"],
         1: none, 2: none, 3: none, 4: ["root.p (object expected)", "root.b (list expected)"], 5: none,
     }
+
+
+def test_pages_are_parsed_once_and_by_many_tasks(spark):
+    from millrace import plans
+
+    df = plans.queries()["i29_page_fields"](spark, "/root/testdata/sf0.1")
+    assert str(df._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
+    rows = io.spread(spark.range(0, 95, 1, 1), 10)
+    assert rows.rdd.getNumPartitions() == 10 and sorted(r.id for r in rows.collect()) == list(range(95))
