@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+GIVEN = 1000
+
 
 def _chunks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
     """Tables of `size` rows (the last one may be shorter), whatever the batches are."""
@@ -47,7 +49,8 @@ def _called(fn: Callable[[list[dict]], list], rows: list[dict], tries: int, wait
 def batched_calls(df: DataFrame, fn: Callable[[list[dict]], list], size: int, workers: int = 4, tries: int = 3, wait: float = 1.0, kind: str = "string", names: tuple[str, str, str] = ("answer", "error", "calls")) -> DataFrame:
     """df with an answer for each row. Each task makes ceil(rows / size) calls, plus those repeated after a failure (after
     `wait` seconds, then twice as long, ...), over the edges of Arrow batches; up to `workers` at a time in threads, and as
-    many chunks more wait, so a task holds 2 * workers * size rows. Rows come back in their order. After `tries` failed
+    many chunks more wait, so a task holds 2 * workers * size rows, and GIVEN answered ones, which go on as one batch: batches of a row
+each take longer than short calls. Rows come back in their order. After `tries` failed
     calls the chunk's rows have a null answer and the error. A task that is lost calls again."""
     answer, error, calls = names
     if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
@@ -58,25 +61,35 @@ def batched_calls(df: DataFrame, fn: Callable[[list[dict]], list], size: int, wo
     to = to_arrow_type(schema[0].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(pending: deque[tuple[pa.Table, Future]]) -> Iterator[pa.RecordBatch]:
-            rows, call = pending.popleft()
+        def done(rows: pa.Table, call: Future) -> tuple[pa.Table, pa.Array, str | None, int]:
             got, problem, n = call.result()
             try:
-                answers = pa.array(got, to)
+                return rows, pa.array(got, to), problem, n
             except (pa.ArrowInvalid, pa.ArrowTypeError) as e:
-                answers, problem = pa.nulls(len(got), to), f"{type(e).__name__}: {e}"
-            out = rows.combine_chunks()
-            for name, column in ((answer, answers), (error, pa.array([problem] * len(got), pa.string())), (calls, pa.array([n] * len(got), pa.int32()))):
+                return rows, pa.nulls(len(got), to), f"{type(e).__name__}: {e}", n
+
+        def given(held: list[tuple[pa.Table, pa.Array, str | None, int]]) -> list[pa.RecordBatch]:
+            out = pa.concat_tables([t for t, *_ in held])
+            problems = pa.array([p for t, _, p, _ in held for _ in range(t.num_rows)], pa.string())
+            counts = pa.array([n for t, _, _, n in held for _ in range(t.num_rows)], pa.int32())
+            for name, column in ((answer, pa.chunked_array([a for _, a, _, _ in held], to)), (error, problems), (calls, counts)):
                 out = out.append_column(name, column)
-            yield from out.to_batches()
+            return out.combine_chunks().to_batches()
 
         with ThreadPoolExecutor(workers) as pool:
             pending: deque[tuple[pa.Table, Future]] = deque()
+            held: list = []
+            n_held = 0
             for chunk in _chunks(batches, size):
                 pending.append((chunk, pool.submit(_called, fn, chunk.to_pylist(), tries, wait)))
                 if len(pending) >= 2 * workers:
-                    yield from done(pending)
-            while pending:
-                yield from done(pending)
+                    held.append(done(*pending.popleft()))
+                    n_held += held[-1][0].num_rows
+                    if n_held >= GIVEN:
+                        yield from given(held)
+                        held, n_held = [], 0
+            held += [done(*p) for p in pending]
+            if held:
+                yield from given(held)
 
     return df.mapInArrow(run, StructType([*df.schema, *schema]))

@@ -67,7 +67,7 @@ def _(s, d):
         return [r["p_name"].upper() for r in rows]
 
     # a call for one size each, as a call fails with all its rows
-    parts = T(s, d, "part").select("p_partkey", "p_name", "p_size")
+    parts = io.spread(T(s, d, "part").select("p_partkey", "p_name", "p_size"))
     return C.batched_calls(parts, fn, 1, workers=8, tries=2, wait=0.0).select("p_partkey", "answer", "error", "calls")
 
 

@@ -135,3 +135,25 @@ def test_failing_calls_are_repeated_and_reported(spark):
     with pytest.raises(ValueError):
         C.batched_calls(spark.range(1).withColumn("Answer", F.lit(1)), fn, 4)
     assert C.batched_calls(spark.range(0), fn, 4).count() == 0
+
+
+def test_answers_of_single_rows_go_on_in_large_batches(spark):
+    """One call for each row, in order; answers of a wrong type and failures stay with their row."""
+    def fn(rows):
+        k = rows[0]["k"]
+        if k % 100 == 7:
+            raise ValueError(k)
+        return [k if k % 100 == 9 else str(k)]
+
+    class Batches:
+        def __init__(self, df):
+            self.df, self.columns, self.schema = df, df.columns, df.schema
+
+        def mapInArrow(self, run, _schema):
+            return [b.num_rows for b in run(iter(self.df.toArrow().to_batches()))]
+
+    rows = spark.range(0, 2500, 1, 1).withColumnRenamed("id", "k")
+    assert C.batched_calls(Batches(rows), fn, 1, tries=2, wait=0.0) == [1000, 1000, 500]
+    out = C.batched_calls(rows, fn, 1, tries=2, wait=0.0).collect()
+    assert [r.k for r in out] == list(range(2500))
+    assert all(r.answer == (None if r.k % 100 in (7, 9) else str(r.k)) and r.calls == (2 if r.k % 100 == 7 else 1) and (r.error is not None) == (r.answer is None) for r in out)
