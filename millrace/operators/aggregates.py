@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segments import ROWS, SEG, framed, joined, nearest, numbered, segmented
+from .segments import ROWS, SEG, _written, framed, joined, nearest, numbered, segmented
 
 
 def summarise(df: DataFrame, keys: list, aggs: dict[str, Column]) -> DataFrame:
@@ -273,10 +273,27 @@ def distinct_by_levels(df: DataFrame, levels: dict[str, list[str]], col: str) ->
 
 
 def exact_median(df: DataFrame, keys: list[str], val: str, rows_per_segment: int = ROWS) -> DataFrame:
-    """keys, n, median (null values don't count). Rows are numbered by value, hot groups by segments, and the one or two in the middle
-    are taken, so no group is held by a task."""
+    """keys, n, median (null values don't count). Approximate quantiles on either side of each middle are found first. Then rows
+    are counted by value between them, and together below them, before they are shuffled; these counts are added up by value, hot groups by
+    segments, so no group is held by a task and few of its rows are sorted. Groups whose middle isn't between the two are
+    counted by value as a whole."""
     by = keys or ["__all"]
     x = df.withColumn("__all", F.lit(1)).filter(F.col(val).isNotNull()).select(*by, F.col(val).alias("__v"))
-    numbers = joined(numbered(segmented(x, by, ["__v"], rows_per_segment)), x.groupBy(*by).agg(F.count("*").alias("n")), by, "inner")
-    middle = numbers.filter((2 * F.col("n_")).between(F.col("n"), F.col("n") + 2))
-    return middle.groupBy(*by, "n").agg(F.avg("__v").alias("median")).select(*keys, "n", "median")
+    marks = _written(x.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx("__v", [0.499, 0.501], 10_000).alias("__near")))
+    near = joined(x, marks, by, "inner").filter(F.col("__v") <= F.col("__near")[1])
+    found = _written(_middle(near.withColumn("__v", F.when(F.col("__v") >= F.col("__near")[0], F.col("__v"))), by, rows_per_segment))
+    missed = joined(marks.drop("__near"), found, by, "left_anti")
+    if not missed.isEmpty():
+        found = found.union(_middle(joined(x, missed, by, "inner"), by, rows_per_segment))
+    return found.select(*keys, "n", "median")
+
+
+def _middle(rows: DataFrame, by: list[str], rows_per_segment: int) -> DataFrame:
+    """by, n, median of groups with both middle ranks among their values; rows with a null value come before all values."""
+    counts = _written(rows.groupBy(*by, "n", "__v").agg(F.count("*").alias("__c")))
+    upto = numbered(segmented(counts, by, ["__v"], rows_per_segment), "__i", {"__upto": F.col("__c")})
+    first, second = F.floor((F.col("n") + 1) / 2), F.floor(F.col("n") / 2) + 1
+    holds = lambda rank: (F.col("__upto") >= rank) & (F.col("__upto") - F.col("__c") < rank)
+    ranks = F.sum(holds(first).cast("int") + holds(second).cast("int"))
+    middle = upto.filter(F.col("__v").isNotNull() & (holds(first) | holds(second)))
+    return middle.groupBy(*by, "n").agg(F.avg("__v").alias("median"), ranks.alias("__ranks")).filter("__ranks = 2").drop("__ranks")

@@ -184,3 +184,15 @@ def test_pages_are_parsed_once_and_by_many_tasks(spark):
     assert str(df._jdf.queryExecution().optimizedPlan()).count("MapInArrow") == 1
     rows = io.spread(spark.range(0, 95, 1, 1), 10)
     assert rows.rdd.getNumPartitions() == 10 and sorted(r.id for r in rows.collect()) == list(range(95))
+
+
+def test_exact_median_orders_few_rows(spark, monkeypatch):
+    """Only values near the middle are put in order; a group whose quantiles are off is counted as a whole."""
+    ordered = []
+    monkeypatch.setattr(A, "segmented", lambda df, *rest, inner=A.segmented: ordered.append(df.count()) or inner(df, *rest))
+    df = spark.range(0, 200_001, 1, 8).selectExpr("IF(id % 4 = 0, 'a', 'b') AS k", "CAST(id * 7919 % 200003 AS DOUBLE) AS v")
+    want = {r.k: r.m for r in df.groupBy("k").agg(F.median("v").alias("m")).collect()}
+    assert {r.k: r.median for r in A.exact_median(df, ["k"], "v", 10_000).collect()} == want
+    assert sum(ordered) < 2000
+    monkeypatch.setattr(A.F, "percentile_approx", lambda c, *_: F.array(F.min(c), F.min(c)))
+    assert {r.k: r.median for r in A.exact_median(df, ["k"], "v", 10_000).collect()} == want
