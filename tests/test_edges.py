@@ -181,3 +181,15 @@ def test_payloads_of_large_pages(spark):
     seen = io._payload(pages, "html", "x", one).filter("x IS NOT NULL")
     assert "Arrow" not in seen._jdf.queryExecution().executedPlan().toString()
     assert len(seen.collect()) == 3000 == calls.value
+
+
+def test_archive_of_many_rows_in_many_tasks(spark):
+    """Tasks grow in number, not in rows; repeated and null keys and an empty table."""
+    df = spark.range(0, 1000, 1, 1).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("k"), "id")
+    keys = df.filter("id % 7 = 0").select("k").union(df.filter("id = 14").select("k"))
+    moved = J.archive_and_purge({"big": df, "none": df.limit(0)}, keys, "k", 100)
+    gone, stay = moved["big"]
+    assert sorted(r.id for r in gone.collect()) == [i for i in range(1000) if i % 7 == 0 and i % 10]
+    assert sorted(r.id for r in stay.collect()) == [i for i in range(1000) if i % 7 or i % 10 == 0]
+    assert ", 10)" in gone._jdf.queryExecution().executedPlan().toString()
+    assert [x.count() for x in moved["none"]] == [0, 0]
