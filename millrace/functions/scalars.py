@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,12 +100,22 @@ def squash(col) -> Column:
     return F.trim(F.regexp_replace(c(col), "[\\s ]+", " "))
 
 
+def _canonical_steps(base: str) -> list[Callable[[Column], Column]]:
+    """What canonical_url does, step by step: each uses what it is given more than once."""
+    plain = lambda x: F.regexp_replace(F.trim(x), r"[?#].*$", "")
+    absolute = lambda x: F.when(x.rlike("^[a-z]+://"), x).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(x, "^/+", "")))
+    ended = lambda x: F.when(x.rlike(r"/$|/[^/]*\.[^/.]*$") & ~x.rlike(r"^[a-z]+://[^/]*$"), x).otherwise(F.concat(x, F.lit("/")))
+    return [plain, absolute, ended] if base else [plain, ended]
+
+
 def canonical_url(col, base: str = "") -> Column:
     """Without query and fragment, absolute, with an end slash unless the last part has a suffix."""
-    x = F.regexp_replace(F.trim(c(col)), r"[?#].*$", "")
-    if base:
-        x = F.when(x.rlike("^[a-z]+://"), x).otherwise(F.concat(F.lit(base.rstrip("/") + "/"), F.regexp_replace(x, "^/+", "")))
-    return F.when(x.rlike(r"/$|/[^/]*\.[^/.]*$") & ~x.rlike(r"^[a-z]+://[^/]*$"), x).otherwise(F.concat(x, F.lit("/")))
+    return reduce(lambda x, step: step(x), _canonical_steps(base), c(col))
+
+
+def canonical_urls(col, base: str = "") -> Column:
+    """canonical_url of each string of an array, where no step is worked out again by the next."""
+    return reduce(F.transform, _canonical_steps(base), c(col))
 
 
 def replace_all(col, pairs: dict[str, str]) -> Column:

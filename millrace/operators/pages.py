@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import canonical_url
+from ..functions.scalars import canonical_url, canonical_urls
 from ..sources.io import scratch
 
 
@@ -136,11 +136,13 @@ def typed_fields(fields: DataFrame, key: str, spec: dict[str, tuple[str, str]],
 
 def frontier(pages: DataFrame, url: str, col: str, seeds: DataFrame, pattern: str, base: str, most_rounds: int = 1000) -> DataFrame:
     """All links that can be reached from the seeds (url): url, level (links away from a seed) and parent (the least url of
-    the level before that links to it). Pages are parsed once; each round joins only the links found new in the last one
-    with the pages' links, and ends when none is new. Every round is a written table, which the next one reads."""
+    the level before that links to it). Pages are parsed once, into a row of links each; each round joins only the links found
+    new in the last one with the pages' links, and ends when none is new. Every round is a written table, which the next one reads."""
     spark = pages.sparkSession
-    edges = pages.select(canonical_url(url, base).alias("parent"), F.explode(F.array_distinct(F.regexp_extract_all(col, F.lit(r'href="([^"#]+)"'), 1))).alias("href"))
-    edges = edges.select("parent", canonical_url("href", base).alias("url")).filter(F.col("url").rlike(pattern) & (F.col("url") != F.col("parent"))).distinct()
+    parent = F.get(canonical_urls(F.array(url), base), 0)
+    urls = canonical_urls(F.array_distinct(F.regexp_extract_all(col, F.lit(r'href="([^"#]+)"'), 1)), base)
+    # no filter or explode before the table is written: Spark would copy the expressions into them
+    edges = pages.select(parent.alias("parent"), F.array_distinct(F.filter(urls, lambda x: x.rlike(pattern))).alias("urls"))
     top = scratch(spark)
     edges.write.parquet(f"{top}/edges")
     edges = spark.read.schema(edges.schema).parquet(f"{top}/edges")
@@ -153,7 +155,8 @@ def frontier(pages: DataFrame, url: str, col: str, seeds: DataFrame, pattern: st
         if last.isEmpty():
             break
         seen = spark.read.schema(schema).option("basePath", f"{top}/seen").parquet(f"{top}/seen")
-        new = edges.join(last.select(F.col("url").alias("parent")), "parent").groupBy("url").agg(F.min("parent").alias("parent"))
+        met = edges.join(last.select(F.col("url").alias("parent")), "parent").select("parent", F.explode("urls").alias("url"))
+        new = met.groupBy("url").agg(F.min("parent").alias("parent"))
         found = new.join(seen.select("url"), "url", "left_anti").select("url", "parent")
     else:
         raise RuntimeError(f"links go on beyond {most_rounds} levels")

@@ -65,7 +65,7 @@ l AS (SELECT url, min(level) AS level FROM f GROUP BY url) SELECT l.url, l.level
 def _(s, d):
     k = T(s, d, "customer").select("c_custkey", "c_nationkey")
     n = k.agg(F.count("*").alias("n"))
-    k = k.crossJoin(F.broadcast(n))  # one row
+    k = io.spread(k).crossJoin(F.broadcast(n))  # one row
     link = lambda x: F.concat(F.lit('<a href="/c/'), x.cast("string"), F.lit('?from=here">more</a> '))
     html = F.concat(F.lit("<p>"), link((c("c_custkey") * 3 + 1) % c("n")), link((c("c_custkey") + c("c_nationkey") * 7) % c("n")), F.lit('<a href="https://other.example.net/x">away</a></p>'))
     pages = k.select(F.concat(F.lit("https://site.example.org/c/"), c("c_custkey").cast("string"), F.lit("/")).alias("url"), html.alias("html"))

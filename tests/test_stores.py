@@ -7,6 +7,7 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.functions import scalars as S
 from millrace.operators import aggregates as A
 from millrace.operators import documents as D
 from millrace.operators import jobs as J
@@ -196,3 +197,30 @@ def test_exact_median_orders_few_rows(spark, monkeypatch):
     assert sum(ordered) < 2000
     monkeypatch.setattr(A.F, "percentile_approx", lambda c, *_: F.array(F.min(c), F.min(c)))
     assert {r.k: r.median for r in A.exact_median(df, ["k"], "v", 10_000).collect()} == want
+
+
+def test_frontier_pages_are_dealt_to_many_tasks(spark, tmp_path, monkeypatch):
+    from millrace import plans
+
+    spark.range(0, 50_000, 1, 1).select(F.col("id").alias("c_custkey"), (F.col("id") % 25).cast("int").alias("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    monkeypatch.setattr(P, "frontier", lambda pages, url, *_: pages.select(url, F.lit(0).alias("level"), F.lit("").alias("parent")))
+    df = plans.queries()["i30_frontier"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() == 3 and df.distinct().count() == 50_000
+
+
+def test_canonical_urls_work_each_step_out_once(spark):
+    odd = ["a", "/a?b", " //a/b.html#c", "https://s", "https://s/", "https://s/x.y/z", "", "?", None, "HTTP://S/a", "a\nb", "\ta "]
+    df = spark.createDataFrame([(odd,), ([],), (None,)], "x array<string>")
+    for base in ("", "https://s/"):
+        got = df.select(S.canonical_urls("x", base).alias("x"))
+        assert [r.x for r in got.collect()] == [[r.x for r in spark.createDataFrame([(v,) for v in odd], "x string").select(S.canonical_url("x", base).alias("x")).collect()], [], None]
+        assert str(got._jdf.queryExecution().optimizedPlan()).count("regexp_replace(") == (2 if base else 1)
+
+
+def test_frontier_links_that_become_one(spark):
+    page = lambda u, *to: (u, "".join(f'<a href="{t}">x</a>' for t in to))
+    data = [page("https://s/a?v=1", "b?p=1", "/b/", "https://s/b?q", "/a", "https://t/x"), page("https://s/a/", "c"), page("/b", "d", "a?x", "c/"), page(None, "lost"), page("https://s/c")]
+    df = spark.createDataFrame(data, "url string, html string")
+    seeds = spark.createDataFrame([("/a#top",), ("https://s/a",)], "url string")
+    got = rows(P.frontier(df, "url", "html", seeds, "^https://s/", "https://s").select("url", "level", "parent"))
+    assert got == [("https://s/a/", 0, None), ("https://s/b/", 1, "https://s/a/"), ("https://s/c/", 1, "https://s/a/"), ("https://s/d/", 2, "https://s/b/")]
